@@ -109,11 +109,12 @@ ORACLE: dict[str, str] = {
     "combine_monthly": f"""WITH {GOLD}
 SELECT month, international, domestic, total FROM gold ORDER BY month""",
 
-    "outer_join_series": f"""WITH {MARKET_SERIES},
-l AS (SELECT * FROM intl WHERE month <= DATE '{q.OUTER_LEFT_UNTIL}'),
-r AS (SELECT * FROM dom WHERE month >= DATE '{q.OUTER_RIGHT_FROM}')
-SELECT COALESCE(l.month, r.month) AS month, l.international, r.domestic, l.international + r.domestic AS total
-FROM l FULL OUTER JOIN r ON l.month = r.month""",
+    "outer_join_series": f"""WITH
+l AS (SELECT {MONTH} AS month, COUNT(*) AS orders FROM orders GROUP BY 1),
+r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, COUNT(*) AS shipments FROM lineitem GROUP BY 1)
+SELECT COALESCE(l.month, r.month) AS month, l.orders, r.shipments, l.orders + r.shipments AS total
+FROM (SELECT * FROM l WHERE month < DATE '{q.OUTER_LEFT_BEFORE}') l
+FULL OUTER JOIN (SELECT * FROM r WHERE month >= DATE '{q.OUTER_RIGHT_FROM}') r ON l.month = r.month""",
 
     "monthly_rollup": f"""WITH {ORDERS_MARKET}
 SELECT r_name, {MONTH} AS month, COUNT(*) AS n_orders,
@@ -191,10 +192,7 @@ cal AS (SELECT CAST(d AS DATE) AS month
 SELECT keys.c_mktsegment, cal.month FROM keys CROSS JOIN cal
 WHERE NOT EXISTS (SELECT 1 FROM seg WHERE seg.c_mktsegment = keys.c_mktsegment AND seg.month = cal.month)""",
 
-    "csv_month_ingest": f"""SELECT {MONTH} AS month, COUNT(*) AS orders
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-GROUP BY 1""",
+    "csv_month_ingest": f"""SELECT {MONTH} AS month, COUNT(*) AS orders FROM orders GROUP BY 1""",
 
     "csv_header_ingest": """WITH per_nation AS (
   SELECT c_nationkey, COUNT(*) AS customers,

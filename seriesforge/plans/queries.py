@@ -18,9 +18,9 @@ from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, St
 from ..operators.columns import with_headers
 from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
 from ..operators.impute import calendar_gaps, impute_year
-from ..operators.series import (before_filter, between_filter, combine_series, drop_columns,
-                                global_sums, known_until, latest, require_not_null, rollup_series,
-                                sorted_series, split_at, union_series)
+from ..operators.series import (before_filter, between_filter, combine_series, count_where,
+                                drop_columns, global_sums, known_until, latest, require_not_null,
+                                rollup_series, sorted_series, split_at, union_series, with_total)
 from ..session import scratch_path
 from ..sources.csv import read_series_csv, read_table_csv, write_series_csv
 from ..sources.publish import publish_chart, read_chart
@@ -29,7 +29,7 @@ from ..sources.tables import driver_table, load_table, save_table
 # Parameters of the registered queries (the oracle SQL uses the same values).
 HOME_REGION = "AMERICA"
 GOLD_CUTOFF = "2001-01-01"          # monthly gold table keeps months before this date
-OUTER_LEFT_UNTIL = "2000-12-31"     # left series of the outer-join query ends here
+OUTER_LEFT_BEFORE = "2001-01-01"    # left series of the outer-join query ends before this
 OUTER_RIGHT_FROM = "1996-01-01"     # right series starts here
 CUTOFF_DATE = "1998-01-01"
 RANGE_LOW, RANGE_HIGH = "1999-01-01", "1999-12-31"
@@ -79,20 +79,21 @@ def orders_market(spark: SparkSession, sf: str) -> DataFrame:
                      "c_mktsegment", "r_name", (F.col("r_name") == F.lit(HOME_REGION)).alias("domestic")))
 
 
-def market_series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(international, domestic) monthly order counts — the two input series."""
-    m = orders_market(spark, sf)
-    count = F.count(F.lit(1))
-    intl = rollup_series(m.filter(~F.col("domestic")), "o_orderdate", "month", {"international": count})
-    dom = rollup_series(m.filter(F.col("domestic")), "o_orderdate", "month", {"domestic": count})
-    return intl, dom
-
-
 def gold_monthly(spark: SparkSession, sf: str, cutoff: str | None = GOLD_CUTOFF) -> DataFrame:
-    """C1: combine both series on month, total, cut off (unsorted; sort at the end)."""
-    intl, dom = market_series(spark, sf)
-    return combine_series(intl, dom, "month", total="total", parts=["international", "domestic"],
-                          before=cutoff)
+    """C1: the international and domestic monthly order series, combined on month, with total,
+    cut before ``cutoff`` (unsorted; sort once at the end).
+
+    Both series come from the same table, so they are built by one conditional aggregate (one
+    scan, one shuffle): a series with no order in a month is NULL there, as after a full outer
+    join. The cut is a month start, so it is applied to the raw order date, where it reaches the
+    Parquet scan, instead of to the derived month.
+    """
+    m = orders_market(spark, sf)
+    if cutoff is not None:
+        m = before_filter(m, "o_orderdate", cutoff)
+    g = rollup_series(m, "o_orderdate", "month", {"international": count_where(~F.col("domestic")),
+                                                 "domestic": count_where(F.col("domestic"))})
+    return with_total(g, "total", ["international", "domestic"])
 
 
 MEASURES3 = {"international": "international", "domestic": "domestic", "total": "total"}
@@ -132,10 +133,15 @@ def q_combine_monthly(spark, sf):
 
 
 def q_outer_join_series(spark, sf):
-    intl, dom = market_series(spark, sf)
-    left = intl.filter(F.col("month") <= F.to_date(F.lit(OUTER_LEFT_UNTIL)))
-    right = dom.filter(F.col("month") >= F.to_date(F.lit(OUTER_RIGHT_FROM)))
-    return combine_series(left, right, "month", total="total", parts=["international", "domestic"])
+    """J1 on two sources: orders per month (until 2000) and shipped lines per month (from 1996);
+    each side has months the other lacks. Both roll-ups leave their rows hash-partitioned on
+    ``month``, so the full outer sort-merge join reuses that partitioning."""
+    # Both bounds are month starts, so they apply to the raw dates and reach the Parquet scans.
+    o = before_filter(driver_table(spark, sf, "orders"), "o_orderdate", OUTER_LEFT_BEFORE)
+    li = driver_table(spark, sf, "lineitem").filter(F.col("l_shipdate") >= F.to_date(F.lit(OUTER_RIGHT_FROM)))
+    left = rollup_series(o, "o_orderdate", "month", {"orders": F.count(F.lit(1))})
+    right = rollup_series(li, "l_shipdate", "month", {"shipments": F.count(F.lit(1))})
+    return combine_series(left, right, "month", total="total", parts=["orders", "shipments"])
 
 
 def q_monthly_rollup(spark, sf):
@@ -234,8 +240,8 @@ def q_calendar_gaps(spark, sf):
 
 
 def q_csv_month_ingest(spark, sf):
-    m = orders_market(spark, sf)
-    series = rollup_series(m, "o_orderdate", "month", {"orders": F.count(F.lit(1))})
+    series = rollup_series(driver_table(spark, sf, "orders"), "o_orderdate", "month",
+                           {"orders": F.count(F.lit(1))})
     path = scratch_path(spark, "csv-month")
     write_series_csv(series, path, "month", "orders")
     # The published files end with blank lines and a source line; add them as their own file.
