@@ -77,21 +77,22 @@ def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] =
     * The join key is the coalesce of both sides, so periods present on one side only keep their
       period value (the reference kept only the left key and lost them).
     * ``total = parts[0] + parts[1]``; NULL when one side is missing unless ``missing_as_zero``.
-    * ``before`` cuts the result at ``period < before``. Catalyst pushes the cut below the join
-      into both inputs and, since right-only rows then cannot survive, turns the full outer join
-      into a left outer one.
+    * ``before`` cuts the result at ``period < before``. A matched row has equal keys on both
+      sides and an unmatched row has only its own, so cutting each input first is exactly the cut
+      of the coalesced key — and it reaches both inputs' scans (a filter on the coalesced key
+      after the join could not be pushed through the full outer join).
 
     When both inputs come from :func:`rollup_series` on the same keys they are already hash
     partitioned on them, so the join adds no shuffle of its own.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if before is not None:
+        left, right = before_filter(left, on[-1], before), before_filter(right, on[-1], before)
     df = left.join(right, on=on, how="full_outer")
     if total:
         if parts is None:
             parts = [c for c in left.columns if c not in on][:1] + [c for c in right.columns if c not in on][:1]
         df = with_total(df, total, parts, missing_as_zero)
-    if before is not None:
-        df = before_filter(df, on[-1], before)
     return df
 
 

@@ -1,0 +1,5 @@
+"""The series roll-up on Structured Streaming sources (same operator, incremental execution)."""
+
+from .rollup import stream_rollup
+
+__all__ = ["stream_rollup"]

@@ -1,0 +1,26 @@
+"""Period roll-ups over a stream.
+
+The reference only processes batches; this module adds no new operator, it runs
+:func:`~seriesforge.operators.series.rollup_series` incrementally when new files (or other
+streaming sources) arrive. Months, quarters and years are calendar periods, not fixed-length
+windows, so the aggregate is keyed by the period value and emitted in ``update`` mode: each
+micro-batch emits the periods it changed. A watermark on the event-time column drops rows that
+arrive later than the allowed delay; state holds one entry per (key, period).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from ..operators.series import Measures, rollup_series
+
+
+def stream_rollup(stream: DataFrame, date_col: str, grain: str, measures: Measures,
+                  keys: Sequence[str] = (), late_after: str | None = None) -> DataFrame:
+    """Streaming DataFrame of per-period aggregates; write it with ``outputMode("update")``
+    (or ``complete``) and a checkpoint location on shared storage."""
+    if late_after:
+        stream = stream.withWatermark(date_col, late_after)
+    return rollup_series(stream, date_col, grain, measures, keys=keys)
