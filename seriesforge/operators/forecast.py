@@ -77,10 +77,16 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
         slope = trend_slope(f"_c{i}_", reg, alpha)
         coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
     stats = stats.select(*keys, "_last", *coef)
-    rows = series
+    coef_names = [c for i in range(len(cutoffs)) for c in (f"_slope{i}", f"_icpt{i}")]
+    # Observed rows get their key's coefficients by a join; future rows are generated from the
+    # coefficient rows themselves, so both branches share the roll-up's shuffle (a future branch
+    # needing only max(x) would be re-planned as its own aggregate over the raw input).
+    scored = _join_on_keys(series, stats.drop("_last"), keys)
     if horizon is not None:
-        rows = rows.unionByName(_futures(stats, x, horizon, keys), allowMissingColumns=True)
-    scored = _join_on_keys(rows, stats.drop("_last"), keys)
+        last = F.col("_last").cast("int")
+        seq = F.when(last < F.lit(horizon), F.sequence(last + 1, F.lit(horizon)))
+        futures = stats.select(*keys, F.explode(seq).alias(x), *coef_names)
+        scored = scored.unionByName(futures, allowMissingColumns=True)
     preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * F.col(x).cast("double")).alias(n)
              for i, n in enumerate(names)]
     return scored.select(*series.columns, *preds)

@@ -81,7 +81,7 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
 
     imputed = (known
                .withColumn("_divisor", divisor)
-               .where(F.col("_divisor") > 0)
+               .where((F.col("_divisor") > 0) & (k > 0))
                .select(*keys, *[F.col(f"_sum_{i}") for i in range(len(measures))], F.col("_divisor"),
                        F.explode(_missing(F.col("_known"))).alias("_m"))
                .select(*keys, F.make_date(F.lit(year), F.col("_m"), F.lit(1)).cast(types[date_col]).alias(date_col),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.series import Measures, rollup_series
 
@@ -22,5 +23,8 @@ def stream_rollup(stream: DataFrame, date_col: str, grain: str, measures: Measur
     """Streaming DataFrame of per-period aggregates; write it with ``outputMode("update")``
     (or ``complete``) and a checkpoint location on shared storage."""
     if late_after:
+        if dict(stream.dtypes)[date_col] != "timestamp":
+            # watermarks need TIMESTAMP (session time zone); TIMESTAMP_NTZ / DATE are cast
+            stream = stream.withColumn(date_col, F.col(date_col).cast("timestamp"))
         stream = stream.withWatermark(date_col, late_after)
     return rollup_series(stream, date_col, grain, measures, keys=keys)
