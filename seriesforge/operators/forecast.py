@@ -22,14 +22,16 @@ ELASTIC_NET = 0.8
 
 
 def future_points(df: DataFrame, period: str, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Per key, the integer periods after the last one present, up to ``horizon`` inclusive."""
-    last = df.groupBy(*keys).agg(F.max(F.col(period)).alias("_last"))
-    return _futures(last, period, horizon, keys)
+    """Per key, the integer periods after the last one present, up to ``horizon`` inclusive.
 
-
-def _futures(stats: DataFrame, period: str, horizon: int, keys: Sequence[str]) -> DataFrame:
+    The aggregate also counts the periods: a max alone over a roll-up's grouping column would be
+    re-planned as a separate aggregate of the raw input, so a plan that unions the series with
+    its future points would read the input twice instead of sharing the roll-up's shuffle.
+    """
+    stats = df.groupBy(*keys).agg(F.max(F.col(period)).alias("_last"), F.count(F.lit(1)).alias("_periods"))
     last = F.col("_last").cast("int")
-    seq = F.when(last < F.lit(horizon), F.sequence(last + 1, F.lit(horizon)))
+    # (_periods > 0 always holds; referencing it keeps the count from being pruned.)
+    seq = F.when((last < F.lit(horizon)) & (F.col("_periods") > 0), F.sequence(last + 1, F.lit(horizon)))
     return stats.select(*keys, F.explode(seq).alias(period))
 
 
@@ -107,13 +109,17 @@ def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequ
     One MLlib model covers every key: the key enters as ``xxhash64(keys)``, a deterministic
     number computed on the executors, so no per-key label list is built on the driver. MLlib
     trains distributed (per-iteration aggregates), rows with NULL label are left out of the fit.
+    The series is checkpointed first (shared folder): the indexer, the boosting iterations and
+    the scoring all read it, and none of them recomputes the roll-up of the raw input.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler, VectorIndexer
     from pyspark.ml.regression import GBTRegressor
 
+    from ..session import materialize
+
     feats = [x]
-    data = series
+    data = materialize(series)
     if keys:
         data = data.withColumn("_key_feature", F.xxhash64(*[F.col(k) for k in keys]).cast("double"))
         feats.append("_key_feature")

@@ -9,7 +9,11 @@ count, the sums, the calendar and the append all stay inside the plan:
         explode(the months not known) → imputed rows ── unionByName ── original rows
 
 The set of known months per key holds at most twelve values whatever the input size, so the
-aggregate state is bounded; partial aggregation runs before the shuffle.
+aggregate state is bounded; partial aggregation runs before the shuffle. The year is selected
+inside the aggregate (conditional aggregates) rather than by a filter in front of it: when the
+series is itself a roll-up, a filter on its month would be pushed through that roll-up into a
+second scan of the raw input, while the conditional form shares the roll-up's shuffle with the
+appended original rows.
 """
 
 from __future__ import annotations
@@ -23,16 +27,14 @@ from pyspark.sql.types import DecimalType, IntegralType
 METHODS = ("spread", "mean")
 
 
-def _year_slice(df: DataFrame, date_col: str, year: int) -> DataFrame:
-    # A range on the raw column (not year(col) = y) so the bound reaches the Parquet scan.
-    lo, hi = F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))
-    return df.filter(F.to_date(F.col(date_col)).between(lo, hi))
+def _in_year(date_col: str, year: int):
+    return F.year(F.col(date_col)) == F.lit(year)
 
 
 def _known_months(df: DataFrame, date_col: str, year: int, keys: Sequence[str], extra=()) -> DataFrame:
-    return (_year_slice(df, date_col, year)
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_set(F.month(F.col(date_col)))).alias("_known"), *extra))
+    """Per key: the sorted months of ``year`` present (collect_set skips the NULLs of other years)."""
+    known = F.collect_set(F.when(_in_year(date_col, year), F.month(F.col(date_col))))
+    return df.groupBy(*keys).agg(F.array_sort(known).alias("_known"), *extra)
 
 
 def _missing(known) -> "F.Column":
@@ -42,7 +44,7 @@ def _missing(known) -> "F.Column":
 def calendar_gaps(df: DataFrame, date_col: str, year: int, keys: Sequence[str] = (),
                   out: str = "month") -> DataFrame:
     """Month starts of ``year`` that have no row, per key (keys that have rows in that year)."""
-    known = _known_months(df, date_col, year, keys)
+    known = _known_months(df, date_col, year, keys).where(F.size("_known") > 0)
     return known.select(*keys, F.explode(_missing(F.col("_known"))).alias("_m")).select(
         *keys, F.make_date(F.lit(year), F.col("_m"), F.lit(1)).alias(out))
 
@@ -64,7 +66,7 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     copies = dict(copies or {})
     types = {f.name: f.dataType for f in df.schema.fields}
-    sums = [F.sum(F.col(m)).alias(f"_sum_{i}") for i, m in enumerate(measures)]
+    sums = [F.sum(F.when(_in_year(date_col, year), F.col(m))).alias(f"_sum_{i}") for i, m in enumerate(measures)]
     known = _known_months(df, date_col, year, keys, sums)
     k = F.size(F.col("_known"))
     divisor = (F.lit(12) - k) if method == "spread" else k

@@ -125,6 +125,13 @@ def split_at(df: DataFrame, col: str, threshold) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(col) <= t), df.filter(F.col(col) > t)
 
 
+def split_label(col: str, threshold, below: str = "train", above: str = "test") -> Column:
+    """``below`` where ``col <= threshold``, ``above`` where ``col > threshold``, NULL for NULL —
+    the two sides of :func:`split_at` as a column, to aggregate both splits in one pass."""
+    t = _bound(threshold)
+    return F.when(F.col(col) <= t, F.lit(below)).when(F.col(col) > t, F.lit(above))
+
+
 def known_until(col: str, threshold, value: str) -> Column:
     """``CASE WHEN col <= threshold THEN value END`` — the value only where it was known."""
     return F.when(F.col(col) <= _bound(threshold), F.col(value))

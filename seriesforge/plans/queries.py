@@ -20,8 +20,8 @@ from ..operators.forecast import forecast_gbt, forecast_linear, future_points, r
 from ..operators.impute import calendar_gaps, impute_year
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
                                 drop_columns, global_sums, known_until, latest, require_not_null,
-                                rollup_series, sorted_series, split_at, union_series, with_total)
-from ..session import scratch_path
+                                rollup_series, sorted_series, split_label, union_series, with_total)
+from ..session import materialize, scratch_path
 from ..sources.csv import read_series_csv, read_table_csv, write_series_csv
 from ..sources.publish import publish_chart, read_chart
 from ..sources.tables import driver_table, load_table, save_table
@@ -212,10 +212,10 @@ def q_case_known_range(spark, sf):
 
 
 def q_train_test_split(spark, sf):
-    train, test = split_at(yearly_gold(spark, sf), "year", SPLIT_YEAR)
-    agg = {"n_years": F.count(F.lit(1)), "total": F.sum("total")}
-    return (global_sums(train, agg).select(F.lit("train").alias("split"), "n_years", "total")
-            .unionByName(global_sums(test, agg).select(F.lit("test").alias("split"), "n_years", "total")))
+    """Both sides of the split in one aggregate (two filtered aggregates would read twice)."""
+    y = yearly_gold(spark, sf).withColumn("split", split_label("year", SPLIT_YEAR))
+    return (y.filter(F.col("split").isNotNull()).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n_years"), F.sum("total").alias("total")))
 
 
 def q_sorted_series(spark, sf):
@@ -227,7 +227,8 @@ def q_latest_n(spark, sf):
 
 
 def q_union_missing_columns(spark, sf):
-    y = yearly_gold(spark, sf)
+    # The yearly series feeds both sides of the union; computed once, then read twice.
+    y = materialize(yearly_gold(spark, sf))
     return union_series(y, future_points(y, "year", HORIZON))
 
 

@@ -64,3 +64,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path below the shared folder (one per call)."""
     stamp = time.strftime("%Y%m%d%H%M%S", time.gmtime())
     return f"{shared_dir(spark).rstrip('/')}/seriesforge/{name}-{stamp}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the shared folder.
+
+    For a small result that several branches of a later plan read (a series and the future
+    periods derived from it, the training rows of an iterative model). Lost executors then
+    re-read the checkpoint instead of recomputing the input scan.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -28,7 +28,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from ..operators.columns import quoted
 
@@ -36,6 +36,8 @@ from ..operators.columns import quoted
 TITLE, X_TITLE, X_SCALE, Y_TITLE, COLUMNS, HEADER, KEY = (
     "title", "xtitle", "xscale", "ytitle", "columns", "header", "key")
 SCALE_LABELS, SCALE_TIME = "labels", "time"
+VERSIONS_SCHEMA = StructType([StructField("version", StringType()), StructField("path", StringType()),
+                              StructField("published_at", TimestampType())])
 # Metadata MLlib attaches to feature / prediction columns; not chart hints.
 ML_METADATA_KEYS = ("ml_attr",)
 
@@ -60,18 +62,19 @@ def _fill_bounds(template: str, lo: Column, hi: Column) -> Column:
 
 def chart_descriptor(df: DataFrame, title: str = "", x_title: str = "X", y_title: str = "Y",
                      x_scale: str = SCALE_LABELS, bounds_col: str | None = None,
-                     include_ml: bool = False) -> DataFrame:
+                     include_ml: bool = False, bounds_from: DataFrame | None = None) -> DataFrame:
     """One-row DataFrame ``(value STRING)`` holding the descriptor JSON.
 
     ``x_title`` / ``title`` may contain ``{min}`` and ``{max}``: they are filled with the bounds of
-    ``bounds_col`` by one aggregate in the same plan (no driver round trip). The column list comes
-    from the schema alone.
+    ``bounds_col`` by one aggregate in the same plan (no driver round trip), computed over
+    ``bounds_from`` when given (e.g. the data already written) instead of ``df``. The column list
+    comes from the schema alone.
     """
     if x_scale not in (SCALE_LABELS, SCALE_TIME):
         raise ValueError(f"x_scale must be {SCALE_LABELS!r} or {SCALE_TIME!r}, got {x_scale!r}")
     columns_json = json.dumps(descriptor_columns(df.schema, include_ml), ensure_ascii=False)
     if bounds_col is not None:
-        base = df.agg(F.min(quoted(bounds_col)).alias("_lo"), F.max(quoted(bounds_col)).alias("_hi"))
+        base = (bounds_from if bounds_from is not None else df).agg(F.min(quoted(bounds_col)).alias("_lo"), F.max(quoted(bounds_col)).alias("_hi"))
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         base = df.sparkSession.range(1)
@@ -107,18 +110,28 @@ def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Se
     elif order_by:
         data = data.orderBy(*[quoted(c) for c in order_by])
     data.write.option("header", True).csv(f"{path}/data")
-    (chart_descriptor(df, title, x_title, y_title, x_scale, bounds_col, include_ml)
-     .coalesce(1).write.text(f"{path}/metadata"))
     spark = df.sparkSession
+    # Title bounds come from the written files, so the chart's upstream plan runs only once.
+    written = _typed_reader(spark, df.schema).csv(f"{path}/data") if bounds_col is not None else None
+    (chart_descriptor(df, title, x_title, y_title, x_scale, bounds_col, include_ml, bounds_from=written)
+     .coalesce(1).write.text(f"{path}/metadata"))
     (spark.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path"),
                            F.current_timestamp().alias("published_at"))
      .coalesce(1).write.mode("append").json(f"{root}/_versions"))
     return path
 
 
+def _typed_reader(spark: SparkSession, schema: StructType | None):
+    reader = spark.read.option("header", True)
+    if schema is not None:
+        reader = reader.schema(StructType([StructField(f.name, f.dataType, True) for f in schema.fields]))
+    return reader
+
+
 def latest_version(spark: SparkSession, out: str, chart_id: str = "chart") -> str:
     """Path of the newest complete version (one aggregate; a single string comes back)."""
-    row = spark.read.json(f"{out.rstrip('/')}/{chart_id}/_versions").agg(F.max_by("path", "version")).first()
+    row = (spark.read.schema(VERSIONS_SCHEMA).json(f"{out.rstrip('/')}/{chart_id}/_versions")
+           .agg(F.max_by("path", "version")).first())
     if row is None or row[0] is None:
         raise FileNotFoundError(f"no published version of chart {chart_id!r} under {out!r}")
     return row[0]
@@ -129,9 +142,6 @@ def read_chart(spark: SparkSession, out: str, chart_id: str = "chart",
     """(data, descriptor) of the newest version. Data columns are typed when ``schema`` is given
     (as written: the chart frame's own schema), else strings. The descriptor is parsed JSON."""
     path = latest_version(spark, out, chart_id)
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        reader = reader.schema(StructType([f.__class__(f.name, f.dataType, True) for f in schema.fields]))
-    data = reader.csv(f"{path}/data")
+    data = _typed_reader(spark, schema).csv(f"{path}/data")
     descriptor = spark.read.json(f"{path}/metadata")
     return data, descriptor
