@@ -248,7 +248,8 @@ def q_csv_month_ingest(spark, sf):
     # The published files end with blank lines and a source line; add them as their own file.
     footer = spark.createDataFrame([("",), ("",), ("SOURCE: orders table, monthly counts",)], "value string")
     footer.coalesce(1).write.mode("append").text(path)
-    return read_series_csv(spark, path, value_name="orders", value_type=LongType())
+    # Read with the schema's generic name, then rename to the series name (metadata follows).
+    return read_series_csv(spark, path, value_type=LongType()).withColumnRenamed("value", "orders")
 
 
 CSV_HEADER_NAMES = ["Nation.Key", "Nation Name", "Customers %", "Balance (USD)"]
