@@ -46,10 +46,10 @@ def fit_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), train: Co
 
 def _join_on_keys(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach per-key columns. NULL keys match (null-safe equality). With no keys the statistics
-    are one row by construction (a global aggregate), so that side is broadcast."""
+    are one row by construction (a global aggregate): its columns become scalar subqueries,
+    evaluated once (Catalyst merges subqueries over the same plan), with no join at all."""
     if not keys:
-        return df.withColumn("_one", F.lit(1)).join(
-            F.broadcast(stats.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+        return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
     renamed = stats.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
                            *[c for c in stats.columns if c not in keys])
     cond = [df[k].eqNullSafe(renamed[f"_key_{i}"]) for i, k in enumerate(keys)]

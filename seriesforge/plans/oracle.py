@@ -74,24 +74,27 @@ REGION_YEARLY = f"""{ORDERS_MARKET},
 ry AS (SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n_orders FROM om GROUP BY 1, 2)"""
 
 
-def _fit(name: str, cutoff: int) -> str:
-    """Per-region closed-form elastic-net fit on years <= cutoff, as a CTE ``name``."""
-    t = f"year <= {cutoff}"
+def _fit(name: str, cutoff: int, src: str = "ry", y: str = "n_orders", key: str | None = "r_name") -> str:
+    """Closed-form elastic-net fit of ``y`` on ``year`` (years <= cutoff) per ``key`` (or one
+    global fit when ``key`` is None), as a CTE ``name``."""
+    t = f"year <= {cutoff} AND {y} IS NOT NULL"
+    k = f"{key}, " if key else ""
+    group = "GROUP BY 1" if key else ""
     return f"""{name}_s AS (
-  SELECT r_name, MAX(year) AS last_year,
+  SELECT {k}MAX(year) AS last_year,
          COUNT(CASE WHEN {t} THEN year END) AS n,
          AVG(CASE WHEN {t} THEN CAST(year AS DOUBLE) END) AS xm,
-         AVG(CASE WHEN {t} THEN CAST(n_orders AS DOUBLE) END) AS ym,
+         AVG(CASE WHEN {t} THEN CAST({y} AS DOUBLE) END) AS ym,
          STDDEV_POP(CASE WHEN {t} THEN CAST(year AS DOUBLE) END) AS sx,
-         STDDEV_POP(CASE WHEN {t} THEN CAST(n_orders AS DOUBLE) END) AS sy,
-         COVAR_POP(CASE WHEN {t} THEN CAST(n_orders AS DOUBLE) END, CASE WHEN {t} THEN CAST(year AS DOUBLE) END) AS c
-  FROM ry GROUP BY 1),
+         STDDEV_POP(CASE WHEN {t} THEN CAST({y} AS DOUBLE) END) AS sy,
+         COVAR_POP(CASE WHEN {t} THEN CAST({y} AS DOUBLE) END, CASE WHEN {t} THEN CAST(year AS DOUBLE) END) AS c
+  FROM {src} {group}),
 {name}_k AS (
-  SELECT r_name, last_year, xm, ym,
+  SELECT {k}last_year, xm, ym,
          CASE WHEN n = 0 THEN NULL WHEN sx = 0 OR sy = 0 THEN 0.0
               ELSE sign(c) * (greatest(abs(c) / sx - {L1!r}, 0.0) / (sy + {L2!r})) * (sy / sx) END AS slope
   FROM {name}_s),
-{name} AS (SELECT r_name, last_year, slope, ym - slope * xm AS intercept FROM {name}_k)"""
+{name} AS (SELECT {k}last_year, slope, ym - slope * xm AS intercept FROM {name}_k)"""
 
 
 def _rows_with_futures(fit: str) -> str:
@@ -105,6 +108,21 @@ def _score(fit: str) -> str:
     return f"CAST(round({fit}.intercept + {fit}.slope * CAST(rows_.year AS DOUBLE), {q.SCORE_DIGITS}) AS DECIMAL(38,4))"
 
 
+_GOLD_IMPUTED = f"""WITH {GOLD_ALL},
+known AS (
+  SELECT COUNT(DISTINCT month(month)) AS k, SUM(international) AS s_i, SUM(domestic) AS s_d, SUM(total) AS s_t
+  FROM gold_all WHERE year(month) = {q.IMPUTE_YEAR}),
+cal AS (SELECT CAST(d AS DATE) AS month
+        FROM generate_series(DATE '{q.IMPUTE_YEAR}-01-01', DATE '{q.IMPUTE_YEAR}-12-01', INTERVAL 1 MONTH) t(d)),
+imputed AS (
+  SELECT cal.month, CAST(s_i // (12 - k) AS BIGINT) AS international, CAST(s_d // (12 - k) AS BIGINT) AS domestic,
+         CAST(s_t // (12 - k) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS total_reported, TRUE AS imputed
+  FROM known CROSS JOIN cal
+  WHERE k > 0 AND 12 - k > 0 AND cal.month NOT IN (SELECT month FROM gold_all WHERE month IS NOT NULL)),
+gold_imp AS (
+  SELECT month, international, domestic, total, total AS total_reported, FALSE AS imputed FROM gold_all
+  UNION ALL SELECT * FROM imputed)"""
+
 ORACLE: dict[str, str] = {
     "combine_monthly": f"""WITH {GOLD}
 SELECT month, international, domestic, total FROM gold ORDER BY month""",
@@ -239,6 +257,33 @@ SELECT rows_.r_name, rows_.year, rows_.n_orders,
        {_score("fa")} AS prediction_{q.HORIZONS[0]}, {_score("fb")} AS prediction_{q.HORIZONS[1]}
 FROM rows_ JOIN fa ON rows_.r_name = fa.r_name JOIN fb ON rows_.r_name = fb.r_name""",
 
+    "impute_gold_all": _GOLD_IMPUTED + """
+SELECT * FROM gold_imp""",
+
+    "forecast_imputed_horizons": _GOLD_IMPUTED + f""",
+yi AS (
+  SELECT CAST(year(month) AS INTEGER) AS year, CAST(SUM(total_reported) AS BIGINT) AS total_reported,
+         CAST(SUM(total) AS BIGINT) AS total
+  FROM gold_imp GROUP BY 1),
+{_fit("fa", q.IMPUTED_HORIZONS[0], src="yi", y="total", key=None)},
+{_fit("fb", q.IMPUTED_HORIZONS[1], src="yi", y="total", key=None)},
+fut AS (SELECT CAST(g AS INTEGER) AS year FROM fa, generate_series(fa.last_year + 1, {q.HORIZON}) t(g)
+        WHERE fa.last_year < {q.HORIZON}),
+rows_ AS (SELECT year, total_reported, total FROM yi
+          UNION ALL SELECT year, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM fut)
+SELECT rows_.year, rows_.total_reported, rows_.total,
+       {_score("fa")} AS prediction_{q.IMPUTED_HORIZONS[0]}, {_score("fb")} AS prediction_{q.IMPUTED_HORIZONS[1]},
+       CASE WHEN rows_.year <= {q.KNOWN_UNTIL} THEN rows_.total END AS known_{q.KNOWN_UNTIL}
+FROM rows_, fa, fb""",
+
+    "chart_dashboard": f"""WITH {GOLD},
+q AS (SELECT CAST(year(month) AS VARCHAR) || '-Q' || CAST(quarter(month) AS VARCHAR) AS period, SUM(total) AS total
+      FROM gold GROUP BY 1),
+y AS (SELECT year(month) AS year, SUM(total) AS total FROM gold GROUP BY 1)
+SELECT 'month' AS chart, COUNT(*) AS n_rows, CAST(SUM(total) AS BIGINT) AS total FROM gold
+UNION ALL SELECT 'quarter', COUNT(*), CAST(SUM(total) AS BIGINT) FROM q
+UNION ALL SELECT 'year', COUNT(*), CAST(SUM(total) AS BIGINT) FROM y""",
+
     "rmse_by_key": f"""WITH {REGION_YEARLY},
 {_fit("fit", q.RMSE_TRAIN_UNTIL)},
 err AS (

@@ -39,6 +39,7 @@ SPLIT_YEAR = 1998
 HORIZON = 2007
 TRAIN_UNTIL = 2000
 HORIZONS = (1999, 2000)
+IMPUTED_HORIZONS = (1999, 2001)     # the later model trains on the imputed partial year
 RMSE_TRAIN_UNTIL, RMSE_TEST_FROM, RMSE_TEST_UNTIL = 1998, 1999, 2000
 GBT_TRAIN_UNTIL = 1998
 LATEST_N = 15
@@ -332,6 +333,56 @@ def q_rmse_by_key(spark, sf):
     return rmse(test, "n_orders", keys=["r_name"]).withColumn("rmse", score(F.col("rmse")))
 
 
+def gold_all_imputed(spark: SparkSession, sf: str) -> DataFrame:
+    """The combined monthly series without cut-off, its partial last year filled in (spread rule),
+    with the reported total kept apart (NULL on imputed months)."""
+    return impute_year(gold_monthly(spark, sf, cutoff=None), "month", IMPUTE_YEAR, ["international", "domestic", "total"],
+                       copies={"total_reported": "total"})
+
+
+def q_impute_gold_all(spark, sf):
+    return gold_all_imputed(spark, sf)
+
+
+def q_forecast_imputed_horizons(spark, sf):
+    """Yearly sums of the imputed series, one trend on the years up to 1999 and one including
+    the imputed year, both scored on every year up to the horizon."""
+    yearly = rollup_series(gold_all_imputed(spark, sf), "month", "year",
+                           {"total_reported": "total_reported", "total": "total",
+                            "international": "international", "domestic": "domestic"})
+    names = [f"prediction_{c}" for c in IMPUTED_HORIZONS]
+    scored = forecast_linear(yearly, "year", "total", list(IMPUTED_HORIZONS), horizon=HORIZON, names=names)
+    out = drop_columns(scored, ["international", "domestic"]).withColumn(
+        f"known_{KNOWN_UNTIL}", known_until("year", KNOWN_UNTIL, "total"))
+    for n in names:
+        out = out.withColumn(n, score(F.col(n)))
+    return with_headers(out, {"year": "Year", "total_reported": "Reported orders", "total": "Orders",
+                              f"known_{KNOWN_UNTIL}": f"Orders used in model {KNOWN_UNTIL}"})
+
+
+DASHBOARD = ("month", "quarter", "year")
+
+
+def q_chart_dashboard(spark, sf):
+    """One gold table, three charts (month, quarter, year), each its own bundle; the bundles are
+    read back and summarised as (chart, rows, orders)."""
+    gold = materialize(gold_monthly(spark, sf))      # read by three charts: computed once
+    out = scratch_path(spark, "dashboard")
+    summaries = []
+    for grain in DASHBOARD:
+        chart = gold if grain == "month" else rollup_series(gold, "month", grain, MEASURES3)
+        key = chart.columns[0]
+        publish_chart(chart, out, f"orders-per-{grain}", order_by=[key], title=f"Orders per {grain}",
+                      x_title="From {min} to {max}", bounds_col=key)
+        data, _ = read_chart(spark, out, f"orders-per-{grain}", schema=chart.schema)
+        summaries.append(data.agg(F.lit(grain).alias("chart"), F.count(F.lit(1)).alias("n_rows"),
+                                  F.sum("total").alias("total")))
+    result = summaries[0]
+    for other in summaries[1:]:
+        result = result.unionByName(other)
+    return result
+
+
 def q_forecast_gbt(spark, sf):
     scored, _ = forecast_gbt(region_yearly(spark, sf), "year", "n_orders", GBT_TRAIN_UNTIL, keys=["r_name"])
     return scored
@@ -368,4 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_two_horizons": q_forecast_two_horizons,
     "rmse_by_key": q_rmse_by_key,
     "forecast_gbt": q_forecast_gbt,
+    "impute_gold_all": q_impute_gold_all,
+    "forecast_imputed_horizons": q_forecast_imputed_horizons,
+    "chart_dashboard": q_chart_dashboard,
 }
