@@ -46,17 +46,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written tables.
 
-    Read from the running session (``spark.checkpoint.dir`` or a directory already set on the
-    context). Only if none is set — local tests — create a fresh one and register it.
+    Read from the running session: a checkpoint directory already set on the context, else the
+    ``spark.checkpoint.dir`` setting. Only a local session without one (tests, the benchmark) gets
+    a fresh folder of its own; on a cluster a missing setting is an error, because a machine-local
+    folder is not visible to the executors.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a JVM context (Spark Connect)
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="seriesforge-ckpt-"))
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not str(master).startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on storage shared by all executors")
+    local = tempfile.mkdtemp(prefix="seriesforge-ckpt-")
+    sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 

@@ -70,3 +70,10 @@ def test_ordered_parts_concatenate_in_order(spark, workdir):
     for f in sorted(x for x in os.listdir(path + "/data") if x.startswith("part-")):
         years += [int(ln.split(",")[0]) for ln in open(os.path.join(path, "data", f)).read().splitlines()[1:]]
     assert years == list(range(5000))
+
+
+def test_scratch_paths_live_in_the_shared_folder(spark):
+    from seriesforge.session import scratch_path, shared_dir
+    base = shared_dir(spark)
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b and a.startswith(base.rstrip("/")) and b.startswith(base.rstrip("/"))
