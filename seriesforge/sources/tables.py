@@ -31,5 +31,14 @@ def load_table(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> Dat
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the generated benchmark tables: ``<sf_dir>/<name>.parquet``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the generated (read-only) benchmark tables: ``<sf_dir>/<name>.parquet``.
+
+    Resolved once per session, like a catalog table: the DataFrame keeps its file index, so
+    later queries don't list the files and read the footers again (on a large table in object
+    storage that listing alone takes long). The tables never change while a session runs.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cache = spark.__dict__.setdefault("_seriesforge_tables", {})
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
