@@ -95,9 +95,14 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
 
 
 def rmse(scored: DataFrame, y: str, prediction: str = "prediction", keys: Sequence[str] = (),
-         name: str = "rmse") -> DataFrame:
-    """sqrt(mean((y - prediction)^2)) per key, over rows where both are present."""
+         name: str = "rmse", rows: Column | None = None) -> DataFrame:
+    """sqrt(mean((y - prediction)^2)) per key, over rows where both are present (and ``rows``
+    holds, e.g. the test periods). ``rows`` is evaluated inside the aggregate rather than as a
+    filter in front of it: a filter on a roll-up's period would be pushed into a second scan of
+    the raw input, while the scored rows and the fit share one."""
     err = F.col(y).cast("double") - F.col(prediction)
+    if rows is not None:
+        err = F.when(rows, err)
     return scored.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias(name), F.count(err).alias("n"))
 
 

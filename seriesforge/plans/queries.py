@@ -329,8 +329,8 @@ def q_forecast_two_horizons(spark, sf):
 
 def q_rmse_by_key(spark, sf):
     scored = forecast_linear(region_yearly(spark, sf), "year", "n_orders", RMSE_TRAIN_UNTIL, keys=["r_name"])
-    test = scored.filter(F.col("year").between(RMSE_TEST_FROM, RMSE_TEST_UNTIL))
-    return rmse(test, "n_orders", keys=["r_name"]).withColumn("rmse", score(F.col("rmse")))
+    test_years = F.col("year").between(RMSE_TEST_FROM, RMSE_TEST_UNTIL)
+    return rmse(scored, "n_orders", keys=["r_name"], rows=test_years).withColumn("rmse", score(F.col("rmse")))
 
 
 def gold_all_imputed(spark: SparkSession, sf: str) -> DataFrame:
