@@ -49,3 +49,14 @@ def test_two_horizons_scan_once(spark):
 def test_imputation_has_no_join(spark):
     plan = df_plan = physical(se.queries()["impute_year"](spark, SMALL_SF))
     assert "SortMergeJoin LeftAnti" not in df_plan and "LeftAnti" not in plan
+
+
+DRIVER_TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_each_table_scanned_at_most_once(spark, name):
+    from seriesforge.plans.shape import executed_shape
+    shape = executed_shape(QUERIES[name](spark, SMALL_SF))
+    assert all(n == 1 for t, n in shape["scans"].items() if t in DRIVER_TABLES), shape["scans"]
+    assert not any(j.startswith(("BroadcastNestedLoopJoin", "CartesianProduct")) for j in shape["joins"])
