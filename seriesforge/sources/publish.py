@@ -92,28 +92,41 @@ def chart_descriptor(df: DataFrame, title: str = "", x_title: str = "X", y_title
 def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Sequence[str] = (),
                   single_file: bool = False, title: str = "", x_title: str = "X", y_title: str = "Y",
                   x_scale: str = SCALE_LABELS, bounds_col: str | None = None,
-                  include_ml: bool = False) -> str:
+                  include_ml: bool = False, partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` and its descriptor as a new version of chart ``chart_id``; returns its path.
 
     Data order: with ``order_by`` the frame is range-partitioned and sorted, so part files are in
     order (AQE folds a small chart into one file); ``single_file=True`` forces one part file,
     sorted within it — only for results known to be small.
+
+    ``partition_by`` (series keys) publishes one chart per key: ``data/<key>=<value>/part-*.csv``,
+    each directory holding one key's rows, sorted within its files by ``order_by``. Rows are
+    clustered by the keys first, so every task writes few directories. The descriptor lists the
+    columns a per-key file holds (the keys are in the directory names).
     """
     version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     root = f"{out.rstrip('/')}/{chart_id}"
     path = f"{root}/{version}"
     data = df
-    if single_file:
+    writer_keys = list(partition_by)
+    if writer_keys:
+        data = data.repartition(*[quoted(k) for k in writer_keys]).sortWithinPartitions(
+            *[quoted(c) for c in writer_keys + list(order_by)])
+    elif single_file:
         data = data.repartition(1)
         if order_by:
             data = data.sortWithinPartitions(*[quoted(c) for c in order_by])
     elif order_by:
         data = data.orderBy(*[quoted(c) for c in order_by])
-    data.write.option("header", True).csv(f"{path}/data")
+    writer = data.write.option("header", True)
+    if writer_keys:
+        writer = writer.partitionBy(*writer_keys)
+    writer.csv(f"{path}/data")
     spark = df.sparkSession
     # Title bounds come from the written files, so the chart's upstream plan runs only once.
     written = _typed_reader(spark, df.schema).csv(f"{path}/data") if bounds_col is not None else None
-    (chart_descriptor(df, title, x_title, y_title, x_scale, bounds_col, include_ml, bounds_from=written)
+    described = df.drop(*writer_keys) if writer_keys else df
+    (chart_descriptor(described, title, x_title, y_title, x_scale, bounds_col, include_ml, bounds_from=written)
      .coalesce(1).write.text(f"{path}/metadata"))
     (spark.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path"),
                            F.current_timestamp().alias("published_at"))

@@ -77,3 +77,22 @@ def test_scratch_paths_live_in_the_shared_folder(spark):
     base = shared_dir(spark)
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(base.rstrip("/")) and b.startswith(base.rstrip("/"))
+
+
+def test_one_chart_per_key(spark, workdir):
+    rows = [(k, y, i * 100 + y) for i, k in enumerate(["AA", "BB", "CC"]) for y in range(2000, 2010)]
+    df = with_headers(spark.createDataFrame(rows, "carrier string, year int, pax bigint").repartition(4),
+                      {"pax": "Passengers"})
+    path = publish_chart(df, workdir, "per-carrier", order_by=["year"], partition_by=["carrier"],
+                         x_title="{min}-{max}", bounds_col="year")
+    dirs = sorted(d for d in os.listdir(path + "/data") if not d.startswith(("_", ".")))
+    assert dirs == ["carrier=AA", "carrier=BB", "carrier=CC"]
+    for d in dirs:
+        years = []
+        for f in sorted(x for x in os.listdir(f"{path}/data/{d}") if x.startswith("part-")):
+            years += [int(ln.split(",")[0]) for ln in open(f"{path}/data/{d}/{f}").read().splitlines()[1:]]
+        assert years == list(range(2000, 2010))
+    data, desc = read_chart(spark, workdir, "per-carrier", schema=df.schema)
+    assert data.filter("carrier = 'BB' AND year = 2005").first().pax == 2105
+    d = desc.first()
+    assert d.xtitle == "2000-2009" and [c.key for c in d.columns] == ["year", "pax"]
