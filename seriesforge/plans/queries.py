@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..operators.columns import with_headers
+from ..operators.columns import column_bounds, with_headers
 from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
 from ..operators.impute import calendar_gaps, impute_year
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
@@ -178,7 +178,6 @@ def q_global_sums(spark, sf):
 
 
 def q_column_bounds(spark, sf):
-    from ..operators.columns import column_bounds
     b = column_bounds(driver_table(spark, sf, "orders"), "o_orderdate")
     return b.select(F.to_date("min_value").alias("min_value"), F.to_date("max_value").alias("max_value"))
 
