@@ -95,3 +95,14 @@ def test_gold_table_roundtrip_keeps_metadata(spark, workdir):
     assert back.schema["pax"].metadata == {"header": "Passengers"}
     save_table(df.withColumn("pax", F.lit(7)), path)   # overwrite
     assert load_table(spark, path).first().pax == 7
+
+
+def test_partitioned_gold_table_prunes_year_slices(spark, workdir):
+    rows = [(dt.date(y, m, 1), y * 100 + m) for y in (2019, 2020, 2021) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "month date, pax int").withColumn("y", F.year("month"))
+    path = save_table(df, os.path.join(workdir, "gold"), partition_by=["y"])
+    assert sorted(x for x in os.listdir(path) if x.startswith("y=")) == ["y=2019", "y=2020", "y=2021"]
+    one = load_table(spark, path).filter("y = 2021")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(y" in plan and "(y#" in plan
+    assert one.count() == 12 and one.agg(F.min("pax")).first()[0] == 202101
