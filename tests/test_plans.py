@@ -60,3 +60,29 @@ def test_each_table_scanned_at_most_once(spark, name):
     shape = executed_shape(QUERIES[name](spark, SMALL_SF))
     assert all(n == 1 for t, n in shape["scans"].items() if t in DRIVER_TABLES), shape["scans"]
     assert not any(j.startswith(("BroadcastNestedLoopJoin", "CartesianProduct")) for j in shape["joins"])
+
+
+def test_operators_build_without_running_jobs(spark):
+    """Building the lazy operators runs nothing: no collect, count or schema-inference job."""
+    import seriesforge as sfg
+    from pyspark.sql import functions as F
+    from seriesforge.sources.tables import driver_table
+    o = driver_table(spark, SMALL_SF, "orders")     # resolved before the job group starts
+    sc = spark.sparkContext
+    sc.setJobGroup("lazy-build", "operators must not run jobs while building")
+    try:
+        m = sfg.rollup_series(o, "o_orderdate", "month", {"n": F.count(F.lit(1)), "p": "o_totalprice"})
+        y = sfg.rollup_series(o, "o_orderdate", "year", {"n": F.count(F.lit(1))}, keys=["o_orderstatus"])
+        c = sfg.combine_series(m.select("month", "n"), m.select("month", "p"), "month", total="t",
+                               parts=["n", "p"], before="1999-01-01")
+        i = sfg.impute_year(m, "month", 1998, ["n"])
+        g = sfg.calendar_gaps(m, "month", 1998)
+        f = sfg.forecast_linear(y, "year", "n", [1997, 1998], keys=["o_orderstatus"], horizon=2005)
+        u = sfg.forecast_linear(y.filter("o_orderstatus = 'F'"), "year", "n", 1998, horizon=2005)
+        r = sfg.rmse(f, "n", prediction="prediction1998", keys=["o_orderstatus"])
+        h = sfg.with_headers(c, {"t": "Total"})
+        d = sfg.chart_descriptor(h, bounds_col="month", x_title="{min}..{max}")
+        _ = [x.schema for x in (m, y, c, i, g, f, u, r, h, d)]
+        assert list(sc.statusTracker().getJobIdsForGroup("lazy-build")) == []
+    finally:
+        sc.setJobGroup(None, None)
