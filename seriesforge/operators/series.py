@@ -137,15 +137,34 @@ def known_until(col: str, threshold, value: str) -> Column:
     return F.when(F.col(col) <= _bound(threshold), F.col(value))
 
 
+def tie_breakers(df: DataFrame, by: Sequence[str | Column]) -> list[Column]:
+    """The orderable columns of ``df`` not already sorted on, as extra sort keys.
+
+    A global sort range-partitions on its keys, and equal keys cannot be split: a value shared by
+    a third of the rows would land in one task. Sorting on the remaining columns too lets the
+    partitioner split such a value, and makes the output order deterministic.
+    """
+    from pyspark.sql.types import ArrayType, MapType, StructType
+    named = {b for b in by if isinstance(b, str)}
+    return [quoted_col(f.name) for f in df.schema.fields
+            if f.name not in named and not isinstance(f.dataType, (MapType, ArrayType, StructType))]
+
+
+def quoted_col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sorted_series(df: DataFrame, *by: str | Column, ascending: bool = True) -> DataFrame:
-    """Global sort; apply once, as the last step (range exchange + per-partition sort)."""
-    cols = [as_col(b) for b in by]
+    """Global sort; apply once, as the last step (range exchange + per-partition sort). Ties are
+    broken by the other columns (see :func:`tie_breakers`)."""
+    cols = [as_col(b) for b in by] + tie_breakers(df, by)
     return df.orderBy(*[c.asc() if ascending else c.desc() for c in cols])
 
 
 def latest(df: DataFrame, by: str, n: int) -> DataFrame:
-    """The ``n`` rows with the largest ``by`` (a top-n: each task keeps n rows, one merge)."""
-    return df.orderBy(F.col(by).desc()).limit(n)
+    """The ``n`` rows with the largest ``by`` (a top-n: each task keeps n rows, one merge).
+    Ties at the boundary are broken by the other columns, so the result is deterministic."""
+    return df.orderBy(F.col(by).desc(), *[c.desc() for c in tie_breakers(df, [by])]).limit(n)
 
 
 def union_series(df: DataFrame, other: DataFrame) -> DataFrame:

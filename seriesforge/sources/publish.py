@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from ..operators.columns import quoted
+from ..operators.series import tie_breakers
 
 # Fixed values of the descriptor format.
 TITLE, X_TITLE, X_SCALE, Y_TITLE, COLUMNS, HEADER, KEY = (
@@ -100,9 +101,8 @@ def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Se
     sorted within it — only for results known to be small.
 
     ``partition_by`` (series keys) publishes one chart per key: ``data/<key>=<value>/part-*.csv``,
-    each directory holding one key's rows, sorted within its files by ``order_by``. Rows are
-    clustered by the keys first, so every task writes few directories. The descriptor lists the
-    columns a per-key file holds (the keys are in the directory names).
+    each directory holding one key's rows in ``order_by`` order across its part files. The
+    descriptor lists the columns a per-key file holds (the keys are in the directory names).
     """
     version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     root = f"{out.rstrip('/')}/{chart_id}"
@@ -110,14 +110,18 @@ def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Se
     data = df
     writer_keys = list(partition_by)
     if writer_keys:
-        data = data.repartition(*[quoted(k) for k in writer_keys]).sortWithinPartitions(
-            *[quoted(c) for c in writer_keys + list(order_by)])
+        # Range-partition on (keys, order, other columns): each task covers a contiguous slice,
+        # so it writes into few key directories, part files within a directory are in order, and
+        # a key holding a large share of the rows is spread over several tasks.
+        ordering = [quoted(c) for c in writer_keys + list(order_by)]
+        ordering += tie_breakers(df, writer_keys + list(order_by))
+        data = data.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
     elif single_file:
         data = data.repartition(1)
         if order_by:
             data = data.sortWithinPartitions(*[quoted(c) for c in order_by])
     elif order_by:
-        data = data.orderBy(*[quoted(c) for c in order_by])
+        data = data.orderBy(*[quoted(c) for c in order_by], *tie_breakers(df, list(order_by)))
     writer = data.write.option("header", True)
     if writer_keys:
         writer = writer.partitionBy(*writer_keys)

@@ -120,3 +120,20 @@ def test_global_sums_one_row_even_when_empty(spark):
     df = spark.createDataFrame([], "pax int")
     r = global_sums(df, {"pax": "pax", "n": F.count(F.lit(1))}).collect()
     assert len(r) == 1 and r[0].pax is None and r[0].n == 0
+
+
+def test_sort_splits_a_hot_value_and_is_deterministic(spark):
+    # a third of the rows share one year; the range partitioner can split them on the tie-breakers
+    rows = [(2000 if i % 3 == 0 else 2001 + i % 50, f"k{i:05d}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "year int, key string, v int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sorted_series(df, "year")
+        sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2000          # the 2000 rows of year 2000 are not all in one partition
+    got = [(r.year, r.key) for r in out.collect()]
+    assert got == sorted(got)
+    top = latest(df, "year", 5).collect()
+    assert [r.key for r in top] == [r.key for r in latest(df, "year", 5).collect()]
