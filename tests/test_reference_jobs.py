@@ -101,3 +101,37 @@ def test_two_horizon_projection_and_boosted_trees(spark, gold_all):
     gbt, _ = sfg.forecast_gbt(gold_yearly, "year", "pax", train_until=2015, seed=2)
     err = sfg.rmse(gbt, "pax", rows=F.col("year") > 2015).first()
     assert err.n == 4 and err.rmse == pytest.approx(82875.608, abs=1e-3)
+
+
+def test_jobs_module_end_to_end(spark, workdir):
+    from seriesforge import jobs
+    intl = monthly_file(os.path.join(workdir, "I.csv"), 1)
+    dom = monthly_file(os.path.join(workdir, "D.csv"), 0)
+    out = os.path.join(workdir, "charts")
+    paths = jobs.traffic_charts(jobs.traffic_gold(spark, intl, dom, before="2020-01-01"), out)
+    assert set(paths) == {"month", "quarter", "year"}
+    counts = {g: sfg.read_chart(spark, out, f"traffic-{g}")[0].count() for g in paths}
+    assert counts == {"month": 240, "quarter": 80, "year": 20}
+    gold = jobs.save_traffic_gold(jobs.traffic_gold(spark, intl, dom), os.path.join(workdir, "gold_all"), impute=2021)
+    proj = {r.year: r for r in jobs.traffic_projection(spark, gold, [2019, 2021], 2026).collect()}
+    assert proj[2021].pax == 406269 and proj[2021].paxBts == 203136 and proj[2021].paxInModel2019 is None
+    assert proj[2026].prediction2021 == pytest.approx(733532.1, abs=0.1)
+    cut = jobs.save_traffic_gold(jobs.traffic_gold(spark, intl, dom, before="2020-01-01"), os.path.join(workdir, "gold"))
+    _, err = jobs.traffic_gbt(spark, cut, 2015, seed=1)
+    assert err.first().rmse == pytest.approx(82875.608, abs=1e-3)
+
+
+def test_gdp_history_job_and_cli(spark, workdir):
+    from seriesforge import jobs
+    text = ("﻿President,Year,Receipts,Outlays,Surplus,G.D.P.,Receipts %,Outlays %,Surplus %\r\n"
+            "C One,1930,4.1,3.3,0.7,98.4,4.1,3.4,0.8\r\nH Two,1931,3.1,3.6,-0.5,84.8,3.7,4.2,-0.5\r\n"
+            "F Three,2026,5.0,6.1,-1.1,31000.5,16.1,19.7,-3.6\r\nH Two,999,1,1,1,1,1,1,1\r\n")
+    path = os.path.join(workdir, "gdp.csv")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    df = jobs.gdp_history(spark, path)
+    assert df.columns == ["Year", "G.D.P."]
+    assert [r.Year for r in df.collect()] == [999, 1930, 1931, 2026]      # numeric, not text, order
+    jobs.main(["gdp-history", "--input", path, "--out", os.path.join(workdir, "out")])
+    data, desc = sfg.read_chart(spark, os.path.join(workdir, "out"), "gdp-history")
+    assert data.count() == 4 and desc.first().xtitle == "Year 999 - 2026"
