@@ -58,20 +58,27 @@ def count_where(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)))
 
 
-def with_total(df: DataFrame, total: str, parts: Sequence[str], missing_as_zero: bool = False) -> DataFrame:
-    """``total = parts[0] + parts[1] + ...``; NULL when a part is NULL unless ``missing_as_zero``."""
+def with_total(df: DataFrame, total: str, parts: Sequence[str], missing_as_zero: bool = False,
+               on_overflow: str = "error") -> DataFrame:
+    """``total = parts[0] + parts[1] + ...``; NULL when a part is NULL unless ``missing_as_zero``.
+
+    An integer overflow raises (ANSI arithmetic) unless ``on_overflow="null"``, which gives NULL
+    for that row (``try_add``) and keeps the others.
+    """
+    if on_overflow not in ("error", "null"):
+        raise ValueError(f"on_overflow must be 'error' or 'null', got {on_overflow!r}")
     cols = [F.col(p) for p in parts]
     if missing_as_zero:
         cols = [F.coalesce(c, F.lit(0)) for c in cols]
     expr = cols[0]
     for c in cols[1:]:
-        expr = expr + c
+        expr = F.try_add(expr, c) if on_overflow == "null" else expr + c
     return df.withColumn(total, expr)
 
 
 def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "month",
                    total: str | None = None, parts: Sequence[str] | None = None,
-                   missing_as_zero: bool = False, before=None) -> DataFrame:
+                   missing_as_zero: bool = False, before=None, on_overflow: str = "error") -> DataFrame:
     """Full outer join of two series on their period (and key) columns, plus an optional total.
 
     * The join key is the coalesce of both sides, so periods present on one side only keep their
@@ -92,7 +99,7 @@ def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] =
     if total:
         if parts is None:
             parts = [c for c in left.columns if c not in on][:1] + [c for c in right.columns if c not in on][:1]
-        df = with_total(df, total, parts, missing_as_zero)
+        df = with_total(df, total, parts, missing_as_zero, on_overflow)
     return df
 
 

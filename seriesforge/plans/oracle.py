@@ -230,7 +230,7 @@ FROM gold GROUP BY 1""",
 
     "chart_descriptor": f"""WITH {YEARLY},
 b AS (SELECT MIN(year) AS lo, MAX(year) AS hi FROM yearly)
-SELECT v.position, v.key, v.header, '{q.CHART_TITLE}' AS title,
+SELECT v.position, v.key, v.header, '{q.CHART_SOURCE}' AS source, '{q.CHART_TITLE}' AS title,
        'Year ' || CAST(b.lo AS VARCHAR) || ' - ' || CAST(b.hi AS VARCHAR) AS xtitle,
        '{q.CHART_Y_TITLE}' AS ytitle, 'labels' AS xscale
 FROM (VALUES (0, 'year', 'Year'), (1, 'international', 'International orders'),

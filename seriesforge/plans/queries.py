@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..operators.columns import column_bounds, with_headers
+from ..operators.columns import column_bounds, with_headers, with_metadata_all
 from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
 from ..operators.impute import calendar_gaps, impute_year
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
@@ -295,15 +295,19 @@ CHART_HEADERS = {"year": "Year", "international": "International orders",
                  "domestic": "Domestic orders", "total": "Orders"}
 
 
+CHART_SOURCE = "orders"
+
+
 def q_chart_descriptor(spark, sf):
-    chart = with_headers(yearly_gold(spark, sf), CHART_HEADERS)
+    # one entry on every column first, then headers merged on top (both kept in the descriptor)
+    chart = with_headers(with_metadata_all(yearly_gold(spark, sf), "source", CHART_SOURCE), CHART_HEADERS)
     out = scratch_path(spark, "charts")
     publish_chart(chart, out, "orders-per-year", order_by=["year"], title=CHART_TITLE,
                   x_title=CHART_X_TITLE, y_title=CHART_Y_TITLE, bounds_col="year")
     _, desc = read_chart(spark, out, "orders-per-year")
     return desc.select(F.posexplode("columns").alias("position", "col"), "title", "xtitle", "ytitle", "xscale") \
                .select("position", F.col("col.key").alias("key"), F.col("col.header").alias("header"),
-                       "title", "xtitle", "ytitle", "xscale")
+                       F.col("col.source").alias("source"), "title", "xtitle", "ytitle", "xscale")
 
 
 def q_impute_year(spark, sf):

@@ -74,9 +74,11 @@ def test_count_where_matches_outer_join(spark):
 
 
 def test_int_overflow_is_an_error_not_a_wrap(spark):
-    df = spark.createDataFrame([(d(2000, 1), 2**31 - 1, 1)], "month date, a int, b int")
+    df = spark.createDataFrame([(d(2000, 1), 2**31 - 1, 1), (d(2000, 2), 1, 1)], "month date, a int, b int")
     with pytest.raises(Exception):
         with_total(df, "t", ["a", "b"]).collect()
+    got = {r.month: r.t for r in with_total(df, "t", ["a", "b"], on_overflow="null").collect()}
+    assert got == {d(2000, 1): None, d(2000, 2): 2}
 
 
 def test_quality_filters(spark):
