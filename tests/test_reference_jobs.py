@@ -135,3 +135,18 @@ def test_gdp_history_job_and_cli(spark, workdir):
     jobs.main(["gdp-history", "--input", path, "--out", os.path.join(workdir, "out")])
     data, desc = sfg.read_chart(spark, os.path.join(workdir, "out"), "gdp-history")
     assert data.count() == 4 and desc.first().xtitle == "Year 999 - 2026"
+
+
+def test_traffic_cli(spark, workdir, capsys):
+    from seriesforge import jobs
+    intl = monthly_file(os.path.join(workdir, "I.csv"), 1)
+    dom = monthly_file(os.path.join(workdir, "D.csv"), 0)
+    out, gold = os.path.join(workdir, "charts"), os.path.join(workdir, "gold")
+    jobs.main(["traffic-charts", "--international", intl, "--domestic", dom, "--out", out])
+    jobs.main(["traffic-gold", "--international", intl, "--domestic", dom, "--gold", gold, "--impute-year", "2021"])
+    jobs.main(["traffic-projection", "--gold", gold, "--out", out, "--cutoffs", "2019", "2021", "--horizon", "2026"])
+    data, desc = sfg.read_chart(spark, out, "traffic-projection")
+    assert data.count() == 27 and desc.first().xtitle == "Year 2000 - 2026"
+    assert sfg.read_chart(spark, out, "traffic-quarter")[0].count() == 80
+    printed = capsys.readouterr().out
+    assert "traffic-year" in printed and gold in printed
