@@ -90,3 +90,12 @@ def test_gbt_reference_shape(spark):
     test = scored.filter("year > 2015")
     assert rmse(test, "pax").first().rmse == pytest.approx(82875.608, abs=1e-3)
     assert len(model.stages) == 3
+
+
+def test_empty_test_split_is_tolerated(spark):
+    # Q19: a gold table cut before 2020 has no row after 2019; scoring and RMSE still work
+    df = yearly(spark, 2019)
+    scored = forecast_linear(df, "year", "pax", 2019)
+    err = rmse(scored, "pax", rows=F.col("year") > 2019).first()
+    assert err.n == 0 and err.rmse is None
+    assert forecast_linear(df.filter("year > 2019"), "year", "pax", 2019).count() == 0
