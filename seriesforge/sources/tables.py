@@ -15,9 +15,18 @@ DEFAULT_FORMAT = "parquet"
 
 
 def save_table(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, mode: str = "overwrite",
-               partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` to ``path`` (distributed write, one file per task, committed atomically per
-    task by the output committer). Returns the path."""
+               partition_by: Sequence[str] = (), cluster: bool = True) -> str:
+    """Write ``df`` to ``path`` (distributed write, committed per task by the output committer).
+    Returns the path.
+
+    With ``partition_by`` the rows are first range-partitioned on the partition columns (then the
+    others, as tie-breakers): every task covers a contiguous slice and writes into one or two
+    partition directories, instead of every task writing a small file into every directory, and
+    a partition value holding a large share of the rows is still spread over several tasks.
+    """
+    if partition_by and cluster:
+        from ..operators.series import quoted_col, tie_breakers
+        df = df.repartitionByRange(*[quoted_col(c) for c in partition_by], *tie_breakers(df, list(partition_by)))
     writer = df.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -106,3 +106,13 @@ def test_partitioned_gold_table_prunes_year_slices(spark, workdir):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(y" in plan and "(y#" in plan
     assert one.count() == 12 and one.agg(F.min("pax")).first()[0] == 202101
+
+
+def test_partitioned_write_is_clustered(spark, workdir):
+    rows = [(dt.date(2000 + i % 4, 1 + i % 12, 1), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "month date, pax int").withColumn("y", F.year("month")).repartition(16)
+    path = save_table(df, os.path.join(workdir, "clustered"), partition_by=["y"])
+    files = [f for d in os.listdir(path) if d.startswith("y=")
+             for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]
+    assert len(files) < 16 * 4            # not one file per task per year
+    assert load_table(spark, path).count() == 4000
