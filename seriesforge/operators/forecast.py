@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import trend_aggregates, trend_intercept, trend_slope
 
+# The reference's regression settings (elastic-net regParam 0.3, mixing 0.8;
+# boosted trees with 10 iterations and a vector indexer of at most 4 categories).
 REG_PARAM = 0.3
 ELASTIC_NET = 0.8
+GBT_ITERATIONS = 10
+MAX_CATEGORIES = 4
 
 
 def future_points(df: DataFrame, period: str, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +111,7 @@ def rmse(scored: DataFrame, y: str, prediction: str = "prediction", keys: Sequen
 
 
 def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequence[str] = (),
-                 max_iter: int = 10, seed: int = 42, max_categories: int = 4):
+                 max_iter: int = GBT_ITERATIONS, seed: int = 42, max_categories: int = MAX_CATEGORIES):
     """Gradient-boosted trees on ``x`` (plus a numeric key feature when keyed), trained on
     ``x <= train_until``; returns ``(scored rows, fitted PipelineModel)``.
 
