@@ -1,11 +1,16 @@
 """Period roll-ups over a stream.
 
 The reference only processes batches; this module adds no new operator, it runs
-:func:`~seriesforge.operators.series.rollup_series` incrementally when new files (or other
+:func:`~seriesforge.operators.series.rollup_series` incrementally as new files (or other
 streaming sources) arrive. Months, quarters and years are calendar periods, not fixed-length
-windows, so the aggregate is keyed by the period value and emitted in ``update`` mode: each
-micro-batch emits the periods it changed. A watermark on the event-time column drops rows that
-arrive later than the allowed delay; state holds one entry per (key, period).
+windows, so the aggregate is keyed by the period value and written in ``update`` (or
+``complete``) mode: each micro-batch emits the periods it changed.
+
+State holds one partial aggregate per (key, period), bounded by keys × periods: a monthly series
+adds one entry per key and month, whatever the number of rows. Spark applies watermarks only to
+aggregations grouped on the event-time column or a ``window()`` of it, not to a calendar period
+derived from it, so no watermark is set here; late rows update their period's value instead of
+being dropped.
 """
 
 from __future__ import annotations
@@ -13,18 +18,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.series import Measures, rollup_series
 
 
 def stream_rollup(stream: DataFrame, date_col: str, grain: str, measures: Measures,
-                  keys: Sequence[str] = (), late_after: str | None = None) -> DataFrame:
+                  keys: Sequence[str] = ()) -> DataFrame:
     """Streaming DataFrame of per-period aggregates; write it with ``outputMode("update")``
     (or ``complete``) and a checkpoint location on shared storage."""
-    if late_after:
-        if dict(stream.dtypes)[date_col] != "timestamp":
-            # watermarks need TIMESTAMP (session time zone); TIMESTAMP_NTZ / DATE are cast
-            stream = stream.withColumn(date_col, F.col(date_col).cast("timestamp"))
-        stream = stream.withWatermark(date_col, late_after)
     return rollup_series(stream, date_col, grain, measures, keys=keys)

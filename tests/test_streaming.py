@@ -10,7 +10,7 @@ def test_stream_rollup_matches_batch(spark, workdir):
     src.write.parquet(workdir + "/events")           # a directory new files would land in
     stream = spark.readStream.schema(src.schema).parquet(workdir + "/events")
     agg = stream_rollup(stream, "ts", "month", {"n": F.count(F.lit(1)), "value": F.sum("value")},
-                        keys=["event_type"], late_after="7 days")
+                        keys=["event_type"])
     q = (agg.writeStream.outputMode("update").format("memory").queryName("rollup_stream")
          .option("checkpointLocation", workdir + "/ckpt").start())
     try:
@@ -22,3 +22,24 @@ def test_stream_rollup_matches_batch(spark, workdir):
             src.groupBy("event_type", F.trunc(F.to_date("ts"), "month").alias("month")).count()
                .withColumnRenamed("count", "n").collect()}
     assert got == want
+
+
+def test_stream_rollup_is_incremental(spark, workdir):
+    """Two files arrive in two micro-batches; the second updates the periods it touches."""
+    import datetime as dt
+    schema = "ts timestamp_ntz, k string, v int"
+    src = workdir + "/in"
+    spark.createDataFrame([(dt.datetime(2024, 1, 5), "a", 1), (dt.datetime(2024, 2, 1), "a", 2)], schema) \
+        .coalesce(1).write.parquet(src, mode="append")
+    agg = stream_rollup(spark.readStream.schema(schema).parquet(src), "ts", "month", {"v": "v"}, keys=["k"])
+    q = (agg.writeStream.outputMode("complete").format("memory").queryName("rollup_incr")
+         .option("checkpointLocation", workdir + "/ckpt2").start())
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([(dt.datetime(2024, 1, 20), "a", 10)], schema).coalesce(1) \
+            .write.parquet(src, mode="append")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.k, r.month.month): r.v for r in spark.sql("SELECT * FROM rollup_incr").collect()}
+    assert got == {("a", 1): 11, ("a", 2): 2}
