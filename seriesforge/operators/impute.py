@@ -5,7 +5,7 @@ each measure (integer division), assuming the known months were January..k. Here
 may be any subset (real gaps are found), every key is handled in the same aggregate, and the
 count, the sums, the calendar and the append all stay inside the plan:
 
-    year slice ──(pushed-down filter)── groupBy(keys): known months, sums ──(1 shuffle)──
+    series ── groupBy(keys): months of the year present, sums over the year ──(1 shuffle)──
         explode(the months not known) → imputed rows ── unionByName ── original rows
 
 The set of known months per key holds at most twelve values whatever the input size, so the
