@@ -1,0 +1,21 @@
+"""Join helpers: broadcast a side only behind a check of its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side broadcast on a row-count check (dimension tables: regions, nations, segments ...).
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged (the planner
+    then picks a shuffle join, and AQE may still convert it from runtime sizes).
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` before ``count``), so it stays cheap
+    on a large table. Use it on a dimension whose size the plan's estimates can't see, e.g. a
+    join of two small tables (Catalyst estimates a join's size as the product of its inputs).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

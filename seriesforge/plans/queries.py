@@ -18,6 +18,7 @@ from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, St
 from ..operators.columns import column_bounds, with_headers, with_metadata_all
 from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
 from ..operators.impute import calendar_gaps, impute_year
+from ..operators.joins import broadcast_if_small
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
                                 drop_columns, global_sums, known_until, latest, require_not_null,
                                 rollup_series, sorted_series, split_label, union_series, with_total)
@@ -62,6 +63,17 @@ def score(c):
 # Shared inputs
 
 
+def region_of_nation(spark: SparkSession, sf: str, n: DataFrame, r: DataFrame) -> DataFrame:
+    """nation ⋈ region → (n_nationkey, r_name), broadcast behind a row-count check (checked once
+    per session and tables; a dimension of a few rows)."""
+    cache = spark.__dict__.setdefault("_seriesforge_tables", {})
+    key = f"{sf.rstrip('/')}#region_of_nation"
+    if key not in cache:
+        r = broadcast_if_small(r)
+        cache[key] = broadcast_if_small(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+    return cache[key]
+
+
 def orders_market(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's segment and region, and the ``domestic`` flag.
 
@@ -75,7 +87,7 @@ def orders_market(spark: SparkSession, sf: str) -> DataFrame:
     c = driver_table(spark, sf, "customer")
     n = driver_table(spark, sf, "nation")
     r = driver_table(spark, sf, "region")
-    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
+    geo = region_of_nation(spark, sf, n, r)
     # The flag is computed before the big join, so a query that needs only the flag shuffles one
     # boolean per customer instead of the region name (unused columns are pruned).
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey).select(

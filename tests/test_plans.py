@@ -87,3 +87,10 @@ def test_operators_build_without_running_jobs(spark):
         assert list(sc.statusTracker().getJobIdsForGroup("lazy-build")) == []
     finally:
         sc.setJobGroup(None, None)
+
+
+def test_broadcast_only_behind_a_size_check(spark):
+    from seriesforge.operators.joins import broadcast_if_small
+    small, big = spark.range(10), spark.range(1000)
+    assert "broadcast" in broadcast_if_small(small, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in broadcast_if_small(big, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
