@@ -56,3 +56,28 @@ def test_unpenalised_trend_is_least_squares(spark, points):
     slope, intercept = np.polyfit(xs, ys, 1)
     assert fit.slope == pytest.approx(slope, rel=1e-6, abs=1e-6)
     assert fit.intercept == pytest.approx(intercept, rel=1e-6, abs=1e-3)
+
+
+months_strategy = st.dictionaries(st.integers(0, 35), st.integers(0, 1000), max_size=36)
+
+
+@SETTINGS
+@given(left=months_strategy, right=months_strategy, cut=st.one_of(st.none(), st.integers(0, 36)))
+def test_combine_matches_brute_force_outer_join(spark, left, right, cut):
+    from seriesforge import combine_series
+
+    def month(i):
+        return dt.date(2000 + i // 12, i % 12 + 1, 1)
+
+    lf = spark.createDataFrame([(month(i), v) for i, v in left.items()], "month date, a bigint")
+    rf = spark.createDataFrame([(month(i), v) for i, v in right.items()], "month date, b bigint")
+    before = None if cut is None else month(cut).isoformat()
+    out = combine_series(lf, rf, "month", total="t", parts=["a", "b"], before=before)
+    got = {r.month: (r.a, r.b, r.t) for r in out.collect()}
+    want = {}
+    for i in set(left) | set(right):
+        if cut is not None and i >= cut:
+            continue
+        a, b = left.get(i), right.get(i)
+        want[month(i)] = (a, b, a + b if a is not None and b is not None else None)
+    assert got == want
