@@ -63,38 +63,34 @@ def score(c):
 # Shared inputs
 
 
-def region_of_nation(spark: SparkSession, sf: str, n: DataFrame, r: DataFrame) -> DataFrame:
-    """nation ⋈ region → (n_nationkey, r_name), broadcast behind a row-count check (checked once
-    per session and tables; a dimension of a few rows)."""
+def checked_dimensions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(nation, region), each broadcast behind a row-count check (:func:`broadcast_if_small`),
+    checked once per session and tables. Above the bound they stay plain tables and the planner
+    picks the join."""
     cache = spark.__dict__.setdefault("_seriesforge_tables", {})
-    key = f"{sf.rstrip('/')}#region_of_nation"
+    key = f"{sf.rstrip('/')}#dimensions"
     if key not in cache:
-        r = broadcast_if_small(r)
-        cache[key] = broadcast_if_small(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+        cache[key] = (broadcast_if_small(driver_table(spark, sf, "nation")),
+                      broadcast_if_small(driver_table(spark, sf, "region")))
     return cache[key]
 
 
 def orders_market(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's segment and region, and the ``domestic`` flag.
 
-    The dimension lookups run on the customer side: nation ⋈ region (25 rows) is joined to
-    customer first, so each customer, not each order, probes them. orders ⋈ customer is then the
-    one large join: a sort-merge join on the customer key whose skewed keys AQE splits; the
-    planner broadcasts a side only when its size is under the broadcast threshold (at sf0.1 even
-    the filtered orders scan is).
+    orders ⋈ customer is the one large join: a sort-merge join on the customer key whose skewed
+    keys AQE splits; the planner broadcasts a side only when its size is under the broadcast
+    threshold (at sf0.1 the customer table is). nation and region are broadcast behind a
+    row-count check; the joined rows probe them (a hash lookup in a 25-row map per row).
     """
     o = driver_table(spark, sf, "orders")
     c = driver_table(spark, sf, "customer")
-    n = driver_table(spark, sf, "nation")
-    r = driver_table(spark, sf, "region")
-    geo = region_of_nation(spark, sf, n, r)
-    # The flag is computed before the big join, so a query that needs only the flag shuffles one
-    # boolean per customer instead of the region name (unused columns are pruned).
-    cust = c.join(geo, c.c_nationkey == geo.n_nationkey).select(
-        "c_custkey", "c_mktsegment", "r_name", (F.col("r_name") == F.lit(HOME_REGION)).alias("domestic"))
-    return (o.join(cust, o.o_custkey == cust.c_custkey)
+    n, r = checked_dimensions(spark, sf)
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .join(n, c.c_nationkey == n.n_nationkey)
+             .join(r, n.n_regionkey == r.r_regionkey)
              .select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority",
-                     "c_mktsegment", "r_name", "domestic"))
+                     "c_mktsegment", "r_name", (F.col("r_name") == F.lit(HOME_REGION)).alias("domestic")))
 
 
 def gold_monthly(spark: SparkSession, sf: str, cutoff: str | None = GOLD_CUTOFF) -> DataFrame:
