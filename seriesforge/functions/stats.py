@@ -26,8 +26,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def trend_aggregates(x: Column, y: Column, train: Column | None, prefix: str) -> list[Column]:
-    """Aggregate columns (n, means, population moments) over training rows only.
+def trend_aggregate_exprs(x: Column, y: Column, train: Column | None, prefix: str) -> list[tuple[str, Column]]:
+    """(name, aggregate) pairs (n, means, population moments) over training rows only, usable in
+    ``agg`` or ``over(window)``.
 
     A row trains the model when ``train`` holds and both x and y are non-null; the other rows
     contribute NULL, which every aggregate below skips.
@@ -38,15 +39,20 @@ def trend_aggregates(x: Column, y: Column, train: Column | None, prefix: str) ->
     xs = F.when(ok, x.cast("double"))
     ys = F.when(ok, y.cast("double"))
     return [
-        F.count(xs).alias(f"{prefix}n"),
-        F.avg(xs).alias(f"{prefix}x_mean"),
-        F.avg(ys).alias(f"{prefix}y_mean"),
-        F.stddev_pop(xs).alias(f"{prefix}x_sd"),
-        F.stddev_pop(ys).alias(f"{prefix}y_sd"),
-        F.covar_pop(ys, xs).alias(f"{prefix}xy_cov"),
+        (f"{prefix}n", F.count(xs)),
+        (f"{prefix}x_mean", F.avg(xs)),
+        (f"{prefix}y_mean", F.avg(ys)),
+        (f"{prefix}x_sd", F.stddev_pop(xs)),
+        (f"{prefix}y_sd", F.stddev_pop(ys)),
+        (f"{prefix}xy_cov", F.covar_pop(ys, xs)),
     ]
 
 
+def trend_aggregates(x: Column, y: Column, train: Column | None, prefix: str) -> list[Column]:
+    """The aggregates of :func:`trend_aggregate_exprs`, aliased, for ``groupBy(...).agg``."""
+    return [agg.alias(name) for name, agg in trend_aggregate_exprs(x, y, train, prefix)]
+
+
 def trend_slope(prefix: str, reg: float, alpha: float) -> Column:
     n, sx, sy, c = (F.col(f"{prefix}{s}") for s in ("n", "x_sd", "y_sd", "xy_cov"))
     shrunk = F.greatest(F.try_divide(F.abs(c), sx) - F.lit(reg * alpha), F.lit(0.0))

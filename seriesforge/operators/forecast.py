@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import trend_aggregates, trend_intercept, trend_slope
+from ..functions.stats import trend_aggregate_exprs, trend_aggregates, trend_intercept, trend_slope
 
 # The reference's regression settings (elastic-net regParam 0.3, mixing 0.8;
 # boosted trees with 10 iterations and a vector indexer of at most 4 categories).
@@ -74,6 +74,8 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
     cutoffs = [cutoffs] if isinstance(cutoffs, int) else list(cutoffs)
     if names is None:
         names = ["prediction"] if len(cutoffs) == 1 else [f"prediction{c}" for c in cutoffs]
+    if keys:
+        return _forecast_keyed(series, x, y, cutoffs, list(keys), horizon, reg, alpha, names)
     aggs = [F.max(F.col(x)).alias("_last")]
     for i, c in enumerate(cutoffs):
         aggs += trend_aggregates(F.col(x), F.col(y), F.col(x) <= F.lit(c), f"_c{i}_")
@@ -84,9 +86,9 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
         coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
     stats = stats.select(*keys, "_last", *coef)
     coef_names = [c for i in range(len(cutoffs)) for c in (f"_slope{i}", f"_icpt{i}")]
-    # Observed rows get their key's coefficients by a join; future rows are generated from the
-    # coefficient rows themselves, so both branches share the roll-up's shuffle (a future branch
-    # needing only max(x) would be re-planned as its own aggregate over the raw input).
+    # Observed rows get the coefficients (scalar subqueries of the one-row fit); future rows are
+    # generated from the fit row itself, so both branches share the roll-up's shuffle (a future
+    # branch needing only max(x) would be re-planned as its own aggregate over the raw input).
     scored = _join_on_keys(series, stats.drop("_last"), keys)
     if horizon is not None:
         last = F.col("_last").cast("int")
@@ -98,6 +100,44 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
     return scored.select(*series.columns, *preds)
 
 
+def _forecast_keyed(series: DataFrame, x: str, y: str, cutoffs: list[int], keys: list[str],
+                    horizon: int | None, reg: float, alpha: float, names: Sequence[str]) -> DataFrame:
+    """Keyed fits as window aggregates over each key's rows: one shuffle (by key) attaches every
+    key's coefficients to its rows, with no per-key table to join back. A key's rows are its
+    periods (the series is rolled up), so a window partition stays small whatever the key's share
+    of the raw data. The latest row of each key also generates the key's future periods."""
+    from pyspark.sql import Window
+
+    by_key = [F.col(k) for k in keys]
+    w = Window.partitionBy(*by_key)
+    stats = [agg.over(w).alias(name)
+             for i, c in enumerate(cutoffs)
+             for name, agg in trend_aggregate_exprs(F.col(x), F.col(y), F.col(x) <= F.lit(c), f"_c{i}_")]
+    df = series.select("*", *stats)
+    coef_names = []
+    coef = []
+    for i, _ in enumerate(cutoffs):
+        slope = trend_slope(f"_c{i}_", reg, alpha)
+        coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
+        coef_names += [f"_slope{i}", f"_icpt{i}"]
+    df = df.select(*series.columns, *coef)
+    if horizon is not None:
+        # the latest row of each key also emits the periods after it, up to the horizon
+        latest = Window.partitionBy(*by_key).orderBy(F.col(x).desc_nulls_last())
+        px = F.col(x).cast("int")
+        df = df.withColumn("_rank", F.row_number().over(latest))
+        emit = F.when((F.col("_rank") == 1) & (px < F.lit(horizon)),
+                      F.sequence(px, F.lit(horizon))).otherwise(F.array(px))
+        df = df.withColumn("_x", F.explode(emit))
+        observed = F.col("_x").eqNullSafe(px)
+        df = df.select(*[F.col("_x").cast(dict(series.dtypes)[x]).alias(c) if c == x
+                         else (F.col(c) if c in keys else F.when(observed, F.col(c)).alias(c))
+                         for c in series.columns], *coef_names)
+    preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * F.col(x).cast("double")).alias(n)
+             for i, n in enumerate(names)]
+    return df.select(*series.columns, *preds)
+
+
 def rmse(scored: DataFrame, y: str, prediction: str = "prediction", keys: Sequence[str] = (),
          name: str = "rmse", rows: Column | None = None) -> DataFrame:
     """sqrt(mean((y - prediction)^2)) per key, over rows where both are present (and ``rows``

@@ -39,11 +39,12 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_two_horizons_scan_once(spark):
+def test_two_horizons_scan_once_without_join(spark):
     plan = final_plan(se.queries()["forecast_two_horizons"](spark, SMALL_SF))
-    # one scan of orders: the fit, the scored rows and the future years share the yearly shuffle
+    # one scan of orders; the per-key fits are window aggregates over the key's rows, so no
+    # coefficient table is joined back and future years come from each key's latest row
     assert plan.count("orders.parquet") == 1
-    assert "ReusedExchange" in plan
+    assert "LeftOuter" not in plan and "Window" in plan
 
 
 def test_imputation_has_no_join(spark):
