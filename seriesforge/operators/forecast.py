@@ -48,16 +48,10 @@ def fit_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), train: Co
                         trend_intercept("_", slope).alias("intercept"))
 
 
-def _join_on_keys(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-key columns. NULL keys match (null-safe equality). With no keys the statistics
-    are one row by construction (a global aggregate): its columns become scalar subqueries,
-    evaluated once (Catalyst merges subqueries over the same plan), with no join at all."""
-    if not keys:
-        return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
-    renamed = stats.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-                           *[c for c in stats.columns if c not in keys])
-    cond = [df[k].eqNullSafe(renamed[f"_key_{i}"]) for i, k in enumerate(keys)]
-    return df.join(renamed, cond, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
+def _attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row as scalar
+    subqueries: evaluated once (Catalyst merges subqueries over the same plan), no join."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[int],
@@ -79,21 +73,20 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
     aggs = [F.max(F.col(x)).alias("_last")]
     for i, c in enumerate(cutoffs):
         aggs += trend_aggregates(F.col(x), F.col(y), F.col(x) <= F.lit(c), f"_c{i}_")
-    stats = series.groupBy(*keys).agg(*aggs)
     coef = []
     for i, _ in enumerate(cutoffs):
         slope = trend_slope(f"_c{i}_", reg, alpha)
         coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
-    stats = stats.select(*keys, "_last", *coef)
-    coef_names = [c for i in range(len(cutoffs)) for c in (f"_slope{i}", f"_icpt{i}")]
-    # Observed rows get the coefficients (scalar subqueries of the one-row fit); future rows are
+    fit = series.agg(*aggs).select("_last", *coef)           # one row
+    coef_names = [c for c in fit.columns if c != "_last"]
+    # Observed rows get the coefficients as scalar subqueries of the one-row fit; future rows are
     # generated from the fit row itself, so both branches share the roll-up's shuffle (a future
     # branch needing only max(x) would be re-planned as its own aggregate over the raw input).
-    scored = _join_on_keys(series, stats.drop("_last"), keys)
+    scored = _attach_scalars(series, fit.drop("_last"))
     if horizon is not None:
         last = F.col("_last").cast("int")
         seq = F.when(last < F.lit(horizon), F.sequence(last + 1, F.lit(horizon)))
-        futures = stats.select(*keys, F.explode(seq).alias(x), *coef_names)
+        futures = fit.select(F.explode(seq).alias(x), *coef_names)
         scored = scored.unionByName(futures, allowMissingColumns=True)
     preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * F.col(x).cast("double")).alias(n)
              for i, n in enumerate(names)]
