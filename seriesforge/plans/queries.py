@@ -22,7 +22,7 @@ from ..operators.joins import broadcast_if_small
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
                                 drop_columns, global_sums, known_until, latest, require_not_null,
                                 rollup_series, sorted_series, split_label, union_series, with_total)
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, session_cache
 from ..sources.csv import read_series_csv, read_table_csv, write_series_csv
 from ..sources.publish import publish_chart, read_chart
 from ..sources.tables import driver_table, load_table, save_table
@@ -67,7 +67,7 @@ def checked_dimensions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     """(nation, region), each broadcast behind a row-count check (:func:`broadcast_if_small`),
     checked once per session and tables. Above the bound they stay plain tables and the planner
     picks the join."""
-    cache = spark.__dict__.setdefault("_seriesforge_tables", {})
+    cache = session_cache(spark)
     key = f"{sf.rstrip('/')}#dimensions"
     if key not in cache:
         cache[key] = (broadcast_if_small(driver_table(spark, sf, "nation")),

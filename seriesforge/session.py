@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -88,3 +89,11 @@ def materialize(df):
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_CACHES: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def session_cache(spark: SparkSession) -> dict:
+    """A dict that lives as long as the session: resolved tables, checked dimensions."""
+    return _CACHES.setdefault(spark, {})

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import session_cache
+
 DEFAULT_FORMAT = "parquet"
 
 
@@ -47,7 +49,7 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     storage that listing alone takes long). The tables never change while a session runs.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cache = spark.__dict__.setdefault("_seriesforge_tables", {})
+    cache = session_cache(spark)
     if path not in cache:
         cache[path] = spark.read.parquet(path)
     return cache[path]
