@@ -96,3 +96,30 @@ def test_one_chart_per_key(spark, workdir):
     assert data.filter("carrier = 'BB' AND year = 2005").first().pax == 2105
     d = desc.first()
     assert d.xtitle == "2000-2009" and [c.key for c in d.columns] == ["year", "pax"]
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from seriesforge.session import shared_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf = Conf({"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    Context.setCheckpointDir = lambda self, d: None
+    assert shared_dir(Session()) == "hdfs:///shared/ckpt"
