@@ -60,9 +60,11 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
                     names: Sequence[str] | None = None) -> DataFrame:
     """Score every row (and the future periods up to ``horizon``) with one trend per cut-off.
 
-    For cut-off ``c`` the model trains on rows with ``x <= c``. All cut-offs are conditional
-    aggregates of the same ``groupBy(keys)``, so several horizons cost one shuffle, not one fit
-    each. Future rows have NULL measures. Output: the series columns plus one prediction column
+    ``series`` has one row per key and period (a roll-up): with keys, the fits are window
+    aggregates over each key's rows, so a key's window holds its periods however large its share
+    of the raw data was. For cut-off ``c`` the model trains on rows with ``x <= c``; all cut-offs
+    are conditional aggregates of the same pass, so several horizons cost one shuffle, not one
+    fit each. Future rows have NULL measures. Output: the series columns plus one prediction column
     per cut-off (``names``, default ``prediction`` for one cut-off, ``prediction<c>`` for several).
     """
     cutoffs = [cutoffs] if isinstance(cutoffs, int) else list(cutoffs)
