@@ -95,3 +95,21 @@ def test_broadcast_only_behind_a_size_check(spark):
     small, big = spark.range(10), spark.range(1000)
     assert "broadcast" in broadcast_if_small(small, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in broadcast_if_small(big, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_flagship_plan_at_scale(spark):
+    """With every table too large for the planner to broadcast (as at 100 TB), the flagship is one
+    sort-merge join (orders ⋈ customer) plus the two dimensions broadcast behind their check."""
+    from seriesforge.plans.shape import executed_shape
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        shape = executed_shape(se.queries()["combine_monthly"](spark, SMALL_SF))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert shape["joins"] == {"SortMergeJoin Inner": 1, "BroadcastHashJoin Inner": 2}
+    assert shape["broadcasts"] == 2 and all(n == 1 for n in shape["scans"].values())
+    assert shape["shuffles"] == 4     # orders and customer for the join, the aggregate, the sort
