@@ -56,9 +56,10 @@ def descriptor_columns(schema: StructType, include_ml: bool = False) -> list[dic
 
 
 def _fill_bounds(template: str, lo: Column, hi: Column) -> Column:
-    """``template`` with ``{min}`` / ``{max}`` replaced by the bounds as text."""
-    return F.replace(F.replace(F.lit(template), F.lit("{min}"), lo.cast("string")),
-                     F.lit("{max}"), hi.cast("string"))
+    """``template`` with ``{min}`` / ``{max}`` replaced by the bounds as text (empty text when
+    the chart has no rows, so the descriptor keeps every key)."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.replace(F.replace(F.lit(template), F.lit("{min}"), text(lo)), F.lit("{max}"), text(hi))
 
 
 def chart_descriptor(df: DataFrame, title: str = "", x_title: str = "X", y_title: str = "Y",

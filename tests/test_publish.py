@@ -123,3 +123,13 @@ def test_cluster_without_shared_folder_is_an_error():
     Session.conf = Conf({"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
     Context.setCheckpointDir = lambda self, d: None
     assert shared_dir(Session()) == "hdfs:///shared/ckpt"
+
+
+def test_empty_chart_keeps_every_descriptor_key(spark, workdir):
+    df = spark.createDataFrame([], "year int, pax bigint")
+    d = descriptor(df, x_title="Year {min} - {max}", bounds_col="year")
+    assert d["xtitle"] == "Year  - " and set(d) == {"title", "xtitle", "xscale", "ytitle", "columns"}
+    path = publish_chart(df, workdir, "empty", order_by=["year"], bounds_col="year", x_title="{min}")
+    data, desc = read_chart(spark, workdir, "empty", schema=df.schema)
+    assert data.count() == 0 and desc.first().xtitle == ""
+    assert path.endswith(latest_version(spark, workdir, "empty").split("/")[-1])
