@@ -2,11 +2,11 @@
 
 The encoding of every prefix of a word is known as soon as the prefix is read: its last token is
 the one that ends there and may follow the last token of the encoding before it (a pair may
-follow if the merges of its joined bytes give back that pair). A state holds the open threads:
-for each start still inside some token, the trie node reached and the tokens since the part all
-threads share. Reading a byte moves every thread; the shared part is emitted. A thread lives no
-longer than the longest token, which bounds the lookahead. States and moves are made when they
-are first needed and kept up to a limit, then dropped and built anew.
+follow if the merges of its joined bytes give back that pair). A state of the transducer is the
+set of open threads, each a trie node reached inside some token and the token before it; reading a
+byte moves all threads at once and yields the last token of the prefix. Tokens are emitted once the
+paths of all open threads agree on them; a thread is never older than the longest token, which
+bounds the lookahead. States and moves are made when first needed, and kept up to a limit.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_STATES = 400_000
-MAX_WORDS = 200_000
+MAX_STATES = 500_000
+MAX_WORDS = 250_000
+SETTLE = 1 << 12             # bytes of a long word between emissions
 STEP = 1 << 15
 
 
@@ -43,89 +44,149 @@ class Transducer:
         self.bytes_of = {i: t for t, i in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must be a token")
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int | None] = [None]
-        for token, i in ranks.items():
-            if self._merge(token) != [i]:
-                continue                    # no merges lead to it
+        self.child: dict[int, int] = {}             # node << 8 | byte
+        self.token_at = [-1]
+        self.depth = [0]
+        self.open = [True]                          # whether a longer token goes on from here
+        # tokens down the right and the left edge of a token's merge tree, the token itself last
+        self.right_edge: dict[int, list[int]] = {}
+        self.left_edge: dict[int, list[int]] = {}
+        for token, i in sorted(ranks.items(), key=lambda x: x[1]):
+            halves = self._halves(token)
+            if halves is None:
+                continue                            # no merges lead to it
+            if len(token) == 1:
+                self.right_edge[i], self.left_edge[i] = [i], [i]
+            else:
+                self.right_edge[i] = self.right_edge[halves[1]] + [i]
+                self.left_edge[i] = self.left_edge[halves[0]] + [i]
             node = 0
             for b in token:
-                nxt = self.trie[node].get(b)
+                self.open[node] = True
+                nxt = self.child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                    self.token_at.append(None)
+                    nxt = self.child[node << 8 | b] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.open.append(False)
                 node = nxt
             self.token_at[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.length = {i: len(t) for i, t in self.bytes_of.items()}
         self.max_states = max_states
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[tuple, int] = {}
         self.threads: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state((((0, ()),)))
+        self.last: list[int] = []                   # last token of the prefix that leads to a state
+        self.moves: dict[int, int] = {}             # state << 8 | byte
+        self.follows: dict[int, bool] = {}
+        self._state((0,), -1)
 
-    def _state(self, threads: tuple) -> int:
+    def _state(self, threads: tuple, last: int) -> int:
         i = self.index.get(threads)
         if i is None:
             i = self.index[threads] = len(self.threads)
             self.threads.append(threads)
-            self.moves.append({})
+            self.last.append(last)
         return i
 
-    def _merge(self, word: bytes) -> list[int]:
-        """The merges themselves, lowest rank first, leftmost on ties; for pairs of tokens only."""
+    def _halves(self, word: bytes) -> tuple[int, int] | None:
+        """The last merge that makes ``word`` (lowest rank first, leftmost on ties); None if they
+        end in more than one token."""
         parts = [word[i:i + 1] for i in range(len(word))]
+        rank = self.ranks.get
+        halves = (b"", word)
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+            pairs = [rank(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+            best = pairs.index(min(pairs))
+            if pairs[best] == 1 << 60:
+                return None
+            halves = parts[best], parts[best + 1]
+            parts[best:best + 2] = [halves[0] + halves[1]]
+        return (self.ranks[halves[0]], self.ranks[halves[1]]) if len(word) > 1 else (-1, -1)
 
     def _may_follow(self, a: int, b: int) -> bool:
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) > 4 * self.max_states:
-                self.follows.clear()
-            known = self.follows[a, b] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether merging the joined bytes of two tokens leaves the two.
+
+        Both are built in rank order; only the tokens at the seam matter, those on the right edge
+        of one merge tree and on the left edge of the other. A merge across the seam
+        spoils the pair if its turn comes before that of the next merge on either side.
+        """
+        known = self.follows.get(a << 20 | b)
+        if known is not None:
+            return known
+        x, y = self.right_edge[a], self.left_edge[b]
+        i = j = 0
+        never = 1 << 60
+        while True:
+            across = self.ranks.get(self.bytes_of[x[i]] + self.bytes_of[y[j]], never)
+            next_x = x[i + 1] if i + 1 < len(x) else never
+            next_y = y[j + 1] if j + 1 < len(y) else never
+            if across < next_x and across <= next_y and across < never:
+                known = False               # on equal ranks the leftmost merge goes first
+                break
+            if next_x == next_y == never:
+                known = True
+                break
+            if next_x <= next_y:
+                i += 1
+            else:
+                j += 1
+        self.follows[a << 20 | b] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        threads, whole = [], None
-        for node, chain in self.threads[state]:
-            nxt = self.trie[node].get(byte)
-            if nxt is None:
+    def _move(self, state: int, byte: int) -> int:
+        threads, last = [], -1
+        for t in self.threads[state]:
+            node = self.child.get((t >> 20) << 8 | byte)
+            if node is None:
                 continue
-            threads.append((nxt, chain))
-            token = self.token_at[nxt]
-            if token is not None and (not chain or self._may_follow(chain[-1], token)):
-                whole = chain + (token,)
-        threads.append((0, whole))
-        shared = 0                  # all chains share this many tokens; the last one stays as context
-        least = min(len(c) for _, c in threads)
-        while shared < least and len({c[shared] for _, c in threads}) == 1:
-            shared += 1
-        drop = max(shared - 1, 0)
-        out = threads[0][1][:drop]
-        to = self._state(tuple((n, c[drop:]) for n, c in threads))
-        self.moves[state][byte] = (to, out)
-        return to, out
+            if self.open[node]:
+                threads.append(node << 20 | t & 0xFFFFF)
+            token = self.token_at[node]
+            before = (t & 0xFFFFF) - 1
+            if token >= 0 and last < 0 and (before < 0 or self._may_follow(before, token)):
+                last = token
+        threads.append(last + 1)            # a new thread at the root, after that token
+        to = self._state(tuple(threads), last)
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def _path(self, lasts: list[int], end: int) -> list[int]:
+        out = []
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= self.length[token]
+        out.reverse()
+        return out
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.threads) > self.max_states:
             self._reset()
-        moves, state, out = self.moves, self.start, []
+        out: list[int] = []
+        lasts: list[int] = []
+        state = 0
+        moves, last = self.moves.get, self.last
         for b in word:
-            step = moves[state].get(b)
-            if step is None:
-                step = self._move(state, b)
-            state, tokens = step
-            if tokens:
-                out += tokens
-        return out + list(self.threads[state][-1][1]) if word else []
+            to = moves(state << 8 | b)
+            if to is None:
+                to = self._move(state, b)
+            state = to
+            lasts.append(last[state])
+            if len(lasts) >= SETTLE:
+                # what the paths of all open threads share is final
+                paths = [self._path(lasts, len(lasts) - self.depth[t >> 20]) for t in self.threads[state]]
+                shared = 0
+                while shared < min(map(len, paths)) and len({p[shared] for p in paths}) == 1:
+                    shared += 1
+                out += paths[0][:shared]
+                del lasts[:sum(self.length[t] for t in paths[0][:shared])]
+        return out + self._path(lasts, len(lasts))
 
 
 class Utf8Stream:
@@ -215,7 +276,7 @@ def _words(text: str, split):
 
 
 def _encoded(text: str, fst: Transducer, split, known: dict):
-    """Slices of (ids as text joined by spaces, number of ids)."""
+    """Slices of (ids as text joined by spaces, number of ids, bytes those ids decode to)."""
     parts = [split.findall(text)] if len(text) <= 8 * STEP else _words(text, split)
     for part in parts:
         got = []
@@ -225,10 +286,11 @@ def _encoded(text: str, fst: Transducer, split, known: dict):
                 ids = fst.encode(w.encode())
                 if len(known) >= MAX_WORDS:
                     known.clear()
-                k = known[w] = (" ".join(map(str, ids)), len(ids))
+                k = known[w] = (" ".join(map(str, ids)), len(ids), fst.decode(ids))
             got.append(k)
         if got:
-            yield " ".join([k[0] for k in got]), sum([k[1] for k in got])
+            ids, count, raw = zip(*got)
+            yield " ".join(ids), sum(count), b"".join(raw)
 
 
 def encode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -248,7 +310,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id",
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                ids = [np.fromstring(" ".join([x for x, _ in _encoded(t, fst, split, known)]), np.int32, sep=" ")
+                ids = [np.fromstring(" ".join([x[0] for x in _encoded(t, fst, split, known)]), np.int32, sep=" ")
                        for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -315,9 +377,8 @@ def round_trip(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_
             for t in batch.column(1).to_pylist():
                 a, b, n, lead = hashlib.sha256(), hashlib.sha256(), 0, ""
                 stream, at, same = Utf8Stream(), 0, True
-                for ids, count in _encoded(t, fst, split, known):
+                for ids, count, raw in _encoded(t, fst, split, known):
                     a.update((lead + ids).encode())
-                    raw = b"".join([token[i] for i in ids.split(" ")])
                     b.update(raw)
                     part = stream.feed(raw)
                     same = same and t.startswith(part, at)
