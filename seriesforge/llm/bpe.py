@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_STATES = 500_000
-MAX_WORDS = 250_000
+MAX_STATES = 200_000
+MAX_WORDS = 150_000
 SETTLE = 1 << 12             # bytes of a long word between emissions
 STEP = 1 << 15
 
@@ -250,6 +250,21 @@ class Utf8Stream:
         return left
 
 
+class _Check:
+    """Whether a stream of bytes decodes to a given text, without holding what it decodes."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.same, self.stream = text, 0, True, Utf8Stream()
+
+    def feed(self, raw: bytes) -> None:
+        part = self.stream.feed(raw)
+        self.same = self.same and self.text.startswith(part, self.at)
+        self.at += len(part)
+
+    def done(self) -> bool:
+        return self.same and not self.stream.close() and self.at == len(self.text)
+
+
 _MADE: dict[tuple, tuple] = {}      # one transducer, pattern and word table per worker and vocabulary
 
 _BYTES: dict[str, dict[int, bytes]] = {}
@@ -295,32 +310,40 @@ def _encoded(text: str, fst: Transducer, split, known: dict):
 
 def encode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, ids`` and the columns in ``carry``: every whole text (null: empty) as token ids
-    (``array<int>``), each match of ``pattern`` encoded on its own, no special tokens. Repeated rows
-    and null ids stay rows; an empty text has an empty list. ``vocab_path`` must be readable on
-    every worker, like the package."""
+    """``doc_id, ids, exact`` and the columns in ``carry``: every whole text (null: empty) as token ids
+    (``array<int>``), each match of ``pattern`` encoded on its own, no special tokens; ``exact`` says
+    whether the ids decode, as a stream, to the very text. Repeated rows and null ids stay rows;
+    an empty text has an empty list. ``vocab_path`` must be readable on every worker, like the
+    package."""
     rows = df.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"),
                      F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit("")).alias("text"),
                      *[F.col(common.quoted(c)).alias(f"carry_{i}") for i, c in enumerate(carry or [])])
     kept = rows.drop("text").schema
-    names = [*kept.names, "ids"]
+    names = [*kept.names, "ids", "exact"]
 
     def fn(batches):
         fst, split, known = _tools(vocab_path, pattern)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                ids = [np.fromstring(" ".join([x[0] for x in _encoded(t, fst, split, known)]), np.int32, sep=" ")
-                       for t in batch.column(1).to_pylist()]
+                ids, exact = [], []
+                for t in batch.column(1).to_pylist():
+                    parts, check = [], _Check(t)
+                    for x, _, raw in _encoded(t, fst, split, known):
+                        parts.append(np.fromstring(x, np.int32, sep=" "))
+                        check.feed(raw)
+                    ids.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+                    exact.append(check.done())
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 others = [batch.column(i) for i in range(batch.num_columns) if i != 1]
                 yield pa.RecordBatch.from_arrays(
-                    [*others, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))],
-                    names=names)
-    schema = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+                    [*others, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
+                     pa.array(exact, pa.bool_())], names=names)
+    schema = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("exact", T.BooleanType())])
     out = common.spread(rows).mapInArrow(fn, schema)
-    return out.select("doc_id", "ids", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry or [])])
+    return out.select("doc_id", "ids", "exact", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry or [])])
 
 
 def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -342,29 +365,6 @@ def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str
     return rows.mapInArrow(fn, "doc_id long, text string")
 
 
-def with_exact(df: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``df`` with ``exact``: whether the token ids of a row decode to its text (null: empty)."""
-    at_ids, at_text = df.columns.index(ids_col), df.columns.index(text_col)
-
-    def fn(batches):
-        token = _token_bytes(vocab_path)
-        for batch in batches:
-            ids, texts = batch.column(at_ids), batch.column(at_text)
-            same = []
-            for i in range(batch.num_rows):
-                own = ids[i].values
-                own, text = (own.to_numpy() if own is not None else ()), texts[i].as_py() or ""
-                stream, at, ok = Utf8Stream(), 0, True
-                for lo in range(0, len(own), STEP):
-                    part = stream.feed(b"".join([token[j] for j in own[lo:lo + STEP].tolist()]))
-                    ok = ok and text.startswith(part, at)
-                    at += len(part)
-                same.append(ok and not stream.close() and at == len(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())],
-                                             names=[*batch.schema.names, "exact"])
-    return df.mapInArrow(fn, T.StructType([*df.schema.fields, T.StructField("exact", T.BooleanType())]))
-
-
 def round_trip(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass, keeping digests only: ``doc_id, n_tokens, ids_sha256,
     decoded_sha256`` (ids as decimal numbers joined by one space; the decoded bytes), and ``exact``,
@@ -375,19 +375,16 @@ def round_trip(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_
         for batch in batches:
             n_tokens, ids_hash, bytes_hash, exact = [], [], [], []
             for t in batch.column(1).to_pylist():
-                a, b, n, lead = hashlib.sha256(), hashlib.sha256(), 0, ""
-                stream, at, same = Utf8Stream(), 0, True
+                a, b, n, lead, check = hashlib.sha256(), hashlib.sha256(), 0, "", _Check(t)
                 for ids, count, raw in _encoded(t, fst, split, known):
                     a.update((lead + ids).encode())
                     b.update(raw)
-                    part = stream.feed(raw)
-                    same = same and t.startswith(part, at)
-                    at += len(part)
+                    check.feed(raw)
                     n, lead = n + count, " "
                 n_tokens.append(n)
                 ids_hash.append(a.hexdigest())
                 bytes_hash.append(b.hexdigest())
-                exact.append(same and not stream.close() and at == len(t))
+                exact.append(check.done())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_hash),
                                               pa.array(bytes_hash), pa.array(exact)],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
