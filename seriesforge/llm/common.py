@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seriesforge.session import materialize, scratch_path
 
 CHUNK_BYTES = 1 << 20
+ARROW_ROWS = 1024
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -29,8 +30,13 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least a few partitions per core: a small file must not keep a CPU-bound scan on one."""
-    want = 4 * df.sparkSession.sparkContext.defaultParallelism
+    """``df`` ready for CPU-bound Python: at least a few partitions per core, as a small file must not
+    keep a scan on one. Also holds the session's Arrow batches to ``ARROW_ROWS`` rows: texts can
+    be long, and a batch is in memory several times, in the JVM and in Python."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    want = 4 * spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
