@@ -147,7 +147,7 @@ def _classes(right, left, o_min, o_max, first_key=None, last_key=None):
 
 
 def _request_keys(buckets: int, window: int):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = _Block(pdf, window)
         rows = []
         for bucket, sel in _by_bucket(b.key, buckets):
@@ -184,7 +184,7 @@ def _answer_keys(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _request_runs(buckets: int, window: int):
-    def fn(key, docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         b = _Block(docs, window)
         answer = dict(zip(bits["bucket"], bits["blob"]))
         chosen = []
@@ -378,7 +378,7 @@ def _answer_runs(window: int):
 
 
 def _remove(window: int):
-    def fn(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = _Block(docs, window)
         step = np.zeros(len(b.data) + 1, np.int32)
         got = [_unpack(x) for x in answers["blob"]]

@@ -1,0 +1,47 @@
+"""Small corpora with nulls, empty and long texts, ties, repeats and clashing extra columns."""
+
+import random
+
+from pyspark.sql import types as T
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                       T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+                       T.StructField("n_chars", T.LongType()), T.StructField("block", T.StringType()),
+                       T.StructField("kept", T.StringType())])
+WORDS = ["alpha", "béta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "λάμδα", "mu", "nu", "ξ"]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+def corpus(seed=5, n=40):
+    rng = random.Random(seed)
+    rows = []
+    passage = prose(rng, 30)
+    for i in range(n):
+        text = "\n".join(prose(rng, rng.randrange(1, 25)) for _ in range(rng.randrange(1, 6)))
+        if i % 5 == 0:
+            text += "\n" + passage + "\nshared closing line\n" + prose(rng, 4)
+        rows.append([i * 3, text])
+    rows[7][1] = rows[2][1]                                     # exact copy
+    words = rows[10][1].split(" ")
+    words[len(words) // 2] = "changed"
+    rows[11][1] = " ".join(words)                               # near copy
+    rows[12][1], rows[13][1], rows[14][1] = None, "", "a"
+    rows[15][1] = "x" * 500
+    rows[16][1] = "ab" * 300 + " " + prose(rng, 2000)           # long
+    rows[17][1] = "\n \n\t\n"
+    rows.append([rows[3][0], rows[3][1]])                       # a repeated row
+    rows.append([None, passage])                                # a null id
+    return rows
+
+
+def frame(spark, rows):
+    sources = ["src0", "src0", "src1", None, "other"]
+    return spark.createDataFrame([(d, t, "en", sources[i % 5], len(t or ""), "clash", "clash")
+                                  for i, (d, t) in enumerate(rows)], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
