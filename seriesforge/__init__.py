@@ -11,13 +11,11 @@ from .operators.columns import (bounds, column_bounds, column_metadata, with_hea
                                 with_metadata_all)
 from .operators.forecast import fit_trend, forecast_gbt, forecast_linear, future_points, rmse
 from .operators.impute import calendar_gaps, impute_year
-from .operators.joins import broadcast_if_small
 from .operators.series import (before_filter, between_filter, combine_series, count_where,
                                drop_columns, global_sums, known_until, latest, require_not_null,
                                rollup_series, sorted_series, split_at, split_label, tie_breakers,
                                union_series, with_total)
 from .session import materialize, shared_dir
-from .streaming import stream_rollup
 from .sources.csv import read_series_csv, read_table_csv, write_series_csv
 from .sources.publish import chart_descriptor, latest_version, publish_chart, read_chart
 from .sources.tables import driver_table, load_table, save_table
@@ -29,6 +27,6 @@ __all__ = [
     "drop_columns", "global_sums", "known_until", "latest", "require_not_null", "rollup_series",
     "sorted_series", "split_at", "union_series", "read_series_csv", "read_table_csv",
     "write_series_csv", "chart_descriptor", "latest_version", "publish_chart", "read_chart",
-    "driver_table", "load_table", "save_table", "broadcast_if_small", "count_where", "split_label",
-    "tie_breakers", "with_total", "materialize", "shared_dir", "stream_rollup",
+    "driver_table", "load_table", "save_table", "count_where", "split_label",
+    "tie_breakers", "with_total", "materialize", "shared_dir",
 ]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import quoted
+
 GRAINS = ("month", "quarter", "year")
 
 
 def as_col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return quoted(c) if isinstance(c, str) else c
 
 
 def month_start(c: str | Column) -> Column:

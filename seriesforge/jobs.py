@@ -98,7 +98,7 @@ def gdp_history(spark: SparkSession, path: str, keep: Sequence[str] = ("Year", "
     ``keep`` dropped, typed (year INT, value DOUBLE), sorted by year."""
     df = read_table_csv(spark, path)
     year, value = keep
-    df = df.select(quoted(year).cast("int").alias(year), quoted(value).cast("double").alias(value))
+    df = df.select(quoted(year).try_cast("int").alias(year), quoted(value).try_cast("double").alias(value))
     return with_headers(df, {year: year, value: value}).orderBy(quoted(year))
 
 

@@ -9,16 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-HEADER = "header"
-
+from ..functions.names import quoted
 
-def quoted(name: str) -> Column:
-    """A column reference that treats dots, spaces and percent signs as part of the name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+HEADER = "header"
 
 
 def _field(df: DataFrame, name: str) -> StructField:

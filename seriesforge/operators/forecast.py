@@ -4,7 +4,7 @@
   :mod:`seriesforge.functions.stats`); equals MLlib ``LinearRegression`` on one feature.
 * :func:`forecast_linear` — fit one or several horizons (training cut-offs) in the same aggregate,
   append the future periods per key, score every row.
-* :func:`forecast_gbt` — MLlib gradient-boosted trees over all keys at once (the key is a feature).
+* :func:`forecast_gbt` — one MLlib model of gradient-boosted trees for all keys, on standardised series.
 * :func:`rmse` — root mean squared error per key.
 """
 
@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import trend_aggregate_exprs, trend_aggregates, trend_intercept, trend_slope
+from ..functions.names import quoted, quoted_all
+from ..functions.stats import trend_aggregates, trend_intercept, trend_slope
 
 # The reference's regression settings (elastic-net regParam 0.3, mixing 0.8;
 # boosted trees with 10 iterations and a vector indexer of at most 4 categories).
@@ -32,26 +33,26 @@ def future_points(df: DataFrame, period: str, horizon: int, keys: Sequence[str]
     re-planned as a separate aggregate of the raw input, so a plan that unions the series with
     its future points would read the input twice instead of sharing the roll-up's shuffle.
     """
-    stats = df.groupBy(*keys).agg(F.max(F.col(period)).alias("_last"), F.count(F.lit(1)).alias("_periods"))
+    stats = df.groupBy(*quoted_all(keys)).agg(F.max(quoted(period)).alias("_last"), F.count(F.lit(1)).alias("_periods"))
     last = F.col("_last").cast("int")
     # (_periods > 0 always holds; referencing it keeps the count from being pruned.)
     seq = F.when((last < F.lit(horizon)) & (F.col("_periods") > 0), F.sequence(last + 1, F.lit(horizon)))
-    return stats.select(*keys, F.explode(seq).alias(period))
+    return stats.select(*quoted_all(keys), F.explode(seq).alias(period))
 
 
 def fit_trend(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), train: Column | None = None,
               reg: float = REG_PARAM, alpha: float = ELASTIC_NET) -> DataFrame:
     """One row per key: ``n`` training rows, ``slope``, ``intercept``."""
-    stats = df.groupBy(*keys).agg(*trend_aggregates(F.col(x), F.col(y), train, "_"))
+    stats = df.groupBy(*quoted_all(keys)).agg(*trend_aggregates(quoted(x), quoted(y), train, "_"))
     slope = trend_slope("_", reg, alpha)
-    return stats.select(*keys, F.col("_n").alias("n"), slope.alias("slope"),
+    return stats.select(*quoted_all(keys), F.col("_n").alias("n"), slope.alias("slope"),
                         trend_intercept("_", slope).alias("intercept"))
 
 
 def _attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate) to every row as scalar
     subqueries: evaluated once (Catalyst merges subqueries over the same plan), no join."""
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    return df.select("*", *[one_row.select(quoted(c)).scalar().alias(c) for c in one_row.columns])
 
 
 def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[int],
@@ -60,9 +61,8 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
                     names: Sequence[str] | None = None) -> DataFrame:
     """Score every row (and the future periods up to ``horizon``) with one trend per cut-off.
 
-    ``series`` has one row per key and period (a roll-up): with keys, the fits are window
-    aggregates over each key's rows, so a key's window holds its periods however large its share
-    of the raw data was. For cut-off ``c`` the model trains on rows with ``x <= c``; all cut-offs
+    The fits are one aggregate per key, partial before the shuffle, joined back to the rows null-safe,
+    so a key with very many rows is split like any skewed join. For cut-off ``c`` the model trains on rows with ``x <= c``; all cut-offs
     are conditional aggregates of the same pass, so several horizons cost one shuffle, not one
     fit each. Future rows have NULL measures. Output: the series columns plus one prediction column
     per cut-off (``names``, default ``prediction`` for one cut-off, ``prediction<c>`` for several).
@@ -70,67 +70,37 @@ def forecast_linear(series: DataFrame, x: str, y: str, cutoffs: int | Sequence[i
     cutoffs = [cutoffs] if isinstance(cutoffs, int) else list(cutoffs)
     if names is None:
         names = ["prediction"] if len(cutoffs) == 1 else [f"prediction{c}" for c in cutoffs]
-    if keys:
-        return _forecast_keyed(series, x, y, cutoffs, list(keys), horizon, reg, alpha, names)
-    aggs = [F.max(F.col(x)).alias("_last")]
+    aggs = [F.max(quoted(x)).alias("_last")]
     for i, c in enumerate(cutoffs):
-        aggs += trend_aggregates(F.col(x), F.col(y), F.col(x) <= F.lit(c), f"_c{i}_")
+        aggs += trend_aggregates(quoted(x), quoted(y), quoted(x) <= F.lit(c), f"_c{i}_")
     coef = []
     for i, _ in enumerate(cutoffs):
         slope = trend_slope(f"_c{i}_", reg, alpha)
         coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
-    fit = series.agg(*aggs).select("_last", *coef)           # one row
-    coef_names = [c for c in fit.columns if c != "_last"]
-    # Observed rows get the coefficients as scalar subqueries of the one-row fit; future rows are
-    # generated from the fit row itself, so both branches share the roll-up's shuffle (a future
-    # branch needing only max(x) would be re-planned as its own aggregate over the raw input).
-    scored = _attach_scalars(series, fit.drop("_last"))
+    keys = list(keys)
+    fit = series.groupBy(*quoted_all(keys)).agg(*aggs).select(*quoted_all(keys), "_last", *coef)     # one row per key
+    coef_names = [c for c in fit.columns if c not in keys and c != "_last"]
+    if keys:
+        # NULL is a key like any other; the planner may split a hot key's rows, fits are one row each
+        own = fit.select(*[quoted(k).alias(f"_key{i}") for i, k in enumerate(keys)], *coef_names)
+        same = [quoted(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+        on = same[0]
+        for c in same[1:]:
+            on = on & c
+        scored = series.join(own, on).select(*quoted_all(series.columns), *coef_names)
+    else:
+        # the coefficients as scalar subqueries of the one-row fit
+        scored = _attach_scalars(series, fit.drop("_last"))
     if horizon is not None:
-        last = F.col("_last").cast("int")
+        # future rows come from the fit rows; observed rows keep their x as it is
+        last = F.floor("_last").cast("int")
         seq = F.when(last < F.lit(horizon), F.sequence(last + 1, F.lit(horizon)))
-        futures = fit.select(F.explode(seq).alias(x), *coef_names)
+        futures = (fit.select(*quoted_all(keys), F.explode(seq).alias("_x"), *coef_names)
+                   .withColumn(x, F.col("_x").cast(dict(series.dtypes)[x])).drop("_x"))
         scored = scored.unionByName(futures, allowMissingColumns=True)
-    preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * F.col(x).cast("double")).alias(n)
-             for i, n in enumerate(names)]
-    return scored.select(*series.columns, *preds)
-
-
-def _forecast_keyed(series: DataFrame, x: str, y: str, cutoffs: list[int], keys: list[str],
-                    horizon: int | None, reg: float, alpha: float, names: Sequence[str]) -> DataFrame:
-    """Keyed fits as window aggregates over each key's rows: one shuffle (by key) attaches every
-    key's coefficients to its rows, with no per-key table to join back. A key's rows are its
-    periods (the series is rolled up), so a window partition stays small whatever the key's share
-    of the raw data. The latest row of each key also generates the key's future periods."""
-    from pyspark.sql import Window
-
-    by_key = [F.col(k) for k in keys]
-    w = Window.partitionBy(*by_key)
-    stats = [agg.over(w).alias(name)
-             for i, c in enumerate(cutoffs)
-             for name, agg in trend_aggregate_exprs(F.col(x), F.col(y), F.col(x) <= F.lit(c), f"_c{i}_")]
-    df = series.select("*", *stats)
-    coef_names = []
-    coef = []
-    for i, _ in enumerate(cutoffs):
-        slope = trend_slope(f"_c{i}_", reg, alpha)
-        coef += [slope.alias(f"_slope{i}"), trend_intercept(f"_c{i}_", slope).alias(f"_icpt{i}")]
-        coef_names += [f"_slope{i}", f"_icpt{i}"]
-    df = df.select(*series.columns, *coef)
-    if horizon is not None:
-        # the latest row of each key also emits the periods after it, up to the horizon
-        latest = Window.partitionBy(*by_key).orderBy(F.col(x).desc_nulls_last())
-        px = F.col(x).cast("int")
-        df = df.withColumn("_rank", F.row_number().over(latest))
-        emit = F.when((F.col("_rank") == 1) & (px < F.lit(horizon)),
-                      F.sequence(px, F.lit(horizon))).otherwise(F.array(px))
-        df = df.withColumn("_x", F.explode(emit))
-        observed = F.col("_x").eqNullSafe(px)
-        df = df.select(*[F.col("_x").cast(dict(series.dtypes)[x]).alias(c) if c == x
-                         else (F.col(c) if c in keys else F.when(observed, F.col(c)).alias(c))
-                         for c in series.columns], *coef_names)
-    preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * F.col(x).cast("double")).alias(n)
+    preds = [(F.col(f"_icpt{i}") + F.col(f"_slope{i}") * quoted(x).cast("double")).alias(n)
              for i, n in enumerate(names)]
-    return df.select(*series.columns, *preds)
+    return scored.select(*quoted_all(series.columns), *preds)
 
 
 def rmse(scored: DataFrame, y: str, prediction: str = "prediction", keys: Sequence[str] = (),
@@ -139,22 +109,34 @@ def rmse(scored: DataFrame, y: str, prediction: str = "prediction", keys: Sequen
     holds, e.g. the test periods). ``rows`` is evaluated inside the aggregate rather than as a
     filter in front of it: a filter on a roll-up's period would be pushed into a second scan of
     the raw input, while the scored rows and the fit share one."""
-    err = F.col(y).cast("double") - F.col(prediction)
+    err = quoted(y).cast("double") - quoted(prediction)
     if rows is not None:
         err = F.when(rows, err)
-    return scored.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias(name), F.count(err).alias("n"))
+    return scored.groupBy(*quoted_all(keys)).agg(F.sqrt(F.avg(err * err)).alias(name), F.count(err).alias("n"))
+
+
+def _trained_stats(data: DataFrame, x: str, y: str, keys: Sequence[str], train: Column) -> DataFrame:
+    """Per key: mean and deviation of the training label, and its trend in deviations per unit of x."""
+    stats = data.groupBy(*quoted_all(keys)).agg(*trend_aggregates(quoted(x), quoted(y), train, "_"))
+    sd = F.when(F.col("_y_sd") > 0, F.col("_y_sd")).otherwise(F.lit(1.0))
+    slope = trend_slope("_", 0.0, 0.0)
+    return stats.select(*[quoted(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_y_mean").alias("_mean"),
+                        sd.alias("_sd"), F.coalesce(slope / sd, F.lit(0.0)).alias("_trend"))
 
 
 def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequence[str] = (),
-                 max_iter: int = GBT_ITERATIONS, seed: int = 42, max_categories: int = MAX_CATEGORIES):
-    """Gradient-boosted trees on ``x`` (plus a numeric key feature when keyed), trained on
-    ``x <= train_until``; returns ``(scored rows, fitted PipelineModel)``.
-
-    One MLlib model covers every key: the key enters as ``xxhash64(keys)``, a deterministic
-    number computed on the executors, so no per-key label list is built on the driver. MLlib
-    trains distributed (per-iteration aggregates), rows with NULL label are left out of the fit.
-    The series is checkpointed first (shared folder): the indexer, the boosting iterations and
-    the scoring all read it, and none of them recomputes the roll-up of the raw input.
+                 max_iter: int = GBT_ITERATIONS, seed: int = 42, max_categories: int = MAX_CATEGORIES,
+                 features: Sequence[str] = ()):
+    """Gradient-boosted trees on ``x``, trained on ``x <= train_until``; returns
+    ``(scored rows, fitted PipelineModel)``.
+
+    ``x`` is always continuous, however few training periods there are; other numeric ``features``
+    go through a vector indexer (at most ``max_categories`` values make one categorical). With
+    keys, one MLlib model covers them all: each key's label is standardised with its training
+    mean and deviation, its trend is a feature, and predictions are scaled back, so any number
+    of keys with any levels fit one forest (a key without training rows gets NULL). Without keys the
+    label is used as it is. MLlib trains distributed; rows with NULL label are left out of the fit.
+    The series is checkpointed first (shared folder): all passes read that.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler, VectorIndexer
@@ -162,22 +144,29 @@ def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequ
 
     from ..session import materialize
 
-    feats = [x]
     data = materialize(series)
+    is_train = (quoted(x) <= F.lit(train_until)) & quoted(y).isNotNull()
+    label, inputs = quoted(y).cast("double"), ["_x_feature"]
     if keys:
-        data = data.withColumn("_key_feature", F.xxhash64(*[F.col(k) for k in keys]).cast("double"))
-        feats.append("_key_feature")
-    data = data.withColumn("_x_feature", F.col(x).cast("double"))
-    feats[0] = "_x_feature"
-    stages = [
-        VectorAssembler(inputCols=feats, outputCol="_raw_features"),
-        VectorIndexer(inputCol="_raw_features", outputCol="_features", maxCategories=max_categories,
-                      handleInvalid="keep"),
-        GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="prediction",
-                     maxIter=max_iter, seed=seed),
-    ]
-    data = data.withColumn("_label", F.col(y).cast("double"))
-    train = data.filter((F.col(x) <= F.lit(train_until)) & F.col("_label").isNotNull())
-    model = Pipeline(stages=stages).fit(train)
-    scored = model.transform(data).select(*series.columns, "prediction")
+        stats = _trained_stats(data, x, y, keys, quoted(x) <= F.lit(train_until))
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & quoted(k).eqNullSafe(F.col(f"_key{i}"))
+        data = data.join(stats, on)
+        label = (label - F.col("_mean")) / F.col("_sd")
+        inputs.append("_trend")
+    data = data.withColumn("_x_feature", quoted(x).cast("double")).withColumn("_label", label)
+    stages = []
+    if features:
+        data = data.select("*", *[quoted(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+        stages = [VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_raw"),
+                  VectorIndexer(inputCol="_raw", outputCol="_indexed", maxCategories=max_categories,
+                                handleInvalid="keep")]
+        inputs.append("_indexed")
+    stages += [VectorAssembler(inputCols=inputs, outputCol="_features"),
+               GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+                            maxIter=max_iter, seed=seed)]
+    model = Pipeline(stages=stages).fit(data.filter(is_train))
+    scaled = F.col("_prediction") * F.col("_sd") + F.col("_mean") if keys else F.col("_prediction")
+    scored = model.transform(data).select(*quoted_all(series.columns), scaled.alias("prediction"))
     return scored, model

@@ -22,19 +22,21 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegralType
+from pyspark.sql.types import DecimalType, IntegralType, LongType
+
+from ..functions.names import quoted, quoted_all
 
 METHODS = ("spread", "mean")
 
 
 def _in_year(date_col: str, year: int):
-    return F.year(F.col(date_col)) == F.lit(year)
+    return F.year(quoted(date_col)) == F.lit(year)
 
 
 def _known_months(df: DataFrame, date_col: str, year: int, keys: Sequence[str], extra=()) -> DataFrame:
     """Per key: the sorted months of ``year`` present (collect_set skips the NULLs of other years)."""
-    known = F.collect_set(F.when(_in_year(date_col, year), F.month(F.col(date_col))))
-    return df.groupBy(*keys).agg(F.array_sort(known).alias("_known"), *extra)
+    known = F.collect_set(F.when(_in_year(date_col, year), F.month(quoted(date_col))))
+    return df.groupBy(*quoted_all(keys)).agg(F.array_sort(known).alias("_known"), *extra)
 
 
 def _missing(known) -> "F.Column":
@@ -45,8 +47,8 @@ def calendar_gaps(df: DataFrame, date_col: str, year: int, keys: Sequence[str] =
                   out: str = "month") -> DataFrame:
     """Month starts of ``year`` that have no row, per key (keys that have rows in that year)."""
     known = _known_months(df, date_col, year, keys).where(F.size("_known") > 0)
-    return known.select(*keys, F.explode(_missing(F.col("_known"))).alias("_m")).select(
-        *keys, F.make_date(F.lit(year), F.col("_m"), F.lit(1)).alias(out))
+    return known.select(*quoted_all(keys), F.explode(_missing(F.col("_known"))).alias("_m")).select(
+        *quoted_all(keys), F.make_date(F.lit(year), F.col("_m"), F.lit(1)).alias(out))
 
 
 def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str],
@@ -57,7 +59,7 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
     * ``spread`` (the reference's rule): each missing month gets ``sum / number of missing months``.
     * ``mean``: each missing month gets ``sum / number of known months``.
 
-    Integral measures use integer division truncating toward zero (``div``); decimal and floating
+    Integral measures become BIGINT and use integer division truncating toward zero (``div``); decimal and floating
     measures use true division, cast back to the measure's type. A key with all twelve months known
     or with no row in ``year`` gets no rows. ``copies`` = {new: measure} adds a copy of a measure
     that stays NULL on imputed rows (to keep the reported values apart), ``flag`` a boolean column.
@@ -65,8 +67,13 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     copies = dict(copies or {})
-    types = {f.name: f.dataType for f in df.schema.fields}
-    sums = [F.sum(F.when(_in_year(date_col, year), F.col(m))).alias(f"_sum_{i}") for i, m in enumerate(measures)]
+    fields = {f.name: f for f in df.schema.fields}
+    # a share of a sum may not fit the measure's type: integral measures become BIGINT
+    wide = [m for m in measures if isinstance(fields[m].dataType, IntegralType)]
+    df = df.select(*[quoted(c).cast("bigint").alias(c, metadata=fields[c].metadata or {}) if c in wide else quoted(c)
+                     for c in df.columns])
+    types = {c: LongType() if c in wide else f.dataType for c, f in fields.items()}
+    sums = [F.sum(F.when(_in_year(date_col, year), quoted(m))).alias(f"_sum_{i}") for i, m in enumerate(measures)]
     known = _known_months(df, date_col, year, keys, sums)
     k = F.size(F.col("_known"))
     divisor = (F.lit(12) - k) if method == "spread" else k
@@ -84,13 +91,13 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
     imputed = (known
                .withColumn("_divisor", divisor)
                .where((F.col("_divisor") > 0) & (k > 0))
-               .select(*keys, *[F.col(f"_sum_{i}") for i in range(len(measures))], F.col("_divisor"),
+               .select(*quoted_all(keys), *[F.col(f"_sum_{i}") for i in range(len(measures))], F.col("_divisor"),
                        F.explode(_missing(F.col("_known"))).alias("_m"))
-               .select(*keys, F.make_date(F.lit(year), F.col("_m"), F.lit(1)).cast(types[date_col]).alias(date_col),
+               .select(*quoted_all(keys), F.make_date(F.lit(year), F.col("_m"), F.lit(1)).cast(types[date_col]).alias(date_col),
                        *[share(i, m) for i, m in enumerate(measures)]))
     base = df
     for new, src in copies.items():
-        base = base.withColumn(new, F.col(src))
+        base = base.withColumn(new, quoted(src))
         imputed = imputed.withColumn(new, F.lit(None).cast(types[src]))
     if flag:
         base = base.withColumn(flag, F.lit(False))

@@ -8,12 +8,15 @@ once. Every function here returns a lazy DataFrame; none collects, caches or loo
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_col, grain_key
+from ..functions.names import quoted, quoted_all
 
 # Name of the period column a roll-up produces for each grain.
 PERIOD_NAMES = {"month": "month", "quarter": "period", "year": "year"}
@@ -25,7 +28,7 @@ def _aggregates(measures: Measures) -> list[Column]:
     """``{"pax": "pax"}`` means ``sum(pax) AS pax``; a Column is used as the aggregate itself."""
     out = []
     for name, m in measures.items():
-        agg = F.sum(F.col(m)) if isinstance(m, str) else m
+        agg = F.sum(quoted(m)) if isinstance(m, str) else m
         out.append(agg.alias(name))
     return out
 
@@ -39,7 +42,7 @@ def rollup_series(df: DataFrame, date_col: str, grain: str, measures: Measures,
     sort once at the end with :func:`sorted_series`.
     """
     period = period_name or PERIOD_NAMES[grain]
-    return (df.groupBy(*[F.col(k) for k in keys], grain_key(date_col, grain).alias(period))
+    return (df.groupBy(*quoted_all(keys), grain_key(date_col, grain).alias(period))
             .agg(*_aggregates(measures)))
 
 
@@ -67,7 +70,7 @@ def with_total(df: DataFrame, total: str, parts: Sequence[str], missing_as_zero:
     """
     if on_overflow not in ("error", "null"):
         raise ValueError(f"on_overflow must be 'error' or 'null', got {on_overflow!r}")
-    cols = [F.col(p) for p in parts]
+    cols = quoted_all(parts)
     if missing_as_zero:
         cols = [F.coalesce(c, F.lit(0)) for c in cols]
     expr = cols[0]
@@ -78,13 +81,14 @@ def with_total(df: DataFrame, total: str, parts: Sequence[str], missing_as_zero:
 
 def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "month",
                    total: str | None = None, parts: Sequence[str] | None = None,
-                   missing_as_zero: bool = False, before=None, on_overflow: str = "error") -> DataFrame:
+                   missing_as_zero: bool = False, before=None, on_overflow: str = "error",
+                   period: str | None = None) -> DataFrame:
     """Full outer join of two series on their period (and key) columns, plus an optional total.
 
     * The join key is the coalesce of both sides, so periods present on one side only keep their
       period value (the reference kept only the left key and lost them).
     * ``total = parts[0] + parts[1]``; NULL when one side is missing unless ``missing_as_zero``.
-    * ``before`` cuts the result at ``period < before``. A matched row has equal keys on both
+    * ``before`` cuts the result at ``period < before`` (``period``: the first of ``on`` unless given). A matched row has equal keys on both
       sides and an unmatched row has only its own, so cutting each input first is exactly the cut
       of the coalesced key — and it reaches both inputs' scans (a filter on the coalesced key
       after the join could not be pushed through the full outer join).
@@ -94,7 +98,8 @@ def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] =
     """
     on = [on] if isinstance(on, str) else list(on)
     if before is not None:
-        left, right = before_filter(left, on[-1], before), before_filter(right, on[-1], before)
+        cut = period or on[0]
+        left, right = before_filter(left, cut, before), before_filter(right, cut, before)
     df = left.join(right, on=on, how="full_outer")
     if total:
         if parts is None:
@@ -104,44 +109,65 @@ def combine_series(left: DataFrame, right: DataFrame, on: str | Sequence[str] =
 
 
 def require_not_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Simple data quality: drop rows with a NULL in any of ``cols`` (pushed into the scan)."""
-    return df.dropna(how="any", subset=list(cols))
+    """Simple data quality: drop rows with a NULL (or NaN) in any of ``cols`` (pushed into the scan)."""
+    types = dict(df.dtypes)
+    for c in cols:
+        df = df.filter(quoted(c).isNotNull())
+        if types.get(c) in ("float", "double"):
+            df = df.filter(~F.isnan(quoted(c)))
+    return df
+
 
+_DATE = re.compile(r"\d{4}-\d{2}-\d{2}$")
 
-def _bound(value) -> Column:
+
+def _bound(value, dtype: str | None = None) -> Column:
+    """A bound as a column. A text in date form is a DATE, unless the column it bounds is known to
+    be text; any other text is taken as it is."""
     if isinstance(value, Column):
         return value
-    if isinstance(value, str):
+    if isinstance(value, str) and dtype != "string" and _DATE.match(value):
         return F.to_date(F.lit(value))
     return F.lit(value)
 
 
+def _dtype(df: DataFrame, col: str) -> str | None:
+    return df.select(quoted(col)).dtypes[0][1]
+
+
 def before_filter(df: DataFrame, col: str, bound) -> DataFrame:
-    """Rows with ``col < bound``; a text bound is read as a DATE and constant-folded."""
-    return df.filter(F.col(col) < _bound(bound))
+    """Rows with ``col < bound``; a date as text is a DATE (constant-folded), also against a timestamp."""
+    return df.filter(quoted(col) < _bound(bound, _dtype(df, col)))
 
 
 def between_filter(df: DataFrame, col: str, low, high) -> DataFrame:
-    """Rows with ``low <= col <= high`` (closed range); text bounds are DATEs."""
-    return df.filter(F.col(col).between(_bound(low), _bound(high)))
+    """Rows with ``low <= col <= high`` (closed range). Dates as text or ``date`` values count whole: a
+    timestamp on the last day is inside."""
+    dtype = _dtype(df, col)
+    lo, hi = _bound(low, dtype), _bound(high, dtype)
+    whole_day = (isinstance(high, str) and _DATE.match(high)) or (
+        isinstance(high, datetime.date) and not isinstance(high, datetime.datetime))
+    if dtype.startswith("timestamp") and whole_day:
+        return df.filter((quoted(col) >= lo) & (quoted(col) < F.date_add(hi, 1)))
+    return df.filter(quoted(col).between(lo, hi))
 
 
 def split_at(df: DataFrame, col: str, threshold) -> tuple[DataFrame, DataFrame]:
     """(``col <= threshold``, ``col > threshold``): a train / test split on an ordered column."""
-    t = _bound(threshold)
-    return df.filter(F.col(col) <= t), df.filter(F.col(col) > t)
+    t = _bound(threshold, _dtype(df, col))
+    return df.filter(quoted(col) <= t), df.filter(quoted(col) > t)
 
 
 def split_label(col: str, threshold, below: str = "train", above: str = "test") -> Column:
     """``below`` where ``col <= threshold``, ``above`` where ``col > threshold``, NULL for NULL —
     the two sides of :func:`split_at` as a column, to aggregate both splits in one pass."""
     t = _bound(threshold)
-    return F.when(F.col(col) <= t, F.lit(below)).when(F.col(col) > t, F.lit(above))
+    return F.when(quoted(col) <= t, F.lit(below)).when(quoted(col) > t, F.lit(above))
 
 
 def known_until(col: str, threshold, value: str) -> Column:
     """``CASE WHEN col <= threshold THEN value END`` — the value only where it was known."""
-    return F.when(F.col(col) <= _bound(threshold), F.col(value))
+    return F.when(quoted(col) <= _bound(threshold), quoted(value))
 
 
 def tie_breakers(df: DataFrame, by: Sequence[str | Column]) -> list[Column]:
@@ -153,14 +179,10 @@ def tie_breakers(df: DataFrame, by: Sequence[str | Column]) -> list[Column]:
     """
     from pyspark.sql.types import ArrayType, MapType, StructType
     named = {b for b in by if isinstance(b, str)}
-    return [quoted_col(f.name) for f in df.schema.fields
+    return [quoted(f.name) for f in df.schema.fields
             if f.name not in named and not isinstance(f.dataType, (MapType, ArrayType, StructType))]
 
 
-def quoted_col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def sorted_series(df: DataFrame, *by: str | Column, ascending: bool = True) -> DataFrame:
     """Global sort; apply once, as the last step (range exchange + per-partition sort). Ties are
     broken by the other columns (see :func:`tie_breakers`)."""
@@ -171,7 +193,7 @@ def sorted_series(df: DataFrame, *by: str | Column, ascending: bool = True) -> D
 def latest(df: DataFrame, by: str, n: int) -> DataFrame:
     """The ``n`` rows with the largest ``by`` (a top-n: each task keeps n rows, one merge).
     Ties at the boundary are broken by the other columns, so the result is deterministic."""
-    return df.orderBy(F.col(by).desc(), *[c.desc() for c in tie_breakers(df, [by])]).limit(n)
+    return df.orderBy(quoted(by).desc(), *[c.desc() for c in tie_breakers(df, [by])]).limit(n)
 
 
 def union_series(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -43,6 +43,20 @@ yearly AS (
          CAST(SUM(domestic) AS BIGINT) AS domestic, CAST(SUM(total) AS BIGINT) AS total
   FROM gold GROUP BY 1)"""
 
+YEARLY_ALL = f"""{GOLD_ALL},
+yearly AS (
+  SELECT CAST(year(month) AS INTEGER) AS year, CAST(SUM(international) AS BIGINT) AS international,
+         CAST(SUM(domestic) AS BIGINT) AS domestic, CAST(SUM(total) AS BIGINT) AS total
+  FROM gold_all GROUP BY 1)"""
+
+ORDERS_SHIPMENTS = """
+l AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS status, COUNT(*) AS orders
+      FROM orders GROUP BY 1, 2),
+r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_linestatus AS status, COUNT(*) AS shipments
+      FROM lineitem GROUP BY 1, 2),
+j AS (SELECT COALESCE(l.month, r.month) AS month, COALESCE(l.status, r.status) AS status, l.orders, r.shipments
+      FROM l FULL OUTER JOIN r ON l.month = r.month AND l.status = r.status)"""
+
 SEGMENT_MONTHLY = f"""{ORDERS_MARKET},
 seg AS (
   SELECT c_mktsegment, {MONTH} AS month, COUNT(*) AS n_orders,
@@ -127,12 +141,21 @@ ORACLE: dict[str, str] = {
     "combine_monthly": f"""WITH {GOLD}
 SELECT month, international, domestic, total FROM gold ORDER BY month""",
 
-    "outer_join_series": f"""WITH
-l AS (SELECT {MONTH} AS month, COUNT(*) AS orders FROM orders GROUP BY 1),
-r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, COUNT(*) AS shipments FROM lineitem GROUP BY 1)
-SELECT COALESCE(l.month, r.month) AS month, l.orders, r.shipments, l.orders + r.shipments AS total
-FROM (SELECT * FROM l WHERE month < DATE '{q.OUTER_LEFT_BEFORE}') l
-FULL OUTER JOIN (SELECT * FROM r WHERE month >= DATE '{q.OUTER_RIGHT_FROM}') r ON l.month = r.month""",
+    "outer_join_series": f"""WITH {ORDERS_SHIPMENTS}
+SELECT month, status, orders, shipments, orders + shipments AS total FROM j""",
+
+    "combine_before": f"""WITH {ORDERS_SHIPMENTS}
+SELECT month, status, orders, shipments, COALESCE(orders, 0) + COALESCE(shipments, 0) AS total
+FROM j WHERE month < DATE '{q.COMBINE_BEFORE}'""",
+
+    "quoted_names": f"""WITH {ORDERS_MARKET},
+ry AS (SELECT c_mktsegment AS r_name, CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n_orders
+       FROM om WHERE o_totalprice IS NOT NULL AND c_mktsegment IS NOT NULL AND o_orderdate < DATE '{q.GOLD_CUTOFF}'
+       GROUP BY 1, 2),
+{_fit("fit", q.TRAIN_UNTIL)},
+{_rows_with_futures("fit")}
+SELECT rows_.r_name AS "Market Seg.%", rows_.year AS "Yr.", rows_.n_orders AS "No. %", {_score("fit")} AS "Pred. %"
+FROM rows_ JOIN fit ON rows_.r_name = fit.r_name""",
 
     "monthly_rollup": f"""WITH {ORDERS_MARKET}
 SELECT r_name, {MONTH} AS month, COUNT(*) AS n_orders,
@@ -177,10 +200,10 @@ WHERE o_orderdate BETWEEN DATE '{q.RANGE_LOW}' AND DATE '{q.RANGE_HIGH}' GROUP B
     "project_drop": """SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate
 FROM orders ORDER BY o_orderkey""",
 
-    "case_known_range": f"""WITH {YEARLY}
+    "case_known_range": f"""WITH {YEARLY_ALL}
 SELECT year, total, CASE WHEN year <= {q.KNOWN_UNTIL} THEN total END AS known_total FROM yearly""",
 
-    "train_test_split": f"""WITH {YEARLY}
+    "train_test_split": f"""WITH {YEARLY_ALL}
 SELECT 'train' AS split, COUNT(*) AS n_years, CAST(SUM(total) AS BIGINT) AS total FROM yearly WHERE year <= {q.SPLIT_YEAR}
 UNION ALL
 SELECT 'test' AS split, COUNT(*) AS n_years, CAST(SUM(total) AS BIGINT) AS total FROM yearly WHERE year > {q.SPLIT_YEAR}""",
@@ -191,7 +214,7 @@ SELECT r_name, {MONTH} AS month, COUNT(*) AS n_orders FROM om GROUP BY 1, 2 ORDE
     "latest_n": f"""WITH {GOLD_ALL}
 SELECT month, international, domestic, total FROM gold_all ORDER BY month DESC LIMIT {q.LATEST_N}""",
 
-    "union_missing_columns": f"""WITH {YEARLY},
+    "union_missing_columns": f"""WITH {YEARLY_ALL},
 last AS (SELECT MAX(year) AS last_year FROM yearly)
 SELECT year, international, domestic, total FROM yearly
 UNION ALL
@@ -219,16 +242,30 @@ WHERE NOT EXISTS (SELECT 1 FROM seg WHERE seg.c_mktsegment = keys.c_mktsegment A
 SELECT n.n_nationkey AS nation_key, n.n_name AS nation, COALESCE(p.customers, 0) AS customers, p.balance
 FROM nation n LEFT JOIN per_nation p ON n.n_nationkey = p.c_nationkey""",
 
-    "gold_roundtrip": f"""WITH {YEARLY}
-SELECT * FROM yearly""",
+    "gold_roundtrip": f"""WITH {GOLD_ALL}
+SELECT CAST(year(month) AS INTEGER) AS year, CAST(SUM(international) AS BIGINT) AS international,
+       CAST(SUM(domestic) AS BIGINT) AS domestic, CAST(SUM(total + 1) AS BIGINT) AS total
+FROM gold_all GROUP BY 1""",
+
+    "chart_text_roundtrip": """WITH t AS (
+  SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+  UNION ALL
+  SELECT 'turn', conv_id * 100000 + turn, '  "' || text || '"' || chr(13) || chr(10) || ' ' FROM conversations),
+u AS (SELECT kind, id, CASE WHEN id % 7 = 3 THEN '' WHEN id % 7 = 5 THEN NULL ELSE text END AS text FROM t)
+SELECT kind, CAST(id AS BIGINT) AS id, CAST(length(text) AS BIGINT) AS n, sha256(text) AS digest FROM u""",
+
+    "forecast_gbt_global": f"""WITH {YEARLY_ALL}
+SELECT year, total, CAST((SELECT MAX_BY(t.total, t.year) FROM yearly t
+                          WHERE t.year <= LEAST(yearly.year, {q.GBT_TRAIN_UNTIL})) AS DECIMAL(38,4)) AS prediction
+FROM yearly""",
 
-    "chart_data_export": f"""WITH {GOLD}
+    "chart_data_export": f"""WITH {GOLD_ALL}
 SELECT CAST(year(month) AS VARCHAR) || '-Q' || CAST(quarter(month) AS VARCHAR) AS period,
        CAST(SUM(international) AS BIGINT) AS international, CAST(SUM(domestic) AS BIGINT) AS domestic,
        CAST(SUM(total) AS BIGINT) AS total
-FROM gold GROUP BY 1""",
+FROM gold_all GROUP BY 1""",
 
-    "chart_descriptor": f"""WITH {YEARLY},
+    "chart_descriptor": f"""WITH {YEARLY_ALL},
 b AS (SELECT MIN(year) AS lo, MAX(year) AS hi FROM yearly)
 SELECT v.position, v.key, v.header, '{q.CHART_SOURCE}' AS source, '{q.CHART_TITLE}' AS title,
        'Year ' || CAST(b.lo AS VARCHAR) || ' - ' || CAST(b.hi AS VARCHAR) AS xtitle,
@@ -276,11 +313,11 @@ SELECT rows_.year, rows_.total_reported, rows_.total,
        CASE WHEN rows_.year <= {q.KNOWN_UNTIL} THEN rows_.total END AS known_{q.KNOWN_UNTIL}
 FROM rows_, fa, fb""",
 
-    "chart_dashboard": f"""WITH {GOLD},
+    "chart_dashboard": f"""WITH {GOLD_ALL},
 q AS (SELECT CAST(year(month) AS VARCHAR) || '-Q' || CAST(quarter(month) AS VARCHAR) AS period, SUM(total) AS total
-      FROM gold GROUP BY 1),
-y AS (SELECT year(month) AS year, SUM(total) AS total FROM gold GROUP BY 1)
-SELECT 'month' AS chart, COUNT(*) AS n_rows, CAST(SUM(total) AS BIGINT) AS total FROM gold
+      FROM gold_all GROUP BY 1),
+y AS (SELECT year(month) AS year, SUM(total) AS total FROM gold_all GROUP BY 1)
+SELECT 'month' AS chart, COUNT(*) AS n_rows, CAST(SUM(total) AS BIGINT) AS total FROM gold_all
 UNION ALL SELECT 'quarter', COUNT(*), CAST(SUM(total) AS BIGINT) FROM q
 UNION ALL SELECT 'year', COUNT(*), CAST(SUM(total) AS BIGINT) FROM y""",
 
@@ -289,7 +326,7 @@ UNION ALL SELECT 'year', COUNT(*), CAST(SUM(total) AS BIGINT) FROM y""",
 err AS (
   SELECT ry.r_name, CAST(ry.n_orders AS DOUBLE) - (fit.intercept + fit.slope * CAST(ry.year AS DOUBLE)) AS e
   FROM ry JOIN fit ON ry.r_name = fit.r_name
-  WHERE ry.year BETWEEN {q.RMSE_TEST_FROM} AND {q.RMSE_TEST_UNTIL})
+  WHERE ry.year > {q.RMSE_TRAIN_UNTIL})
 SELECT r_name, CAST(round(sqrt(AVG(e * e)), {q.SCORE_DIGITS}) AS DECIMAL(38,4)) AS rmse, COUNT(e) AS n
 FROM err GROUP BY 1""",
 }

@@ -18,11 +18,10 @@ from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, St
 from ..operators.columns import column_bounds, with_headers, with_metadata_all
 from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
 from ..operators.impute import calendar_gaps, impute_year
-from ..operators.joins import broadcast_if_small
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
                                 drop_columns, global_sums, known_until, latest, require_not_null,
                                 rollup_series, sorted_series, split_label, union_series, with_total)
-from ..session import materialize, scratch_path, session_cache
+from ..session import materialize, scratch_path
 from ..sources.csv import read_series_csv, read_table_csv, write_series_csv
 from ..sources.publish import publish_chart, read_chart
 from ..sources.tables import driver_table, load_table, save_table
@@ -30,8 +29,7 @@ from ..sources.tables import driver_table, load_table, save_table
 # Parameters of the registered queries (the oracle SQL uses the same values).
 HOME_REGION = "AMERICA"
 GOLD_CUTOFF = "2001-01-01"          # monthly gold table keeps months before this date
-OUTER_LEFT_BEFORE = "2001-01-01"    # left series of the outer-join query ends before this
-OUTER_RIGHT_FROM = "1996-01-01"     # right series starts here
+COMBINE_BEFORE = "1998-07-01"       # combine_before keeps months before this date
 CUTOFF_DATE = "1998-01-01"
 RANGE_LOW, RANGE_HIGH = "1999-01-01", "1999-12-31"
 IMPUTE_YEAR = 2001
@@ -41,8 +39,8 @@ HORIZON = 2007
 TRAIN_UNTIL = 2000
 HORIZONS = (1999, 2000)
 IMPUTED_HORIZONS = (1999, 2001)     # the later model trains on the imputed partial year
-RMSE_TRAIN_UNTIL, RMSE_TEST_FROM, RMSE_TEST_UNTIL = 1998, 1999, 2000
-GBT_TRAIN_UNTIL = 1998
+RMSE_TRAIN_UNTIL = 1998
+GBT_TRAIN_UNTIL = 1999               # five training years
 LATEST_N = 15
 MONEY = DecimalType(18, 2)
 MONEY_SUM = DecimalType(38, 2)
@@ -63,29 +61,16 @@ def score(c):
 # Shared inputs
 
 
-def checked_dimensions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(nation, region), each broadcast behind a row-count check (:func:`broadcast_if_small`),
-    checked once per session and tables. Above the bound they stay plain tables and the planner
-    picks the join."""
-    cache = session_cache(spark)
-    key = f"{sf.rstrip('/')}#dimensions"
-    if key not in cache:
-        cache[key] = (broadcast_if_small(driver_table(spark, sf, "nation")),
-                      broadcast_if_small(driver_table(spark, sf, "region")))
-    return cache[key]
-
-
 def orders_market(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's segment and region, and the ``domestic`` flag.
 
     orders ⋈ customer is the one large join: a sort-merge join on the customer key whose skewed
     keys AQE splits; the planner broadcasts a side only when its size is under the broadcast
-    threshold (at sf0.1 the customer table is). nation and region are broadcast behind a
-    row-count check; the joined rows probe them (a hash lookup in a 25-row map per row).
+    threshold (at sf0.1 the customer table is), and so for nation and region, from their file sizes.
     """
     o = driver_table(spark, sf, "orders")
     c = driver_table(spark, sf, "customer")
-    n, r = checked_dimensions(spark, sf)
+    n, r = driver_table(spark, sf, "nation"), driver_table(spark, sf, "region")
     return (o.join(c, o.o_custkey == c.c_custkey)
              .join(n, c.c_nationkey == n.n_nationkey)
              .join(r, n.n_regionkey == r.r_regionkey)
@@ -113,8 +98,8 @@ def gold_monthly(spark: SparkSession, sf: str, cutoff: str | None = GOLD_CUTOFF)
 MEASURES3 = {"international": "international", "domestic": "domestic", "total": "total"}
 
 
-def yearly_gold(spark: SparkSession, sf: str) -> DataFrame:
-    return rollup_series(gold_monthly(spark, sf), "month", "year", MEASURES3)
+def yearly_gold(spark: SparkSession, sf: str, cutoff: str | None = None) -> DataFrame:
+    return rollup_series(gold_monthly(spark, sf, cutoff), "month", "year", MEASURES3)
 
 
 def segment_monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,16 +131,42 @@ def q_combine_monthly(spark, sf):
     return sorted_series(df, "month")
 
 
+def _orders_and_shipments(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Orders per month and status, and shipped lines per month and status, over whole tables:
+    orders have a status that lines lack, lines ship after the last order."""
+    left = rollup_series(driver_table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status"), "o_orderdate",
+                         "month", {"orders": F.count(F.lit(1))}, keys=["status"])
+    right = rollup_series(driver_table(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "status"), "l_shipdate",
+                          "month", {"shipments": F.count(F.lit(1))}, keys=["status"])
+    return left, right
+
+
 def q_outer_join_series(spark, sf):
-    """J1 on two sources: orders per month (until 2000) and shipped lines per month (from 1996);
-    each side has months the other lacks. Both roll-ups leave their rows hash-partitioned on
-    ``month``, so the full outer sort-merge join reuses that partitioning."""
-    # Both bounds are month starts, so they apply to the raw dates and reach the Parquet scans.
-    o = before_filter(driver_table(spark, sf, "orders"), "o_orderdate", OUTER_LEFT_BEFORE)
-    li = driver_table(spark, sf, "lineitem").filter(F.col("l_shipdate") >= F.to_date(F.lit(OUTER_RIGHT_FROM)))
-    left = rollup_series(o, "o_orderdate", "month", {"orders": F.count(F.lit(1))})
-    right = rollup_series(li, "l_shipdate", "month", {"shipments": F.count(F.lit(1))})
-    return combine_series(left, right, "month", total="total", parts=["orders", "shipments"])
+    """J1 on two sources; each side has (month, status) pairs the other lacks. Both roll-ups leave
+    their rows hash-partitioned on the join columns, so the full outer join reuses that."""
+    left, right = _orders_and_shipments(spark, sf)
+    return combine_series(left, right, ["month", "status"], total="total", parts=["orders", "shipments"])
+
+
+def q_combine_before(spark, sf):
+    """C1's cut on a composite key: both sides cut before the join, on the period."""
+    left, right = _orders_and_shipments(spark, sf)
+    return combine_series(left, right, ["status", "month"], total="total", parts=["orders", "shipments"],
+                          missing_as_zero=True, before=COMBINE_BEFORE, period="month")
+
+
+def q_quoted_names(spark, sf):
+    """Names with dots, blanks and percent signs through roll-up, filter, imputation, forecast and sort."""
+    df = orders_market(spark, sf).withColumnsRenamed({"o_totalprice": "Total.Price", "c_mktsegment": "Market Seg.%",
+                                                      "o_orderdate": "Order.Date"})
+    df = require_not_null(df, ["Total.Price", "Market Seg.%"])
+    df = before_filter(df, "Order.Date", GOLD_CUTOFF)
+    monthly = rollup_series(df, "Order.Date", "month", {"No. %": F.count(F.lit(1))}, keys=["Market Seg.%"], period_name="Mo.")
+    full = impute_year(monthly, "Mo.", IMPUTE_YEAR, ["No. %"], keys=["Market Seg.%"], flag=None)
+    yearly = rollup_series(full, "Mo.", "year", {"No. %": "No. %"}, keys=["Market Seg.%"], period_name="Yr.")
+    scored = forecast_linear(yearly, "Yr.", "No. %", TRAIN_UNTIL, keys=["Market Seg.%"], horizon=HORIZON, names=["Pred. %"])
+    scored = scored.withColumn("Pred. %", score(F.col("`Pred. %`")))
+    return sorted_series(scored, "Market Seg.%", "Yr.")
 
 
 def q_monthly_rollup(spark, sf):
@@ -165,14 +176,18 @@ def q_monthly_rollup(spark, sf):
 
 
 def q_quarterly_rollup(spark, sf):
-    df = rollup_series(gold_monthly(spark, sf), "month", "quarter", MEASURES3)
+    return _quarterly(gold_monthly(spark, sf))
+
+
+def _quarterly(gold: DataFrame) -> DataFrame:
+    df = rollup_series(gold, "month", "quarter", MEASURES3)
     df = with_headers(df, {"period": "Quarter", "total": "Orders",
                            "international": "International orders", "domestic": "Domestic orders"})
     return sorted_series(df, "period")
 
 
 def q_yearly_rollup(spark, sf):
-    df = with_headers(yearly_gold(spark, sf), {"year": "Year", "total": "Orders"})
+    df = with_headers(yearly_gold(spark, sf, GOLD_CUTOFF), {"year": "Year", "total": "Orders"})
     return sorted_series(df, "year")
 
 
@@ -258,9 +273,16 @@ def q_csv_month_ingest(spark, sf):
                            {"orders": F.count(F.lit(1))})
     path = scratch_path(spark, "csv-month")
     write_series_csv(series, path, "month", "orders")
-    # The published files end with blank lines and a source line; add them as their own file.
-    footer = spark.createDataFrame([("",), ("",), ("SOURCE: orders table, monthly counts",)], "value string")
-    footer.coalesce(1).write.mode("append").text(path)
+    # The published files end with blank lines and a source line, in the same file as the data.
+    lines = spark.read.text(path)
+    path = scratch_path(spark, "csv-month-footer")
+    # header lines come first in a file, so every output file starts with one of its own
+    body = lines.where(~F.col("value").startswith("month,"))
+    head = spark.createDataFrame([("month,orders",)], "value string")
+    foot = spark.createDataFrame([("",), ("",), ("SOURCE: orders table, monthly counts",)], "value string")
+    # a month column is a few hundred lines: one file
+    parts = [d.withColumn("at", F.lit(i)) for i, d in enumerate((head, body, foot))]
+    (parts[0].union(parts[1]).union(parts[2]).coalesce(1).sortWithinPartitions("at").select("value").write.text(path))
     # Read with the schema's generic name, then rename to the series name (metadata follows).
     return read_series_csv(spark, path, value_type=LongType()).withColumnRenamed("value", "orders")
 
@@ -286,14 +308,16 @@ def q_csv_header_ingest(spark, sf):
 
 def q_gold_roundtrip(spark, sf):
     """Save the monthly gold table partitioned by year (later reads of a year slice prune to one
-    directory), load it with its stored schema, roll it up by year."""
-    gold = gold_monthly(spark, sf).withColumn("y", F.year("month"))
+    directory), load it, save a change of that same table over itself, load it, roll it up by year."""
+    gold = gold_monthly(spark, sf, cutoff=None).withColumn("y", F.year("month"))
     path = save_table(gold, scratch_path(spark, "gold-monthly"), partition_by=["y"])
+    changed = load_table(spark, path).withColumn("total", F.col("total") + 1)
+    save_table(changed, path, partition_by=["y"], keep=1)
     return rollup_series(load_table(spark, path), "month", "year", MEASURES3)
 
 
 def q_chart_data_export(spark, sf):
-    chart = q_quarterly_rollup(spark, sf)
+    chart = _quarterly(gold_monthly(spark, sf, cutoff=None))
     out = scratch_path(spark, "charts")
     publish_chart(chart, out, "orders-per-quarter", order_by=["period"], title="Orders per quarter",
                   x_title="Period from {min} to {max}", y_title="Orders", bounds_col="period")
@@ -301,6 +325,20 @@ def q_chart_data_export(spark, sf):
     return data
 
 
+def q_chart_text_roundtrip(spark, sf):
+    """Whole texts (line breaks, quotes, outer blanks, empty and NULL) through a chart's CSV."""
+    text = (driver_table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+            .unionByName(driver_table(spark, sf, "conversations").select(
+                F.lit("turn").alias("kind"), (F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
+                F.concat(F.lit('  "'), F.col("text"), F.lit('"\r\n ')).alias("text"))))
+    text = text.withColumn("text", F.when(F.col("id") % 7 == 3, F.lit("")).when(F.col("id") % 7 == 5, F.lit(None))
+                           .otherwise(F.col("text")))
+    out = scratch_path(spark, "charts")
+    publish_chart(text, out, "texts", order_by=["kind", "id"])
+    data, _ = read_chart(spark, out, "texts", schema=text.schema)
+    return data.select("kind", "id", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
 CHART_TITLE = "Orders per year"
 CHART_X_TITLE = "Year {min} - {max}"
 CHART_Y_TITLE = "Orders (count)"
@@ -348,7 +386,7 @@ def q_forecast_two_horizons(spark, sf):
 
 def q_rmse_by_key(spark, sf):
     scored = forecast_linear(region_yearly(spark, sf), "year", "n_orders", RMSE_TRAIN_UNTIL, keys=["r_name"])
-    test_years = F.col("year").between(RMSE_TEST_FROM, RMSE_TEST_UNTIL)
+    test_years = F.col("year") > RMSE_TRAIN_UNTIL
     return rmse(scored, "n_orders", keys=["r_name"], rows=test_years).withColumn("rmse", score(F.col("rmse")))
 
 
@@ -385,7 +423,7 @@ DASHBOARD = ("month", "quarter", "year")
 def q_chart_dashboard(spark, sf):
     """One gold table, three charts (month, quarter, year), each its own bundle; the bundles are
     read back and summarised as (chart, rows, orders)."""
-    gold = materialize(gold_monthly(spark, sf))      # read by three charts: computed once
+    gold = materialize(gold_monthly(spark, sf, cutoff=None))      # read by three charts: computed once
     out = scratch_path(spark, "dashboard")
     summaries = []
     for grain in DASHBOARD:
@@ -404,12 +442,21 @@ def q_chart_dashboard(spark, sf):
 
 def q_forecast_gbt(spark, sf):
     scored, _ = forecast_gbt(region_yearly(spark, sf), "year", "n_orders", GBT_TRAIN_UNTIL, keys=["r_name"])
-    return scored
+    return scored.withColumn("prediction", score(F.col("prediction")))
+
+
+def q_forecast_gbt_global(spark, sf):
+    """One series, five training years: trees give each its own value and the last one ever after."""
+    y = yearly_gold(spark, sf).select("year", "total")
+    scored, _ = forecast_gbt(y, "year", "total", GBT_TRAIN_UNTIL)
+    return scored.withColumn("prediction", score(F.col("prediction")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "combine_monthly": q_combine_monthly,
     "outer_join_series": q_outer_join_series,
+    "combine_before": q_combine_before,
+    "quoted_names": q_quoted_names,
     "monthly_rollup": q_monthly_rollup,
     "quarterly_rollup": q_quarterly_rollup,
     "yearly_rollup": q_yearly_rollup,
@@ -431,6 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_header_ingest": q_csv_header_ingest,
     "gold_roundtrip": q_gold_roundtrip,
     "chart_data_export": q_chart_data_export,
+    "chart_text_roundtrip": q_chart_text_roundtrip,
     "chart_descriptor": q_chart_descriptor,
     "impute_year": q_impute_year,
     "impute_year_mean": q_impute_year_mean,
@@ -438,6 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_two_horizons": q_forecast_two_horizons,
     "rmse_by_key": q_rmse_by_key,
     "forecast_gbt": q_forecast_gbt,
+    "forecast_gbt_global": q_forecast_gbt_global,
     "impute_gold_all": q_impute_gold_all,
     "forecast_imputed_horizons": q_forecast_imputed_horizons,
     "chart_dashboard": q_chart_dashboard,

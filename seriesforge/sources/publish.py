@@ -4,9 +4,9 @@ Layout below ``out`` (any Hadoop-compatible file system the executors share)::
 
     <out>/<chart_id>/v<stamp>/data/part-*.csv     header row; parts in sort order
     <out>/<chart_id>/v<stamp>/metadata/part-*     one line: the descriptor JSON
-    <out>/<chart_id>/_versions/part-*.json        one line per completed version
+    <out>/<chart_id>/_versions/v<stamp>/part-*    the version's pointer, one line
 
-Every publish writes a new version directory and only then appends its pointer, so readers never
+Every publish writes a new version directory and only then its pointer, so readers never
 see a half-written bundle and the previous version stays intact until the new one is complete.
 Each chart id is its own bundle, so several charts of one job don't replace each other. All
 writes are Spark writes, committed per task: a lost executor only reruns its tasks.
@@ -22,23 +22,25 @@ Column metadata overlays the defaults, so a ``header`` entry replaces the column
 from __future__ import annotations
 
 import json
-import time
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.columns import quoted
+from ..functions.names import quoted
 from ..operators.series import tie_breakers
+from . import versions
 
 # Fixed values of the descriptor format.
 TITLE, X_TITLE, X_SCALE, Y_TITLE, COLUMNS, HEADER, KEY = (
     "title", "xtitle", "xscale", "ytitle", "columns", "header", "key")
 SCALE_LABELS, SCALE_TIME = "labels", "time"
-VERSIONS_SCHEMA = StructType([StructField("version", StringType()), StructField("path", StringType()),
-                              StructField("published_at", TimestampType())])
+# CSV that gives back what it got: outer blanks, quotes, line breaks, empty text apart from NULL,
+# microseconds. (A text that is the NULL marker itself would come back NULL.)
+CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "nullValue": "\\N", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 # Metadata MLlib attaches to feature / prediction columns; not chart hints.
 ML_METADATA_KEYS = ("ml_attr",)
 
@@ -92,22 +94,22 @@ def chart_descriptor(df: DataFrame, title: str = "", x_title: str = "X", y_title
 
 
 def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Sequence[str] = (),
-                  single_file: bool = False, title: str = "", x_title: str = "X", y_title: str = "Y",
+                  title: str = "", x_title: str = "X", y_title: str = "Y",
                   x_scale: str = SCALE_LABELS, bounds_col: str | None = None,
-                  include_ml: bool = False, partition_by: Sequence[str] = ()) -> str:
+                  include_ml: bool = False, partition_by: Sequence[str] = (), keep: int | None = None) -> str:
     """Write ``df`` and its descriptor as a new version of chart ``chart_id``; returns its path.
 
     Data order: with ``order_by`` the frame is range-partitioned and sorted, so part files are in
-    order (AQE folds a small chart into one file); ``single_file=True`` forces one part file,
-    sorted within it — only for results known to be small.
+    order (AQE folds a small chart into one file). ``keep`` removes older versions once this one is
+    the newest, all but that many.
 
     ``partition_by`` (series keys) publishes one chart per key: ``data/<key>=<value>/part-*.csv``,
     each directory holding one key's rows in ``order_by`` order across its part files. The
     descriptor lists the columns a per-key file holds (the keys are in the directory names).
     """
-    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark = df.sparkSession
     root = f"{out.rstrip('/')}/{chart_id}"
-    path = f"{root}/{version}"
+    version, path = versions.begin(spark, root)
     data = df
     writer_keys = list(partition_by)
     if writer_keys:
@@ -117,30 +119,25 @@ def publish_chart(df: DataFrame, out: str, chart_id: str = "chart", order_by: Se
         ordering = [quoted(c) for c in writer_keys + list(order_by)]
         ordering += tie_breakers(df, writer_keys + list(order_by))
         data = data.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
-    elif single_file:
-        data = data.repartition(1)
-        if order_by:
-            data = data.sortWithinPartitions(*[quoted(c) for c in order_by])
     elif order_by:
         data = data.orderBy(*[quoted(c) for c in order_by], *tie_breakers(df, list(order_by)))
-    writer = data.write.option("header", True)
+    writer = data.write.options(**CSV_OPTIONS, emptyValue='""')
     if writer_keys:
         writer = writer.partitionBy(*writer_keys)
     writer.csv(f"{path}/data")
-    spark = df.sparkSession
     # Title bounds come from the written files, so the chart's upstream plan runs only once.
     written = _typed_reader(spark, df.schema).csv(f"{path}/data") if bounds_col is not None else None
     described = df.drop(*writer_keys) if writer_keys else df
     (chart_descriptor(described, title, x_title, y_title, x_scale, bounds_col, include_ml, bounds_from=written)
      .coalesce(1).write.text(f"{path}/metadata"))
-    (spark.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path"),
-                           F.current_timestamp().alias("published_at"))
-     .coalesce(1).write.mode("append").json(f"{root}/_versions"))
+    versions.publish(spark, root, version, keep)
     return path
 
 
 def _typed_reader(spark: SparkSession, schema: StructType | None):
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**CSV_OPTIONS, emptyValue="")
+    if schema is None or any(isinstance(f.dataType, StringType) for f in schema.fields):
+        reader = reader.option("multiLine", True)       # a text may hold line breaks
     if schema is not None:
         reader = reader.schema(StructType([StructField(f.name, f.dataType, True) for f in schema.fields]))
     return reader
@@ -148,11 +145,10 @@ def _typed_reader(spark: SparkSession, schema: StructType | None):
 
 def latest_version(spark: SparkSession, out: str, chart_id: str = "chart") -> str:
     """Path of the newest complete version (one aggregate; a single string comes back)."""
-    row = (spark.read.schema(VERSIONS_SCHEMA).json(f"{out.rstrip('/')}/{chart_id}/_versions")
-           .agg(F.max_by("path", "version")).first())
-    if row is None or row[0] is None:
+    path = versions.newest(spark, f"{out.rstrip('/')}/{chart_id}")
+    if path is None:
         raise FileNotFoundError(f"no published version of chart {chart_id!r} under {out!r}")
-    return row[0]
+    return path
 
 
 def read_chart(spark: SparkSession, out: str, chart_id: str = "chart",

@@ -1,8 +1,9 @@
 """Gold tables: save and load, plus the driver's Parquet tables.
 
-Overwriting a table in place is not atomic for Parquet and fails when the same plan reads that
-path, so :func:`save_version` writes every version to a new directory and readers pick the newest
-complete one. ``fmt="delta"`` works when the caller's session has that connector on its classpath.
+Overwriting files in place is not atomic and destroys a table that the same plan reads. So every
+save writes a new version next to the old one and switches a pointer when it is complete (see
+:mod:`seriesforge.sources.versions`); readers resolve the newest. ``fmt="delta"`` has versions of its
+own and works when the caller's session has that connector on its classpath.
 """
 
 from __future__ import annotations
@@ -11,34 +12,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import quoted_all
 from ..session import session_cache
+from . import versions
 
 DEFAULT_FORMAT = "parquet"
 
 
 def save_table(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, mode: str = "overwrite",
-               partition_by: Sequence[str] = (), cluster: bool = True) -> str:
-    """Write ``df`` to ``path`` (distributed write, committed per task by the output committer).
-    Returns the path.
+               partition_by: Sequence[str] = (), cluster: bool = True, keep: int | None = None) -> str:
+    """Write ``df`` as the newest version of the table at ``path``. Returns the path.
+
+    ``mode`` is ``overwrite`` (a new version; the plan may read the table itself, and a failed save
+    leaves it as it was) or ``error`` (fail if there is one). ``keep`` removes older versions after
+    the switch, all but that many newest ones; readers of those would fail.
 
     With ``partition_by`` the rows are first range-partitioned on the partition columns (then the
     others, as tie-breakers): every task covers a contiguous slice and writes into one or two
     partition directories, instead of every task writing a small file into every directory, and
     a partition value holding a large share of the rows is still spread over several tasks.
     """
+    if mode not in ("overwrite", "error"):
+        raise ValueError(f"mode must be 'overwrite' or 'error', got {mode!r}")
+    spark, root = df.sparkSession, path.rstrip("/")
+    if mode == "error" and fmt != "delta" and versions.newest(spark, root) is not None:
+        raise FileExistsError(f"table {path!r} exists")
     if partition_by and cluster:
-        from ..operators.series import quoted_col, tie_breakers
-        df = df.repartitionByRange(*[quoted_col(c) for c in partition_by], *tie_breakers(df, list(partition_by)))
-    writer = df.write.format(fmt).mode(mode)
+        from ..operators.series import tie_breakers
+        df = df.repartitionByRange(*quoted_all(partition_by), *tie_breakers(df, list(partition_by)))
+    writer = df.write.format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    if fmt == "delta":
+        writer.mode(mode).save(root)
+        return path
+    version, target = versions.begin(spark, root)
+    writer.save(target)
+    versions.publish(spark, root, version, keep)
     return path
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
-    """Read a saved table with its stored schema (column metadata included for Parquet)."""
-    return spark.read.format(fmt).load(path)
+    """Read the newest version of a saved table with its stored schema (column metadata included for
+    Parquet); a folder without versions is read as it is."""
+    target = None if fmt == "delta" else versions.newest(spark, path.rstrip("/"))
+    return spark.read.format(fmt).load(target or path)
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

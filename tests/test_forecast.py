@@ -89,7 +89,7 @@ def test_gbt_reference_shape(spark):
     assert all(p[y] == pytest.approx(803579.0) for y in (2016, 2017, 2018, 2019))
     test = scored.filter("year > 2015")
     assert rmse(test, "pax").first().rmse == pytest.approx(82875.608, abs=1e-3)
-    assert len(model.stages) == 3
+    assert len(model.stages) == 2       # one continuous feature: no indexer
 
 
 def test_empty_test_split_is_tolerated(spark):
@@ -99,3 +99,36 @@ def test_empty_test_split_is_tolerated(spark):
     err = rmse(scored, "pax", rows=F.col("year") > 2019).first()
     assert err.n == 0 and err.rmse is None
     assert forecast_linear(df.filter("year > 2019"), "year", "pax", 2019).count() == 0
+
+
+def test_gbt_year_is_continuous_with_few_years(spark):
+    for first in (2013, 2010):                  # 3 and 6 training years
+        df = spark.createDataFrame([(y, 100 * y) for y in range(first, 2020)], "year int, v bigint")
+        scored, _ = forecast_gbt(df, "year", "v", train_until=2015)
+        p = {r.year: r.prediction for r in scored.collect()}
+        assert all(p[y] == pytest.approx(100 * min(y, 2015)) for y in range(first, 2020))
+
+
+def test_gbt_many_keys_with_distinct_levels(spark):
+    rows = [(k, y, 1000 * k + 3 * (y - 2000) + (y % 2)) for k in range(200) for y in range(2000, 2010)]
+    df = spark.createDataFrame(rows + [(None, 2001, 5), (999, 2012, 7)], "k int, year int, v bigint")
+    scored, _ = forecast_gbt(df, "year", "v", train_until=2009, keys=["k"])
+    assert rmse(scored.filter("k < 200"), "v").first().rmse < 5        # levels span 200,000
+    odd = {r.k: r.prediction for r in scored.filter("k is null or k = 999").collect()}
+    assert odd[None] == pytest.approx(5.0, abs=2) and odd[999] is None
+
+
+def test_gbt_indexed_extra_feature(spark):
+    df = spark.createDataFrame([(y, y % 2, 50 * (y % 2)) for y in range(2000, 2012)], "year int, odd int, v bigint")
+    scored, model = forecast_gbt(df, "year", "v", train_until=2009, features=["odd"])
+    assert len(model.stages) == 4
+    assert all(r.prediction == pytest.approx(r.v, abs=1) for r in scored.collect())
+
+
+def test_keyed_forecast_keeps_fractional_periods(spark):
+    df = spark.createDataFrame([("a", 2000.5, 1.0), ("a", 2001.5, 2.0), ("a", 2002.5, 3.0)], "k string, x double, y double")
+    got = sorted((r.x, r.y, round(r.prediction, 6)) for r in
+                 forecast_linear(df, "x", "y", 2010, keys=["k"], horizon=2004, reg=0.0).collect() if r.y is not None)
+    assert got == [(2000.5, 1.0, 1.0), (2001.5, 2.0, 2.0), (2002.5, 3.0, 3.0)]
+    future = [r.x for r in forecast_linear(df, "x", "y", 2010, keys=["k"], horizon=2004, reg=0.0).collect() if r.y is None]
+    assert sorted(future) == [2003.0, 2004.0]

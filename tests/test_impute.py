@@ -34,7 +34,7 @@ def test_reference_values(spark, method, expected):
     for r in imputed:
         assert {m: r[m] for m in MEASURES} == expected
         assert r.paxBts is None
-    assert dict(out.dtypes)["pax"] == "int" and dict(out.dtypes)["month"] == "date"
+    assert dict(out.dtypes)["pax"] == "bigint" and dict(out.dtypes)["month"] == "date"
     year = rollup_series(out, "month", "year", {"pax": "pax", "paxBts": "paxBts"}).filter("year = 2021").first()
     assert year.paxBts == YEARLY[2021][2]
     if method == "spread":
@@ -72,3 +72,9 @@ def test_fractional_measures_use_true_division(spark):
 def test_empty_input_adds_nothing(spark):
     df = spark.createDataFrame([], "month date, v int")
     assert impute_year(df, "month", 2021, ["v"]).count() == 0
+
+
+def test_integral_sums_do_not_overflow_the_measure(spark):
+    df = spark.createDataFrame([(dt.date(2021, m, 1), 300_000_000) for m in range(1, 12)], "month date, v int")
+    got = impute_year(df, "month", 2021, ["v"]).filter("imputed").collect()
+    assert [r.v for r in got] == [3_300_000_000]

@@ -14,7 +14,7 @@ def physical(df):
 
 def test_contract_keys(spark):
     assert set(se.oracle_sql()) <= set(se.queries())
-    assert set(se.queries()) - set(se.oracle_sql()) == {"forecast_gbt"}
+    assert set(QUERIES) <= set(se.queries()) and set(QUERIES) - set(se.oracle_sql()) == {"forecast_gbt"}
     df = se.entry(spark)
     assert df.columns == ["month", "international", "domestic", "total"]
     assert df.count() > 0
@@ -39,12 +39,12 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_two_horizons_scan_once_without_join(spark):
+def test_two_horizons_scan_once(spark):
     plan = final_plan(se.queries()["forecast_two_horizons"](spark, SMALL_SF))
-    # one scan of orders; the per-key fits are window aggregates over the key's rows, so no
-    # coefficient table is joined back and future years come from each key's latest row
+    # one scan of orders: rows, fits and future years share the roll-up's shuffle. No window holds a
+    # whole key: the fits are partial aggregates, joined back
     assert plan.count("orders.parquet") == 1
-    assert "LeftOuter" not in plan and "Window" in plan
+    assert "Window" not in plan
 
 
 def test_imputation_has_no_join(spark):
@@ -90,23 +90,16 @@ def test_operators_build_without_running_jobs(spark):
         sc.setJobGroup(None, None)
 
 
-def test_broadcast_only_behind_a_size_check(spark):
-    from seriesforge.operators.joins import broadcast_if_small
-    small, big = spark.range(10), spark.range(1000)
-    assert "broadcast" in broadcast_if_small(small, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(big, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
-
-
 def test_flagship_plan_at_scale(spark):
     """With every table too large for the planner to broadcast (as at 100 TB), the flagship is one
-    sort-merge join (orders ⋈ customer) plus the two dimensions broadcast behind their check."""
+    sort-merge join (orders ⋈ customer); the planner broadcasts the two dimensions by their file size."""
     from seriesforge.plans.shape import executed_shape
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "4096", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
     old = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        shape = executed_shape(se.queries()["combine_monthly"](spark, SMALL_SF))
+        shape = executed_shape(se.queries()["combine_monthly"](spark, SMALL_SF.replace("0.001", "0.01")))
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

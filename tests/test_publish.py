@@ -1,6 +1,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from seriesforge import chart_descriptor, latest_version, publish_chart, read_chart, with_headers
@@ -54,13 +56,28 @@ def test_publish_twice_and_read_latest(spark, workdir):
     assert read_chart(spark, out, "yearly")[0].count() == 10
 
 
-def test_single_file_is_sorted(spark, workdir):
-    df = chart(spark).repartition(5)
-    path = publish_chart(df, workdir, "one", order_by=["year"], single_file=True)
-    parts = [f for f in os.listdir(path + "/data") if f.startswith("part-")]
-    assert len(parts) == 1
-    lines = open(os.path.join(path, "data", parts[0])).read().splitlines()
-    assert lines[0] == "year,pax" and lines[1].startswith("2000,") and lines[-1].startswith("2019,")
+def test_csv_gives_back_what_it_got(spark, workdir):
+    import datetime
+    rows = [(1, " a "), (2, ""), (3, None), (4, 'say "hi", \\ ok'), (5, "two\nlines\r\nthree\rfour"), (6, "\t"), (7, '"')]
+    stamp = datetime.datetime(2020, 1, 2, 3, 4, 5, 123456)
+    df = spark.createDataFrame([(i, t, stamp) for i, t in rows], "id int, text string, at timestamp")
+    df = df.withColumn("ntz", F.col("at").cast("timestamp_ntz"))
+    publish_chart(df, workdir, "texts", order_by=["id"])
+    back, _ = read_chart(spark, workdir, "texts", schema=df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_concurrent_publishes_and_keep(spark, workdir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from seriesforge import latest_version
+    df = chart(spark)
+    with ThreadPoolExecutor(8) as pool:
+        paths = list(pool.map(lambda i: publish_chart(df, workdir, "c", title=f"t{i}"), range(8)))
+    assert len(set(paths)) == 8 and latest_version(spark, workdir, "c") in paths
+    last = publish_chart(df, workdir, "c", keep=2)
+    assert latest_version(spark, workdir, "c") == last
+    assert len([x for x in os.listdir(f"{workdir}/c") if x.startswith("v")]) == 2
 
 
 def test_ordered_parts_concatenate_in_order(spark, workdir):

@@ -139,3 +139,27 @@ def test_sort_splits_a_hot_value_and_is_deterministic(spark):
     assert got == sorted(got)
     top = latest(df, "year", 5).collect()
     assert [r.key for r in top] == [r.key for r in latest(df, "year", 5).collect()]
+
+
+def test_bounds_follow_the_column_type(spark):
+    import datetime
+
+    from seriesforge import before_filter, between_filter, split_at
+    q = spark.createDataFrame([("2000-Q1",), ("2000-Q3",), ("2001-Q1",)], "period string")
+    assert before_filter(q, "period", "2000-Q3").count() == 1 and split_at(q, "period", "2000-Q3")[0].count() == 2
+    t = spark.createDataFrame([(datetime.datetime(1999, 12, 31, 15),), (datetime.datetime(2000, 1, 1),)], "t timestamp")
+    assert between_filter(t, "t", "1999-01-01", "1999-12-31").count() == 1
+    assert between_filter(t, "t", datetime.date(1999, 1, 1), datetime.date(1999, 12, 31)).count() == 1
+    assert before_filter(t, "t", "2000-01-01").count() == 1
+
+
+def test_names_with_dots_blanks_and_percent(spark):
+    from seriesforge import combine_series, global_sums, latest, require_not_null, rollup_series, sorted_series
+    df = spark.createDataFrame([("2000-01-05", 1.5, "a"), ("2000-02-05", None, "b")], "`D.a y` string, `G.D.P.` double, `k %` string")
+    df = df.selectExpr("cast(`D.a y` as date) as `D.a y`", "`G.D.P.`", "`k %`")
+    assert require_not_null(df, ["G.D.P."]).count() == 1
+    assert global_sums(df, {"s.": "G.D.P."}).first()[0] == 1.5
+    r = rollup_series(df, "D.a y", "month", {"s.": "G.D.P."}, keys=["k %"], period_name="m.")
+    assert latest(sorted_series(r, "m."), "m.", 1).first()["k %"] == "b"
+    both = combine_series(r, r.withColumnRenamed("s.", "t."), ["m.", "k %"], total="x.", parts=["s.", "t."], before="2000-02-01")
+    assert both.count() == 1 and both.first()["x."] == 3.0

@@ -1,9 +1,12 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from seriesforge.sources import versions
 from seriesforge import load_table, read_series_csv, read_table_csv, save_table, write_series_csv
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
@@ -101,7 +104,8 @@ def test_partitioned_gold_table_prunes_year_slices(spark, workdir):
     rows = [(dt.date(y, m, 1), y * 100 + m) for y in (2019, 2020, 2021) for m in range(1, 13)]
     df = spark.createDataFrame(rows, "month date, pax int").withColumn("y", F.year("month"))
     path = save_table(df, os.path.join(workdir, "gold"), partition_by=["y"])
-    assert sorted(x for x in os.listdir(path) if x.startswith("y=")) == ["y=2019", "y=2020", "y=2021"]
+    newest = versions.newest(spark, path)
+    assert sorted(x for x in os.listdir(newest) if x.startswith("y=")) == ["y=2019", "y=2020", "y=2021"]
     one = load_table(spark, path).filter("y = 2021")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(y" in plan and "(y#" in plan
@@ -112,7 +116,27 @@ def test_partitioned_write_is_clustered(spark, workdir):
     rows = [(dt.date(2000 + i % 4, 1 + i % 12, 1), i) for i in range(4000)]
     df = spark.createDataFrame(rows, "month date, pax int").withColumn("y", F.year("month")).repartition(16)
     path = save_table(df, os.path.join(workdir, "clustered"), partition_by=["y"])
-    files = [f for d in os.listdir(path) if d.startswith("y=")
-             for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]
+    newest = versions.newest(spark, path)
+    files = [f for d in os.listdir(newest) if d.startswith("y=")
+             for f in os.listdir(os.path.join(newest, d)) if f.endswith(".parquet")]
     assert len(files) < 16 * 4            # not one file per task per year
     assert load_table(spark, path).count() == 4000
+
+
+def test_saving_over_a_table_that_the_plan_reads(spark, workdir):
+    path = os.path.join(workdir, "gold")
+    save_table(spark.createDataFrame([(1, 10), (2, 20)], "k int, v int"), path)
+    save_table(load_table(spark, path).withColumn("v", F.col("v") + 1), path, keep=1)
+    assert sorted(map(tuple, load_table(spark, path).collect())) == [(1, 11), (2, 21)]
+    assert len([x for x in os.listdir(path) if x.startswith("v")]) == 1
+    with pytest.raises(FileExistsError):
+        save_table(spark.range(1), path, mode="error")
+
+
+def test_failed_save_leaves_the_old_version(spark, workdir):
+    path = os.path.join(workdir, "gold")
+    save_table(spark.createDataFrame([(1, 10)], "k int, v int"), path)
+    broken = load_table(spark, path).select("k", F.raise_error(F.lit("no")).cast("int").alias("v"))
+    with pytest.raises(Exception):
+        save_table(broken, path)
+    assert load_table(spark, path).collect()[0].v == 10
