@@ -9,7 +9,8 @@ expressions (and MLlib for boosted trees).
 
 from .operators.columns import (bounds, column_bounds, column_metadata, with_headers, with_metadata,
                                 with_metadata_all)
-from .operators.forecast import fit_trend, forecast_gbt, forecast_linear, future_points, rmse
+from .operators.forecast import (fit_elastic_net, fit_trend, forecast_gbt, forecast_linear, future_points, rmse,
+                                 score_elastic_net, score_gbt)
 from .operators.impute import calendar_gaps, impute_year
 from .operators.series import (before_filter, between_filter, combine_series, count_where,
                                drop_columns, global_sums, known_until, latest, require_not_null,
@@ -22,7 +23,7 @@ from .sources.tables import driver_table, load_table, save_table
 
 __all__ = [
     "bounds", "column_bounds", "column_metadata", "with_headers", "with_metadata",
-    "with_metadata_all", "fit_trend", "forecast_gbt", "forecast_linear", "future_points", "rmse",
+    "with_metadata_all", "fit_elastic_net", "score_elastic_net", "score_gbt", "fit_trend", "forecast_gbt", "forecast_linear", "future_points", "rmse",
     "calendar_gaps", "impute_year", "before_filter", "between_filter", "combine_series",
     "drop_columns", "global_sums", "known_until", "latest", "require_not_null", "rollup_series",
     "sorted_series", "split_at", "union_series", "read_series_csv", "read_table_csv",

@@ -4,6 +4,7 @@ Each job is a few calls to the operators; they take the caller's session and pat
 inputs, and publish chart bundles / gold tables with Spark writers::
 
     python -m seriesforge.jobs traffic-charts --international I.csv --domestic D.csv --out charts/
+    python -m seriesforge.jobs traffic-charts --gold gold/ --out charts/
     python -m seriesforge.jobs traffic-gold --international I.csv --domestic D.csv --gold gold/ [--impute-year 2021]
     python -m seriesforge.jobs traffic-projection --gold gold/ --out charts/ --cutoffs 2019 2021 --horizon 2026
     python -m seriesforge.jobs traffic-gbt --gold gold/ --out charts/ --train-until 2015
@@ -18,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.columns import quoted, with_headers
+from .operators.columns import with_headers
 from .operators.forecast import forecast_gbt, forecast_linear, rmse
 from .operators.impute import impute_year
+from .functions.names import quoted
 from .operators.series import combine_series, drop_columns, known_until, rollup_series
+from .session import materialize
 from .sources.csv import read_series_csv, read_table_csv
 from .sources.publish import publish_chart
 from .sources.tables import load_table, save_table
@@ -43,20 +46,24 @@ def traffic_gold(spark: SparkSession, international: str | Sequence[str], domest
 
 def period_chart(gold: DataFrame, grain: str, measures: Sequence[str] = MEASURES) -> DataFrame:
     """C2 / C3: roll a monthly gold table up to ``grain`` and set the display headers."""
-    df = gold if grain == "month" else rollup_series(gold, "month", grain, {m: m for m in measures})
+    # a saved gold table also has its partition column, which is no part of the chart
+    df = gold.select("month", *[m for m in measures if m in gold.columns]) if grain == "month" else rollup_series(gold, "month", grain, {m: m for m in measures})
     return with_headers(df, {c: HEADERS[c] for c in df.columns if c in HEADERS})
 
 
-def traffic_charts(gold: DataFrame, out: str, grains: Sequence[str] = ("month", "quarter", "year")) -> dict:
-    """C7: one chart per grain, each its own bundle; returns {grain: published version path}."""
+def traffic_charts(gold: DataFrame, out: str, grains: Sequence[str] = ("month", "quarter", "year"),
+                   title: str = "Traffic per {grain}", y_title: str = "Passengers (000s)") -> dict:
+    """C7: one chart per grain, each its own bundle; returns {grain: published version path}. The gold
+    table is checkpointed once and read by every chart."""
     paths = {}
+    gold = materialize(gold)
     for grain in grains:
         chart = period_chart(gold, grain)
         key = chart.columns[0]
         paths[grain] = publish_chart(
-            chart, out, f"traffic-{grain}", order_by=[key], title=f"Air passenger traffic per {grain}",
+            chart, out, f"traffic-{grain}", order_by=[key], title=title.format(grain=grain),
             x_title=("Period from {min} to {max}" if grain != "year" else "Year {min} - {max}"),
-            y_title="Passengers (000s)", bounds_col=key, x_scale="time" if grain == "month" else "labels")
+            y_title=y_title, bounds_col=key, x_scale="time" if grain == "month" else "labels")
     return paths
 
 
@@ -106,7 +113,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="python -m seriesforge.jobs")
     sub = p.add_subparsers(dest="job", required=True)
     a = sub.add_parser("traffic-charts")
-    a.add_argument("--international", required=True), a.add_argument("--domestic", required=True)
+    a.add_argument("--gold"), a.add_argument("--international"), a.add_argument("--domestic")
     a.add_argument("--out", required=True), a.add_argument("--before", default="2020-01-01")
     g = sub.add_parser("traffic-gold")
     g.add_argument("--international", required=True), g.add_argument("--domestic", required=True)
@@ -123,7 +130,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"seriesforge-{args.job}").getOrCreate()
     if args.job == "traffic-charts":
-        print(traffic_charts(traffic_gold(spark, args.international, args.domestic, args.before), args.out))
+        if not args.gold and not (args.international and args.domestic):
+            p.error("traffic-charts needs --gold, or --international and --domestic")
+        gold = (load_table(spark, args.gold) if args.gold else
+                traffic_gold(spark, args.international, args.domestic, args.before))
+        print(traffic_charts(gold, args.out))
     elif args.job == "traffic-gold":
         print(save_traffic_gold(traffic_gold(spark, args.international, args.domestic, args.before),
                                 args.gold, args.impute_year))

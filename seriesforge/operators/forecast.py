@@ -158,7 +158,7 @@ def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequ
     data = data.withColumn("_x_feature", quoted(x).cast("double")).withColumn("_label", label)
     stages = []
     if features:
-        data = data.select("*", *[quoted(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+        data = _feature_columns(data, features)
         stages = [VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_raw"),
                   VectorIndexer(inputCol="_raw", outputCol="_indexed", maxCategories=max_categories,
                                 handleInvalid="keep")]
@@ -170,3 +170,37 @@ def forecast_gbt(series: DataFrame, x: str, y: str, train_until: int, keys: Sequ
     scaled = F.col("_prediction") * F.col("_sd") + F.col("_mean") if keys else F.col("_prediction")
     scored = model.transform(data).select(*quoted_all(series.columns), scaled.alias("prediction"))
     return scored, model
+
+
+def score_gbt(model, points: DataFrame, x: str, features: Sequence[str] = ()) -> DataFrame:
+    """Predictions of a model of :func:`forecast_gbt` (fitted without keys) for a table of chosen ``x``."""
+    data = _feature_columns(points, features).withColumn("_x_feature", quoted(x).cast("double"))
+    return model.transform(data).select(*quoted_all(points.columns), F.col("_prediction").alias("prediction"))
+
+
+def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, train: Column | None = None,
+                    reg: float = REG_PARAM, alpha: float = ELASTIC_NET, max_iter: int = 100):
+    """Elastic-net regression on several features by MLlib: a fitted model of one assembler and one
+    regression. Rows with a NULL feature or label are left out. One feature needs no MLlib, see
+    :func:`fit_trend`."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = df if train is None else df.filter(train)
+    rows = _feature_columns(rows, features).withColumn("_label", quoted(y).cast("double"))
+    rows = rows.dropna(subset=["_label", *[f"_f{i}" for i in range(len(features))]])
+    stages = [VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features"),
+              LinearRegression(featuresCol="_features", labelCol="_label", predictionCol="_prediction",
+                               regParam=reg, elasticNetParam=alpha, maxIter=max_iter)]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def score_elastic_net(model, points: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Predictions of a model of :func:`fit_elastic_net` for any table with its features."""
+    return model.transform(_feature_columns(points, features)).select(
+        *quoted_all(points.columns), F.col("_prediction").alias("prediction"))
+
+
+def _feature_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.select("*", *[quoted(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])

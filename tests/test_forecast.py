@@ -132,3 +132,24 @@ def test_keyed_forecast_keeps_fractional_periods(spark):
     assert got == [(2000.5, 1.0, 1.0), (2001.5, 2.0, 2.0), (2002.5, 3.0, 3.0)]
     future = [r.x for r in forecast_linear(df, "x", "y", 2010, keys=["k"], horizon=2004, reg=0.0).collect() if r.y is None]
     assert sorted(future) == [2003.0, 2004.0]
+
+
+def test_scoring_chosen_years_with_a_fitted_model(spark):
+    from seriesforge import score_gbt
+    _, model = forecast_gbt(yearly(spark, 2019), "year", "pax", train_until=2015, seed=1)
+    points = spark.createDataFrame([(2003,), (2040,)], "year int")
+    got = {r.year: r.prediction for r in score_gbt(model, points, "year").collect()}
+    assert got[2003] == pytest.approx(YEARLY[2003][2]) and got[2040] == pytest.approx(803579.0)
+
+
+def test_elastic_net_of_several_features(spark):
+    from seriesforge import fit_elastic_net, score_elastic_net
+    rows = [(float(a), float((a * 7) % 11), 3.0 * a - 2.0 * ((a * 7) % 11) + 5.0) for a in range(40)] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, y double")
+    model = fit_elastic_net(df, ["a.b", "c"], "y", reg=0.0)
+    got = score_elastic_net(model, spark.createDataFrame([(100.0, 4.0)], "`a.b` double, c double"), ["a.b", "c"]).first()
+    assert got.prediction == pytest.approx(300.0 - 8.0 + 5.0, abs=1e-6)
+    # one feature: the closed form and this agree
+    one = fit_elastic_net(yearly(spark), ["year"], "pax", train=F.col("year") <= 2019)
+    fit = fit_trend(yearly(spark), "year", "pax", train=F.col("year") <= 2019).first()
+    assert one.stages[-1].coefficients[0] == pytest.approx(fit.slope, rel=1e-6)
