@@ -1,3 +1,41 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries that SQL can express on whole tables.
 
-ORACLE: dict[str, str] = {}
+The mixture's schedule enters as a table of one period; its rule has a test of its own.
+"""
+
+from . import mixing
+
+#: Target weights of the mixture, in hundredths; sources not named share the rest.
+WEIGHTS = {"src0": 20, "src1": 10, "src2": 10, "src3": 5, mixing.REST: 55}
+
+_SLOTS = ", ".join(f"('{s}', {w}, {k}, {at})" for s, w in WEIGHTS.items()
+                   for k, at in enumerate(mixing.schedule(WEIGHTS)[s]))
+_NAMED = ", ".join(f"'{s}'" for s in WEIGHTS if s != mixing.REST)
+
+ORACLE: dict[str, str] = {
+    "op8_line_dedup": """WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+n AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS t,
+             row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn
+      FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+w AS (SELECT a.doc_id, a.pos AS p1, b.pos AS p2,
+             row_number() OVER (PARTITION BY a.t, b.t ORDER BY a.doc_id, a.pos) AS nth
+      FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.rn = a.rn + 1),
+gone AS (SELECT doc_id, p1 AS pos FROM w WHERE nth > 1 UNION SELECT doc_id, p2 FROM w WHERE nth > 1)
+SELECT l.doc_id, COUNT(*) AS n_lines, COUNT(gone.pos) AS n_deleted,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id""",
+
+    "op9_pfair_mix": f"""WITH s(mix_source, w, k, slot_at) AS (VALUES {_SLOTS}),
+g AS (SELECT doc_id, CASE WHEN source IN ({_NAMED}) THEN source ELSE '{mixing.REST}' END AS mix_source FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY mix_source
+                                   ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id) - 1 AS source_rank
+      FROM g),
+b AS (SELECT *, source_rank // {mixing.BLOCK_ROWS} AS block FROM r),
+t AS (SELECT b.*, (b.block // s.w) * {sum(WEIGHTS.values())} + s.slot_at AS slot
+      FROM b JOIN s ON b.mix_source = s.mix_source AND b.block % s.w = s.k)
+SELECT doc_id, mix_source, source_rank, block, slot,
+       slot * {mixing.BLOCK_ROWS} + source_rank % {mixing.BLOCK_ROWS} AS position FROM t""",
+}

@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, digest, licenses, lines, mixing, pii, pivots, shingles, suffixes, toxicity
-from .oracle import ORACLE  # noqa: F401
-
-#: Target weights of the mixture, in hundredths; sources not named share the rest.
-WEIGHTS = {"src0": 20, "src1": 10, "src2": 10, "src3": 5, mixing.REST: 55}
+from .oracle import ORACLE, WEIGHTS  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
