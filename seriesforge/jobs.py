@@ -141,7 +141,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.job == "traffic-projection":
         chart = traffic_projection(spark, args.gold, args.cutoffs, args.horizon, reg=args.reg)
         print(publish_chart(chart, args.out, "traffic-projection", order_by=["year"],
-                            title="Air traffic, in passengers, per year", x_title="Year {min} - {max}",
+                            title="Traffic per year", x_title="Year {min} - {max}",
                             y_title="Passengers (000s)", bounds_col="year"))
     elif args.job == "traffic-gbt":
         scored, err = traffic_gbt(spark, args.gold, args.train_until)
