@@ -214,12 +214,14 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def reject(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not predicted toxic, as they are. Null texts count as empty."""
+    """The rows of ``df`` that are not predicted toxic, as they are, whatever else their columns are
+    called. Null texts count as empty."""
     at = df.columns.index(text_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def fn(batches):
         of = _features(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(_score(model, of, texts)[0] < model.threshold))
-    return common.spread(df).mapInArrow(fn, df.schema)
+    return common.spread(plain).mapInArrow(fn, plain.schema).toDF(*df.columns)

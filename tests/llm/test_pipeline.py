@@ -3,14 +3,18 @@
 from collections import Counter
 
 import base64
+
 import public_tokenizers
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from seriesforge.llm import common, mixing
 from seriesforge.llm.queries import QUERIES, WEIGHTS
 
+from . import helpers
 from .test_dedup import brute_lines, jaccard_links
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,6 +53,21 @@ def test_stages_against_brute_force(spark):
     assert all(r["ids"] == enc.encode_ordinary(text[r["doc_id"]]) and r["exact"] for r in ids) and len(ids) == len(mixed)
 
 
+@pytest.mark.parametrize("n_rows", [None, 0])
+def test_stages_with_odd_rows_and_clashing_columns(spark, n_rows):
+    extra = ["n_deleted", "n_lines", "position", "slot", "mix_source", "n_links", "ids", "exact", "tie", "a.b", "extra_0"]
+    docs = helpers.frame(spark, helpers.corpus()).select("*", *[F.lit(c).alias(c) for c in extra])
+    docs = docs if n_rows is None else docs.limit(n_rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.save(stage(spark, docs, SMALL), "odd-" + name)
+        rows, ids = out.collect(), {r["doc_id"] for r in docs.collect()}
+        assert {r["doc_id"] for r in rows} <= ids and (len(rows) > 30) == (n_rows is None)
+        if name != "bpe":
+            assert out.columns == docs.columns
+            assert all(r[len(helpers.SCHEMA):] == tuple(extra) for r in rows) and {r["kept"] for r in rows} <= {"clash"}
+        docs = out
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert {*QUERIES, "pipeline"} <= set(names)
