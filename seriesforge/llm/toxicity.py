@@ -4,8 +4,8 @@ Two raw zstandard dictionaries are trained on labelled text. The ordinary one ho
 beginnings that ordinary documents use most. The toxic one holds the same, so that ordinary text
 compresses alike with both, and those that toxic documents use far more often. A window of
 words that compresses shorter with the toxic dictionary speaks for toxicity. How many windows
-do, their share, and the mean and best gain go through a logistic calibration fitted on the same
-labelled rows.
+gain at least 1, 2, ... 8 bytes, their shares, and the mean gain go through a logistic calibration
+fitted on the same labelled rows: it sets the worth of every one of these thresholds.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TOXIC, MAX_ORDINARY = 4_000, 8_000      # labelled documents used to fit, by smallest hash of the id
-WINDOW_WORDS = 8
+WINDOW_WORDS = 4
 WINDOW_BYTES = 256                          # a window is cut here if its words are very long
 BEGINNINGS = (4, 5, 6, 8, 12)               # characters of a word's beginning that are counted
 ORDINARY, CANDIDATES, TOXIC = 2048, 4000, 128
 LEAST_Z, LEAST_ODDS, OF_BEST = 4.0, 2.0, 0.25   # how far a toxic beginning stands out, and against the best one
 LEVEL = 6
+LEVELS = 8                                  # least gains in bytes, from 1, that the calibration weighs
 # Starts every window and ends both dictionaries: a window is always compressible as a whole, so
 # small gains show, where zstandard would store a window raw that saves only a few bytes.
 LEAD = b"0123456789abcdefghijklmnopqrstuvwxyz!#$%&/=?+*-_:;<>"
@@ -36,7 +37,7 @@ LEAD = b"0123456789abcdefghijklmnopqrstuvwxyz!#$%&/=?+*-_:;<>"
 class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
-    least: int = 3                          # bytes saved that make a window count
+    least: int = 3                          # bytes saved that make a window count in reports
     weights: tuple[float, ...] = ()
     threshold: float = 0.7
     n_toxic: int = 0
@@ -88,11 +89,12 @@ def _measure(of, texts: list[str]):
     return count, mean, table, every
 
 
-def _inputs(windows, mean, gains, least: int) -> np.ndarray:
-    """Model inputs: 1, log of the windows that count, root of their share, mean gain, best gain."""
-    hits = gains[:, least:].sum(axis=1)
-    best = np.where(gains.any(axis=1), 12 - np.argmax(gains[:, ::-1] > 0, axis=1), 0)
-    return np.stack([np.ones(len(gains)), np.log1p(hits), np.sqrt(hits / np.maximum(windows, 1)), mean, best / 4], axis=1)
+def _inputs(windows, mean, gains) -> np.ndarray:
+    """Model inputs: 1, mean gain, log of the windows, and for every least gain the log of the windows that
+    reach it and the root of their share."""
+    reach = gains[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:LEVELS + 1]
+    share = np.sqrt(reach / np.maximum(windows, 1)[:, None])
+    return np.column_stack([np.ones(len(gains)), mean, np.log1p(windows), np.log1p(reach), share])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         hit = g[:, least:].any(axis=1)
         best = max(best, (round(float(hit[y == 1].mean() - hit[y == 0].mean()), 6), least))
     least = best[1]
-    w = _logistic(_inputs(n, mean, g, least), y)
+    w = _logistic(_inputs(n, mean, g), y)
     return Model(model.toxic, model.ordinary, least, tuple(map(float, w)), threshold, n1, n0, model.words)
 
 
@@ -190,7 +192,7 @@ def _score(model: Model, of, texts: list[str]):
     if not model.weights:
         return np.zeros(len(texts)), np.zeros(len(texts), np.int64), [""] * len(texts)
     n, mean, table, every = _measure(of, texts)
-    logit = _inputs(n, mean, table, model.least) @ np.array(model.weights)
+    logit = _inputs(n, mean, table) @ np.array(model.weights)
     worst = []
     for t, saved in zip(texts, every):
         top = max(saved, default=0)
