@@ -20,12 +20,13 @@ RUN = 2
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
-               carry: list[str] | None = None) -> DataFrame:
+               carry: list[str] | None = None, alone: int | None = None) -> DataFrame:
     """``doc_id, text, n_lines, n_deleted, kept`` and the columns in ``carry``: every row with its later repeated lines deleted.
 
     A run is ``run`` or more consecutive non-blank lines that stand, equal up to outer white space,
     earlier in the corpus: in a document with a smaller id, or above in the same text. The
-    first occurrence stays. ``kept`` is the text without the deleted lines, other lines and blank ones
+    first occurrence stays. With ``alone``, a line of at least that many words is a run by itself,
+    whatever its neighbours, in texts of one line too. ``kept`` is the text without the deleted lines, other lines and blank ones
     as they were. Rows with a null id, and null or empty texts, delete nothing (null: empty). Repeated rows of
     the same id and text share their positions, so each keeps what the first would keep.
     """
@@ -38,13 +39,20 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("line")))
     # 64 bits decide where to look; where equality counts, two independent hashes stand for a line
     hashed = F.transform(F.filter(numbered, lambda x: x["line"] != ""), lambda x: F.struct(
-        x["at"].alias("at"), F.xxhash64(x["line"]).alias("h"), F.xxhash64(F.lit(1), x["line"]).alias("h2")))
+        x["at"].alias("at"), F.xxhash64(x["line"]).alias("h"), F.xxhash64(F.lit(1), x["line"]).alias("h2"),
+        *([] if alone is None else [(F.size(F.split(x["line"], r"\s+")) >= alone).alias("long")])))
     seq = (common.spread(docs).where("doc_id is not null").select("doc_id", "tie", hashed.alias("seq"))
-           .where(F.size("seq") >= run))
-    windows = F.transform(F.sequence(F.lit(0), F.size("seq") - run), lambda i: F.struct(
-        F.transform(F.slice("seq", i + 1, run), lambda x: x["at"]).alias("lines"),
-        F.array_min(F.transform(F.slice("seq", i + 1, run), lambda x: x["h"])).alias("print"),
-        F.transform(F.slice("seq", i + 1, run), lambda x: F.struct(x["h"], x["h2"])).alias("key")))
+           .where(F.size("seq") >= (run if alone is None else 1)))
+
+    def window(part):
+        return F.struct(F.transform(part, lambda x: x["at"]).alias("lines"),
+                        F.array_min(F.transform(part, lambda x: x["h"])).alias("print"),
+                        F.transform(part, lambda x: F.struct(x["h"], x["h2"])).alias("key"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("seq") - run), lambda i: window(F.slice("seq", i + 1, run)))
+    if alone is not None:
+        starts = F.slice(F.sequence(F.lit(0), F.size("seq")), 1, F.greatest(F.size("seq") - (run - 1), F.lit(0)))
+        windows = F.concat(F.transform(starts, lambda i: window(F.slice("seq", i + 1, run))),
+                           F.transform(F.filter("seq", lambda x: x["long"]), lambda x: window(F.array(x))))
     found = common.save(seq.select("doc_id", "tie", F.explode(windows).alias("w"))
                         .select("doc_id", "tie", F.col("w.lines").alias("lines"), "w.print", "w.key"), "line-windows")
     # fingerprints seen once are no candidates

@@ -172,6 +172,17 @@ def test_lines_against_brute_force(spark, run):
     assert lines.line_dedup(helpers.empty(spark)).count() == 0
 
 
+def test_a_long_line_is_a_run_by_itself(spark):
+    long, short = "one two three four five six", "one two"
+    rows = [[1, f"a\n{long}\n{short}\nb"], [2, long], [3, f"c\n {long} \n{short}x"], [4, f"d\n{short}\ne"], [5, f"{long}\n{long}"],
+            [6, f"a\n{long}"], [7, short], [8, None], [None, long]]
+
+    def kept(**rule):
+        return {r["doc_id"]: r["kept"] for r in lines.line_dedup(helpers.frame(spark, rows), **rule).collect()}
+    assert kept(alone=6) == {1: rows[0][1], 2: "", 3: f"c\n{short}x", 4: rows[3][1], 5: "", 6: "", 7: short, 8: "", None: long}
+    assert kept(alone=7) == kept() and kept(alone=1) == kept(run=1)
+
+
 def test_digest_windows_and_likeness():
     rng = random.Random(3)
     data = np.frombuffer(bytes(rng.choices(range(97, 107), k=300)), np.uint8)
