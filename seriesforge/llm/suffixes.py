@@ -17,6 +17,10 @@ before it that its windows reach (about one position in fourteen).
 
 A run holds an equal suffix once, however many documents have it, so a passage in a third of all
 documents costs a bucket one entry per block, and no list of its documents is ever gathered.
+
+A gram with ``HOT`` anchors or more (the ends of such a passage, a common phrase) has about as many
+different surroundings as documents. Its entries don't go to one bucket: blocks spell out their
+windows, fold equal ones to the smallest doc_id, and deal them out by their own bytes.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from . import common
 WINDOW = 50
 GRAM = 24
 BLOCK_BYTES = 16 << 20
+HOT = 1 << 13                    # anchors of one gram, from which on its windows are dealt out one by one
+_HOT_ROWS = 1 << 15              # anchors of hot grams that are spelled out at a time
 _WIDE, _LEFT = 56, 32            # bytes of the padded right and left part of an entry
 _B = 0x100000001B3
 
@@ -129,6 +135,29 @@ class _Block:
         left[np.arange(_LEFT) >= o_max[:, None]] = 0
         return right, left, o_min.astype(np.uint8), o_max.astype(np.uint8)
 
+    def spelled(self, starts: np.ndarray) -> np.ndarray:
+        return self.data[starts[:, None] + np.arange(self.window)]
+
+    def windows(self, chosen: np.ndarray):
+        """The windows of each class of equal anchors among the chosen, some whole keys at a time: the
+        classes' first anchors, their keys, smallest and largest doc_ids, and per window its class, start and bytes."""
+        chosen = chosen[np.argsort(self.key[chosen], kind="stable")]
+        key = self.key[chosen]
+        a = 0
+        while a < len(chosen):
+            z = int(np.searchsorted(key, key[min(a + _HOT_ROWS, len(key)) - 1], "left"))
+            z = z if z > a else int(np.searchsorted(key, key[a], "right"))
+            z = len(key) if a + _HOT_ROWS >= len(key) else z
+            sel, a = chosen[a:z], z
+            order, _, first = _classes(*self.entries(sel), last_key=self.doc[sel])
+            last = np.concatenate([first[1:], [len(order)]]) - 1
+            pick = sel[order[first]]
+            n = self.i1[pick] - self.i0[pick] + 1
+            owner = np.repeat(np.arange(len(pick)), n)
+            starts = self.i0[pick][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            yield (pick, np.unique(self.key[sel]), self.doc[sel][order[first]], self.doc[sel][order[last]], owner,
+                   starts, self.spelled(starts))
+
 
 def _classes(right, left, o_min, o_max, first_key=None, last_key=None):
     """Sort order of entries, and the number of each one's class of equal entries in that order."""
@@ -146,6 +175,23 @@ def _classes(right, left, o_min, o_max, first_key=None, last_key=None):
     return order, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
+def _alike(grid: np.ndarray):
+    """Sort order of byte rows (by their order of arrival where equal), the number of each one's class of equal rows
+    in that order, the first places of the classes, and a hash of every row."""
+    wide = np.zeros((len(grid), _WIDE), np.uint8)
+    wide[:, :grid.shape[1]] = grid
+    words = wide.view(">u8").astype(np.uint64).T
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    hashed = np.zeros(len(order), np.uint64)
+    for w in words:
+        hashed = common.mix64(hashed ^ w, 7)
+        s = w[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.cumsum(new) - 1, np.flatnonzero(new), hashed
+
+
 def _request_keys(buckets: int, window: int):
     def fn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = _Block(pdf, window)
@@ -156,7 +202,8 @@ def _request_keys(buckets: int, window: int):
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             last = np.concatenate([first[1:], [len(k)]]) - 1
             u = k[first]
-            rows.append((key[0], bucket, _pack(np.diff(u, prepend=np.uint64(0)), (d[first] != d[last]).astype(np.uint8))))
+            rows.append((key[0], bucket, _pack(np.diff(u, prepend=np.uint64(0)), (d[first] != d[last]).astype(np.uint8),
+                                               np.minimum(last - first + 1, 0xFFFF).astype(np.uint16))))
         return pd.DataFrame(rows, columns=["block", "bucket", "blob"])
     return fn
 
@@ -170,29 +217,97 @@ def _by_bucket(key: np.ndarray, buckets: int):
             yield i, order[cut[i]:cut[i + 1]]
 
 
-def _answer_keys(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, many = [], []
-    for blob in pdf["blob"]:
-        delta, multi = _unpack(blob)
-        keys.append(np.cumsum(delta, dtype=np.uint64))
-        many.append(multi)
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    hot = (np.bincount(inverse) + np.bincount(inverse, weights=np.concatenate(many))) > 1
-    cut = np.cumsum([0] + [len(k) for k in keys])
-    bits = [np.packbits(hot[inverse[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "blob": bits})
+def _answer_keys(hot_from: int):
+    """Two rows of bits for a block's keys: another document has it, and it has ``hot_from`` anchors."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, many, counts = [], [], []
+        for blob in pdf["blob"]:
+            delta, multi, count = _unpack(blob)
+            keys.append(np.cumsum(delta, dtype=np.uint64))
+            many.append(multi)
+            counts.append(count)
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        again = (np.bincount(inverse) + np.bincount(inverse, weights=np.concatenate(many))) > 1
+        hot = np.bincount(inverse, weights=np.concatenate(counts)) >= hot_from
+        cut = np.cumsum([0] + [len(k) for k in keys])
+        bits = [np.packbits(again[inverse[a:b]]).tobytes() + np.packbits(hot[inverse[a:b]]).tobytes()
+                for a, b in zip(cut[:-1], cut[1:])]
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "blob": bits})
+    return fn
+
+
+def _hot_requests(block: int, b: _Block, chosen: np.ndarray, buckets: int):
+    """Every different window of the chosen anchors once, with its smallest doc_id, to the bucket of its bytes."""
+    parts = []
+    for pick, _, low, high, owner, starts, grid in b.windows(chosen):
+        order, _, first, hashed = _alike(grid)
+        least = np.minimum.reduceat(low[owner][order], first)
+        multi = least != np.maximum.reduceat(high[owner][order], first)
+        rep = order[first]
+        back = np.argsort(rep)                  # neighbours overlap, which compresses well
+        rep = rep[back]
+        anchor = pick[owner[rep]]
+        parts.append((hashed[rep], starts[rep], least[back], multi[back].astype(np.uint8), anchor.astype(np.uint32),
+                      (b.p[anchor] - starts[rep]).astype(np.uint8)))
+    if not parts:
+        return
+    hashed, starts, *rest = (np.concatenate(c) for c in zip(*parts))
+    for bucket, sel in _by_bucket(hashed, buckets):
+        yield block, bucket, True, _pack(b.spelled(starts[sel]).reshape(-1), *[c[sel] for c in rest])
+
+
+def _hot_answers(blocks: list[int], blobs: list[bytes], window: int):
+    got = [_unpack(x) for x in blobs]
+    grid = np.concatenate([g[0] for g in got]).reshape(-1, window)
+    low, multi, ordinal, offset = (np.concatenate(c) for c in list(zip(*got))[1:])
+    order, cls, first, _ = _alike(grid)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.minimum.reduceat(low[order], first)[cls]
+    use = multi.astype(bool) | (least < low)
+    cut = np.cumsum([0] + [len(g[1]) for g in got])
+    for block, a, z in zip(blocks, cut[:-1], cut[1:]):
+        at = a + np.flatnonzero(use[a:z])
+        if len(at):
+            yield block, True, _pack(ordinal[at], offset[at], least[at])
+
+
+def _hot_spans(b: _Block, blobs: list[bytes]):
+    """Answers about windows as answers about all classes of anchors that have them: first anchor, least and
+    largest offset of a stretch of windows with one answer, its smallest doc_id."""
+    ordinal, offset, low = (np.concatenate(c) for c in zip(*[_unpack(x) for x in blobs]))
+    ordinal = ordinal.astype(np.int64)
+    asked = b.key[ordinal]
+    for pick, keys, _, _, owner, starts, grid in b.windows(np.flatnonzero(np.isin(b.key, asked))):
+        mine = np.flatnonzero(np.isin(asked, keys))
+        told = b.spelled(b.p[ordinal[mine]] - offset[mine])
+        order, cls, first, _ = _alike(np.concatenate([told, grid]))
+        at = np.empty(len(order), np.int64)
+        at[order] = cls
+        answer, known = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+        answer[at[:len(mine)]] = low[mine]
+        known[at[:len(mine)]] = True
+        at = at[len(mine):]
+        hit = np.flatnonzero(known[at])
+        if not len(hit):
+            continue
+        who, value = owner[hit], answer[at[hit]]
+        cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(who) != 0) | (np.diff(value) != 0)) + 1
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]]) - 1
+        anchor = pick[who[begin]]
+        yield anchor, b.p[anchor] - starts[hit[end]], b.p[anchor] - starts[hit[begin]], value[begin]
 
 
 def _request_runs(buckets: int, window: int):
     def fn(key: tuple, docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         b = _Block(docs, window)
         answer = dict(zip(bits["bucket"], bits["blob"]))
-        chosen = []
+        chosen, dealt = [], [np.zeros(0, np.int64)]
         for bucket, sel in _by_bucket(b.key, buckets):
             u, inverse = np.unique(b.key[sel], return_inverse=True)
-            hot = np.unpackbits(np.frombuffer(answer[bucket], np.uint8), count=len(u)).astype(bool)
-            chosen.append(sel[hot[inverse]])
-        rows = []
+            again, hot = np.unpackbits(np.frombuffer(answer[bucket], np.uint8).reshape(2, -1), axis=1, count=len(u)).astype(bool)
+            chosen.append(sel[(again & ~hot)[inverse]])
+            dealt.append(sel[(again & hot)[inverse]])
+        rows = list(_hot_requests(key[0], b, np.concatenate(dealt), buckets))
         for sel in chosen:
             if not len(sel):
                 continue
@@ -208,10 +323,10 @@ def _request_runs(buckets: int, window: int):
             place = np.arange(_WIDE)
             fresh = (place >= lcp[:, None]) & (place < reach[:, None])
             before = np.arange(_LEFT) < o_max[pick][:, None]
-            rows.append((key[0], int(b.key[sel[0]] % np.uint64(buckets)),
+            rows.append((key[0], int(b.key[sel[0]] % np.uint64(buckets)), False,
                          _pack(lcp, r[fresh], lf[before], o_min[pick], o_max[pick], low,
                                (low != high).astype(np.uint8), sel[pick].astype(np.uint32))))
-        return pd.DataFrame(rows, columns=["block", "bucket", "blob"])
+        return pd.DataFrame(rows, columns=["block", "bucket", "hot", "blob"])
     return fn
 
 
@@ -318,6 +433,10 @@ def merged(values: list[list[int]], prefixes: list[list[int]], width: int = _WID
 def _answer_runs(window: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
+        rows, dealt = [], pdf[pdf["hot"]]
+        if len(dealt):
+            rows += _hot_answers(dealt["block"].tolist(), dealt["blob"].tolist(), window)
+        pdf = pdf[~pdf["hot"]]
         runs = [_Run(blob, window) for blob in pdf["blob"]]
         replies: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in runs]
 
@@ -368,12 +487,11 @@ def _answer_runs(window: int):
             group.append((r, i))
         if group:
             settle(group)
-        rows = []
         for block, run, (i, lo, hi, low) in zip(pdf["block"], runs, replies):
             if i:
-                rows.append((block, _pack(run.ordinal[np.array(i)], np.array(lo, np.uint8), np.array(hi, np.uint8),
-                                          np.array(low, np.int64))))
-        return pd.DataFrame(rows, columns=["block", "blob"])
+                rows.append((block, False, _pack(run.ordinal[np.array(i)], np.array(lo, np.uint8), np.array(hi, np.uint8),
+                                                 np.array(low, np.int64))))
+        return pd.DataFrame(rows, columns=["block", "hot", "blob"])
     return fn
 
 
@@ -381,7 +499,9 @@ def _remove(window: int):
     def fn(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = _Block(docs, window)
         step = np.zeros(len(b.data) + 1, np.int32)
-        got = [_unpack(x) for x in answers["blob"]]
+        got = [_unpack(x) for x in answers["blob"][~answers["hot"]]]
+        if answers["hot"].any():
+            got += _hot_spans(b, answers["blob"][answers["hot"]].tolist())
         if got:
             ordinal, lo, hi, low = (np.concatenate(c) for c in zip(*got))
             ordinal = ordinal.astype(np.int64)
@@ -418,7 +538,7 @@ def _remove(window: int):
 
 
 def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that also starts in a document with a
     smaller id: ``doc_id, n_bytes, n_removed, n_spans, span_start, span_end, kept``.
 
@@ -426,21 +546,25 @@ def repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans are the maximal removed runs as byte positions, end exclusive. Strings are judged on the
     input. Repeated rows of one id count as one document for "smaller" and each get their
     own result row. A row with a null id keeps its text and removes nothing. An empty
-    table gives an empty result. ``window`` is from 32 to 50 (an entry's padded size).
+    table gives an empty result. ``window`` is from 32 to 50 (an entry's padded size). ``hot`` decides how
+    grams are dealt out, not what is removed.
     """
     if not 32 <= window <= WINDOW:
         raise ValueError("window must be from 32 to 50 bytes")
+    if not 1 <= hot <= 0xFFFF:
+        raise ValueError("hot must be from 1 to 65535 anchors")
     docs = common.texts(df, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
     spark = df.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(4 * spark.sparkContext.defaultParallelism, -(-total // block_bytes))
     placed = (docs.where("doc_id is not null")
               .select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"))
-    request, answer = "block int, bucket int, blob binary", "block int, blob binary"
+    request = "block int, bucket int, blob binary"
+    run, answer = "block int, bucket int, hot boolean, blob binary", "block int, hot boolean, blob binary"
     keys = placed.groupBy("block").applyInPandas(_request_keys(blocks, window), request)
-    bits = keys.groupBy("bucket").applyInPandas(_answer_keys, request)
+    bits = keys.groupBy("bucket").applyInPandas(_answer_keys(hot), request)
     runs = (placed.groupBy("block").cogroup(bits.groupBy("block"))
-            .applyInPandas(_request_runs(blocks, window), request))
+            .applyInPandas(_request_runs(blocks, window), run))
     found = runs.groupBy("bucket").applyInPandas(_answer_runs(window), answer)
     out = (placed.groupBy("block").cogroup(found.groupBy("block"))
            .applyInPandas(_remove(window), "doc_id long, kept binary, span_start array<int>, span_end array<int>"))

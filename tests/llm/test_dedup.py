@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
@@ -96,6 +97,36 @@ def test_suffixes_against_brute_force(spark, block_bytes):
     assert suffixes.repeated_strings(helpers.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20])
+def test_hot_grams_are_dealt_out_and_exact(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "_HOT_ROWS", 16)
+    rows = helpers.corpus()
+    rng = random.Random(11)
+    passage, phrase = helpers.prose(rng, 30), "a phrase of thirty-six bytes, or so."
+    rows += [[700 + i, helpers.prose(rng, 4) + passage + helpers.prose(rng, 4)] for i in range(60)]
+    rows += [[800 + i, helpers.prose(rng, 4) + phrase + helpers.prose(rng, 4) + phrase * (i % 3)] for i in range(60)]
+    rows += [[900, "ab" * 300], [901, "ab" * 400 + passage]]
+    out = suffixes.repeated_strings(helpers.frame(spark, rows), block_bytes=4000, hot=hot).collect()
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out]
+    assert Counter(got) == Counter(brute_removed(rows))
+
+
+def test_no_bucket_gets_all_surroundings_of_a_hot_gram():
+    rng = random.Random(12)
+    letters = bytes(rng.choices(range(97, 123), k=20000))
+    at = int(np.argmin(suffixes._gram_hashes(np.frombuffer(letters, np.uint8)) >> np.uint64(32)))
+    phrase = letters[at:at + 24]                                # the anchor of nearly all windows that hold it
+    text = [bytes(rng.choices(range(97, 123), k=60)) + phrase + bytes(rng.choices(range(97, 123), k=60)) for _ in range(400)]
+    blocks = [pd.DataFrame({"doc_id": range(i, i + 50), "text": text[i:i + 50]}) for i in range(0, 400, 50)]
+    asked = pd.concat([suffixes._request_keys(16, 50)((i,), pdf) for i, pdf in enumerate(blocks)])
+    bits = pd.concat([suffixes._answer_keys(100)(g) for _, g in asked.groupby("bucket")])
+    runs = pd.concat([suffixes._request_runs(16, 50)((i,), pdf, bits[bits["block"] == i]) for i, pdf in enumerate(blocks)])
+    rows = Counter()
+    for bucket, is_hot, blob in zip(runs["bucket"], runs["hot"], runs["blob"]):
+        rows[bucket] += len(suffixes._unpack(blob)[1 if is_hot else 0])
+    assert len(rows) == 16 and max(rows.values()) < 2 * sum(rows.values()) / 16
+
+
 def test_merge_never_recompares_and_sorts():
     rng = random.Random(1)
     runs = [sorted({rng.randrange(1 << 24) for _ in range(rng.randrange(0, 30))}) for _ in range(7)]
