@@ -2,14 +2,17 @@
 
 A candidate block (a line that speaks of licensing, cut into overlapping pieces if it is long) is
 compressed once alone and once with each template as a raw zstandard dictionary. The template
-that saves the largest part of the block's own size wins; the winner is confirmed, or not, by the
-exact word differences between the block and the best matching stretch of the template.
+that saves the largest part of the block's own size wins, unless one of the next ones is confirmed and it is
+not. The exact word differences between the block and the best matching stretch of the template confirm:
+most words must be equal, none that tells licenses apart (a version number, Affero, NC) may differ, and no other
+license may fit as well. A license has its notice and, in ``license_texts``, its whole text as templates.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from pathlib import Path
 
 import pandas as pd
 import zstandard
@@ -54,6 +57,25 @@ TEMPLATES = {
                     "Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 "
                "1.0. No rights reserved.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3. This program is free "
+                "software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                "License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                "option) any later version. SPDX-License-Identifier: AGPL-3.0-or-later",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1. SPDX-License-Identifier: Apache-1.1",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License. Redistribution and use in source and binary forms, with or "
+                    "without modification, are permitted provided that the following conditions are met: "
+                    "SPDX-License-Identifier: BSD-2-Clause",
+    "GPL-1.0": "This work is licensed under the GNU General Public License, version 1. SPDX-License-Identifier: GPL-1.0-only",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1. This library is free "
+                "software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License as published by the Free Software Foundation; either version 2.1 of the License.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0. This work is licensed under a Creative Commons "
+                    "Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0. This work is licensed under a Creative Commons "
+                       "Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0. This work is licensed under a Creative Commons "
+                       "Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "All rights reserved": "Copyright. All rights reserved. No part of this publication may be reproduced without "
                            "permission.",
 }
@@ -61,8 +83,30 @@ CANDIDATE = r"(?i)licen[sc]|copyright|\(c\) ?[0-9]|©|rights reserved|permission
 PIECE = 480
 LEAST_SAVED = 0.3
 LEAST_SAME = 0.8
+COMPARED = 4                     # licenses whose words are compared, those that save most
 
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+# words that tell licenses apart, also as a part of "BY-NC" or "BSD-3-Clause"
+_NAMES = set("affero lesser nc nd sa noncommercial noderivatives noderivs sharealike clause mit bsd isc apache mozilla mpl "
+             "fdl gfdl artistic cc0 eclipse epl boost zlib unlicense".split())
+_GPL = re.compile(r"[al]?gplv?\d*")
+_VERSION = re.compile(r"v?\d\d?\.\d+")
+_NUMBER = re.compile(r"v?\d\d?")
+_BEFORE = set("version v license licence gpl lgpl agpl mpl apache by sa nc nd attribution".split())
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Name and text of the licenses that are there as a whole, on one line."""
+    return [(p.name.removesuffix(".txt"), " ".join(p.read_text(encoding="utf-8").split()))
+            for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+def telling(words: list[str], i: int) -> bool:
+    """Whether the word at ``i`` tells licenses apart: of a license's name, or a version."""
+    w = words[i]
+    return (any(p in _NAMES or _GPL.fullmatch(p) for p in re.split(r"[-.]", w)) or bool(_VERSION.fullmatch(w))
+            or bool(_NUMBER.fullmatch(w)) and i > 0 and words[i - 1] in _BEFORE
+            or w == "library" and words[i + 1:i + 2] == ["general"])
 
 
 def pieces(line: str, size: int = PIECE) -> list[tuple[int, str]]:
@@ -72,21 +116,34 @@ def pieces(line: str, size: int = PIECE) -> list[tuple[int, str]]:
     return [(i, line[i:i + size]) for i in range(0, len(line) - size // 2, size // 2)]
 
 
-def differences(block: str, template: str) -> tuple[list[str], float]:
-    """Word differences of a block to the template (``-`` only in the block, ``+`` only in the
-    template, inside the stretch it matches) and the share of the block's words that are equal."""
+def compared(block: str, template: str) -> tuple[list[str], float, int, bool]:
+    """``differences``, the number of equal words, and whether a word that tells licenses apart differs."""
     a = [w.lower() for w in _WORD.findall(block)]
     b = [w.lower() for w in _WORD.findall(template)]
     if not a:
-        return [], 0.0
+        return [], 0.0, 0, False
+    slack = max(8, len(a) // 4)
+    if len(b) > len(a) + 2 * slack:     # only the stretch around the longest match, not words from all over a long text
+        m = difflib.SequenceMatcher(None, b, a, autojunk=False).find_longest_match()
+        b = b[max(0, m.a - m.b - slack):m.a - m.b + len(a) + slack]
     same = [m for m in difflib.SequenceMatcher(None, b, a, autojunk=False).get_matching_blocks() if m.size]
     equal = sum(m.size for m in same)
-    diffs = []
+    if not same:
+        return [], 0.0, 0, False
+    diffs, apart = [], False
     for one, two in zip(same, same[1:]):
         diffs += ["-" + w for w in a[one.b + one.size:two.b]] + ["+" + w for w in b[one.a + one.size:two.a]]
-    if same:
-        diffs = ["-" + w for w in a[:same[0].b]] + diffs + ["-" + w for w in a[same[-1].b + same[-1].size:]]
-    return diffs, equal / len(a)
+        gap = range(one.a + one.size, two.a)
+        apart |= len(gap) <= 3 and any(telling(b, i) for i in gap)      # more are left out, not exchanged
+    diffs = ["-" + w for w in a[:same[0].b]] + diffs + ["-" + w for w in a[same[-1].b + same[-1].size:]]
+    kept = {i for m in same for i in range(m.b, m.b + m.size)}
+    return diffs, equal / len(a), equal, apart or any(telling(a, i) for i in range(len(a)) if i not in kept)
+
+
+def differences(block: str, template: str) -> tuple[list[str], float]:
+    """Word differences of a block to the template (``-`` only in the block, ``+`` only in the
+    template, inside the stretch it matches) and the share of the block's words that are equal."""
+    return compared(block, template)[:2]
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
@@ -98,10 +155,12 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``line`` and ``start`` (code point in the line) are from 0; ties between templates go to the
     first by name; ``diffs`` are the exact word differences; a notice is confirmed when at least
-    ``least_same`` of its words stand in the template in order, three or more. Null and empty
-    texts give no rows; repeated rows and null ids are scanned like any other.
+    ``least_same`` of its words stand in the template in order, three or more, no word that tells licenses apart
+    differs, and no other license has as many of its words so (notices count before whole texts).
+    ``templates`` replace the notices and whole texts. Null and empty texts give no rows; repeated rows and null ids are scanned like any other.
     """
-    templates = dict(sorted((templates or TEMPLATES).items()))
+    entries = sorted((k, False, t) for k, t in (templates or TEMPLATES).items())
+    entries = sorted(entries + ([] if templates else [(k, True, t) for k, t in whole_texts()]))
 
     def fn(frames):
         def packer(extra=None):
@@ -110,7 +169,31 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 d = zstandard.ZstdCompressionDict(extra.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=19)
             return zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_dict_id=False).compress
-        alone, given = packer(), {k: packer(t) for k, t in templates.items()}
+        alone, given = packer(), [(*e, packer(e[2])) for e in entries]
+
+        def judged(block):
+            raw = block.lower().encode()
+            size = len(alone(raw))
+            best: dict[str, tuple[float, bool, str]] = {}
+            for k, whole, t, f in given:
+                s = (size - len(f(raw))) / size
+                if k not in best or s > best[k][0]:
+                    best[k] = s, whole, t
+            rank = sorted(best, key=lambda k: -best[k][0])              # first by name on ties
+            name, found = rank[0], None
+            if best[name][0] >= least_saved:
+                some = {k: compared(block, best[k][2]) for k in rank[:COMPARED] if best[k][0] >= least_saved}
+                fits = [k for k, (_, same, equal, apart) in some.items() if same >= least_same and equal >= 3 and not apart]
+                if fits:
+                    most = max(some[k][2] for k in fits)
+                    fits = [k for k in fits if some[k][2] == most]
+                    # a notice counts before the same words somewhere in a whole text
+                    fits = [k for k in fits if not best[k][1]] or fits
+                    name = fits[0]
+                found = some[name]
+            runner = max((s for k, (s, *_) in best.items() if k != name), default=0.0)
+            diffs, same = found[:2] if found else ([], 0.0)
+            return name, best[name][0], runner, same, diffs, found is not None and len(fits) == 1
         known: dict[str, tuple] = {}
         for pdf in frames:
             rows = []
@@ -119,16 +202,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for start, block in pieces(text):
                     got = known.get(block)
                     if got is None:
-                        raw = block.lower().encode()
-                        size = len(alone(raw))
-                        saved = sorted(((size - len(f(raw))) / size, k) for k, f in given.items())
-                        top = max(saved, key=lambda s: s[0])            # first by name on ties
-                        diffs, same = differences(block, templates[top[1]])
-                        runner = max((s for s, k in saved if k != top[1]), default=0.0)
-                        equal = round(same * len(_WORD.findall(block)))
                         if len(known) > 50_000:
                             known.clear()
-                        got = known[block] = (top[1], top[0], runner, same, diffs, same >= least_same and equal >= 3)
+                        got = known[block] = judged(block)
                     if got[1] >= least_saved:
                         best_of_line.append((doc_id, line, start, *got, block))
                 rows += best_of_line

@@ -72,6 +72,21 @@ def test_license_scan(spark):
     assert licenses.license_scan(helpers.empty(spark)).count() == 0
 
 
+def test_differing_words_decide_on_licenses(spark):
+    whole = dict(licenses.whole_texts())
+    notice = "This work is licensed under the GNU %sGeneral Public License, version %s."
+    lines = {"GPL-1.0": notice % ("", 1), "AGPL-3.0": notice % ("Affero ", 3), "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+             "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "GPL-2.0": notice % ("", 2), "LGPL-2.1": notice % ("Lesser ", 2.1),
+             "All rights reserved": "All rights reserved.", "MIT": whole["MIT"][-330:], "BSD-3-Clause": "3. " + whole["BSD-3-Clause"].split(" 3. ")[1][:330],
+             "GPL-3.0": "Conveying under any other circumstances is permitted solely under the conditions stated below. Sublicensing is not "
+                        "allowed; section 10 makes it unnecessary."}
+    none = ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under CC BY-NC 3.0.", notice % ("", 7), "Licensed under the Apache License, Version 4.2.",
+            "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES"]
+    rows = list(enumerate([*lines.values(), *none]))
+    got = licenses.license_scan(helpers.frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["license"]) for r in got if r["confirmed"]} == set(enumerate(lines))
+
+
 def test_license_differences():
     diffs, same = licenses.differences("Licensed under the Apache Licence, Version 2.0", licenses.TEMPLATES["Apache-2.0"])
     assert diffs == ["-licence", "+license"] and same == 6 / 7
