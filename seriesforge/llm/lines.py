@@ -1,12 +1,10 @@
-"""Repeated runs of lines, found by winnowing, with built-in functions only.
+"""Repeated runs of lines, found by hashes of all windows of lines, with built-in functions only.
 
-Lines are trimmed and hashed; blank lines are left out of the sequence. In every window of
-``run`` consecutive lines the least hash is the window's fingerprint (rightmost on ties), so any
-run of ``run`` or more equal lines in two places has a fingerprint at the same place in both.
-Only fingerprints that occur twice go on. At those, positions are joined by the lines around
-them: a match is extended left and right as far as the windows that chose the fingerprint
-reach, which covers the whole run since the next fingerprint is never more than ``run - 1`` lines
-off. Lines in a window that stands earlier, by (id, position), are deleted.
+Lines are trimmed and hashed; blank lines are left out of the sequence. Every window of ``run``
+consecutive lines goes on with the hashes of all its lines as its key, and lines in a window whose
+key stands earlier, by (id, position), are deleted; longer runs are covered by their windows. Windows
+whose least hash occurs only once are left out before the keys are grouped. That saves work and
+decides nothing: no fingerprints are selected and no matches extended, as winnowing would.
 """
 
 from __future__ import annotations
@@ -55,7 +53,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
                            F.transform(F.filter("seq", lambda x: x["long"]), lambda x: window(F.array(x))))
     found = common.save(seq.select("doc_id", "tie", F.explode(windows).alias("w"))
                         .select("doc_id", "tie", F.col("w.lines").alias("lines"), "w.print", "w.key"), "line-windows")
-    # fingerprints seen once are no candidates
+    # windows whose least hash is seen once have no equal: a filter only
     prints = found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     met = found.join(prints, "print", "left_semi")
     place = F.struct("doc_id", F.col("lines")[0].alias("at"))
