@@ -1,7 +1,7 @@
-"""Embedding near-duplicates by a pivot-permutation index.
+"""Embedding near-duplicates by an index on sets of nearest pivots.
 
-Every vector is described by its ``nearest`` reference points (pivots, random directions from a
-fixed seed) in order of closeness. Inverted lists are keyed by pairs of those pivots, so two
+Every vector is described by the set of its ``nearest`` reference points (pivots, random directions
+from a fixed seed); their order of closeness is not used. Inverted lists are keyed by pairs of those pivots, so two
 vectors meet in a list exactly if they share two or more of them: the shared-pivot count is
 applied by the lookup itself, and a list stays short (there are pivots**2 / 2 per label). Vectors
 that meet are compared exactly; chains of links give the components, and the links of a vector
