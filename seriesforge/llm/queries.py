@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, digest, licenses, lines, mixing, pii, pivots, shingles, suffixes, toxicity
+from . import bpe, common, digest, licenses, lines, mixing, pieces, pii, pivots, repair, shingles, suffixes, toxicity, whitening
 from .oracle import ORACLE, WEIGHTS  # noqa: F401
 
 
@@ -68,6 +68,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pivot_dups, op2_improbable_digest, op3_license_scan, op4_suffix_dedup, op5_pii, op6_shingle_join, op7_toxicity,
-    op8_line_dedup, op9_pfair_mix, op10_bpe)}
+    op8_line_dedup, op9_pfair_mix, op10_bpe, op11_repair_turns, op12_piece_codec, op13_whiten)}

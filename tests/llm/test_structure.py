@@ -1,0 +1,186 @@
+"""Conversation repair against brute force: all edits of short signatures, whole tables row by row."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+from pyspark.sql import types as T
+
+from seriesforge.llm import repair
+
+SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()),
+                       T.StructField("text", T.StringType()), T.StructField("signature", T.StringType()),
+                       T.StructField("gone", T.StringType())])
+WHITE = " \t\n\x0b\x0c\r"
+STEP = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+
+def cheapest(rows):
+    """(cost, audit, result) of rows (role, text, fault), from the first row on."""
+    # forward, the best by state after every row: whole audits are compared
+    layers = [inserts_all([(0, "", "", ())])]
+    for role, text, fault in rows:
+        new = []
+        for cost, audit, state, out in layers[-1]:
+            new.append((cost + 2, audit + "D", state, out))
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault == "truncated" else 0
+                if (state, role[:1]) in STEP:
+                    new.append((cost + more, audit + "K", STEP[state, role[:1]], out + ((role, text),)))
+                for r in ("user", "assistant"):
+                    if (state, r[0]) in STEP:
+                        new.append((cost + more + 1, audit + "R", STEP[state, r[0]], out + ((r, text),)))
+        layers.append(inserts_all(new))
+    done = [x for x in layers[-1] if x[2] in ("", "a")]
+    cost, audit, _, out = min(done, key=lambda x: (x[0], x[1]))
+    return cost, audit, out
+
+
+def inserts_all(found):
+    """The best by state, after any number of insertions: of equal cost the least audit."""
+    best = {}
+    todo = list(found)
+    while todo:
+        x = todo.pop()
+        if x[2] not in best or x[:2] < best[x[2]][:2]:
+            best[x[2]] = x
+            cost, audit, state, out = x
+            for r in ("user", "assistant"):
+                if (state, r[0]) in STEP and audit.count("I") < 12:
+                    todo.append((cost + 5, audit + "I", STEP[state, r[0]], out + ((r, ""),)))
+    return list(best.values())
+
+
+def every_edit(rows, most):
+    """Every edit with at most ``most`` insertions, without any cleverness: (cost, audit)."""
+    found = []
+    for n in range(most + 1):
+        for spots in itertools.combinations_with_replacement(range(len(rows) + 1), n):
+            for roles in itertools.product("ua", repeat=n):
+                for edits in itertools.product(["K", "Ru", "Ra", "D"], repeat=len(rows)):
+                    cost, audit, out, ok = 5 * n, "", "", True
+                    for i in range(len(rows) + 1):
+                        for s, r in zip(spots, roles):
+                            if s == i:
+                                audit, out = audit + "I", out + r
+                        if i == len(rows):
+                            break
+                        initial, fault = rows[i]
+                        e = edits[i]
+                        audit += e[0]
+                        ok = ok and (e == "D" or fault not in ("blank", "duplicate"))
+                        cost += {"K": 0, "R": 1, "D": 2}[e[0]] + (5 if e != "D" and fault == "truncated" else 0)
+                        out += "" if e == "D" else initial if e == "K" else e[1]
+                    rest = out[1:] if out[:1] == "s" else out
+                    if ok and (out == "" or (rest and rest == "ua" * (len(rest) // 2))):
+                        found.append((cost, audit))
+    return min(found)
+
+
+FAULT = {"ok": repair.OK, "blank": repair.BLANK, "duplicate": repair.DUPLICATE, "truncated": repair.CUT}
+
+
+def signature(rows):
+    return "".join(chr(48 + 4 * FAULT[f] + "suao".index(i)) for i, f in rows)
+
+
+def test_cheapest_edits_of_all_short_signatures():
+    symbols = [(i, f) for i in "suao" for f in ("ok", "truncated")] + [("u", "blank")]
+    for n in range(4):
+        all_rows = [list(r) for r in itertools.product(symbols, repeat=n)]
+        random.Random(n).shuffle(all_rows)
+        all_rows = all_rows[:150]
+        got = {s: (c, a) for s, c, a in repair.solve_sorted(sorted({signature(r) for r in all_rows}, key=lambda s: s[::-1]))}
+        for rows in all_rows:
+            assert got[signature(rows)] == every_edit(rows, 3 if n < 3 else 2), rows
+
+
+def white_free(text):
+    return [c for c in text if c not in WHITE]
+
+
+def brute(rows):
+    """Everything the query returns, from the rows of the table."""
+    some = lambda x: " " if x is None else str(x)
+    by_conv = {}
+    for conv, turn, role, text in rows:
+        own = by_conv.setdefault(conv, [])
+        role, text = some(role), some(text)
+        code = zlib.crc32(f"{some(conv)}:{some(turn)}".encode()) % 20
+        if code == 0:
+            continue
+        text = "" if code == 1 else "".join(c for c in text if c not in ".!?") if code == 2 else text
+        own.extend([(turn, "user" if code == 4 else role, text)] * (2 if code == 3 else 1))
+    out = {}
+    for conv, own in by_conv.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, faulty = set(), []
+        for _, role, text in own:
+            chars = white_free(text)
+            fault = "blank" if not chars else "duplicate" if (role, text) in seen else "truncated" if chars[-1] not in ".!?" else "ok"
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        turns = {t for t, _, _ in own if t is not None}
+        cost, audit, result = cheapest(faulty)
+        count = lambda f: sum(x[2] == f for x in faulty)
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, count("blank"), count("duplicate"), count("truncated"),
+                     sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(faulty, faulty[1:])), cost, audit,
+                     hashlib.sha256("\n".join(f"{r}:{t}" for r, t in result).encode()).hexdigest(), result)
+    return out
+
+
+def table(seed=4, n=120):
+    rng = random.Random(seed)
+    rows = []
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "User"]
+    texts = ["fine.", "well!", "so?", "cut off", "", " \t\n", "é.\r\n", "again.", None, "ends. \x0b\x0c", "no "]
+    for conv in range(n):
+        size = rng.choice([0, 1, 2, 3, 5, 8, 8, 13])
+        for t in range(size):
+            if rng.random() < 0.6:
+                role, text = ("user", "assistant")[t % 2], rng.choice(["fine.", "well!", f"so {t}?"])
+            else:
+                role, text = rng.choice(roles), rng.choice(texts)
+            rows.append((conv, rng.choice([t, t, t, t, t * 3, None]), role, text))
+    rows += [(None, t, "user", "x.") for t in range(9)] + [(None, None, "assistant", "y.")]
+    rows += [(5000, t, ("user", "assistant")[t % 2], f"long {t}." if t % 7 else "long") for t in range(3000)]
+    rows += [rows[10]] * 3
+    rows += [(6000, t, "user", "x.") for t in range(300) if zlib.crc32(f"6000:{t}".encode()) % 20 == 0]     # all dropped
+    rng.shuffle(rows)
+    return rows
+
+
+def test_repair_against_brute_force(spark):
+    rows = table()
+    want = brute(rows)
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA).repartition(7)
+    damaged = repair.damage(df)
+    got = {r["conv_id"]: r for r in repair.digest(damaged).collect()}
+    assert set(got) == set(want) and want[6000][:7] == (0, 0, 0, 0, 0, 0, "")
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    for conv, w in want.items():
+        assert tuple(got[conv][c] for c in names) == w[:8], conv
+    kept = {}
+    for r in sorted(repair.repair(damaged).collect(), key=lambda r: r["position"]):
+        assert r["position"] == len(kept.setdefault(r["conv_id"], []))
+        kept[r["conv_id"]].append((r["role"], r["text"]))
+    assert all(tuple(kept.get(conv, [])) == w[8] for conv, w in want.items())
+
+
+def test_sound_conversations_stay_and_an_empty_table_gives_no_rows(spark):
+    rows = [(1, 0, "system", "s."), (1, 1, "user", "u."), (1, 2, "assistant", "a."), (2, 0, "user", "u?"), (2, 1, "assistant", "a!")]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    got = repair.repair(repair.conversations(df)).orderBy("conv_id", "position").collect()
+    assert [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in got] == rows and {r["edit"] for r in got} == {"K"}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert repair.digest(repair.damage(empty)).count() == 0 and repair.repair(repair.conversations(empty)).count() == 0
+
+
+def test_signatures_that_end_alike_share_nodes():
+    ends = [signature([("u", "ok"), ("a", "ok")] * 30)]
+    words = sorted({e + s for e in ("0", "1", "2", "12", "") for s in ends}, key=lambda s: s[::-1])
+    repair._node.cache_clear()
+    list(repair.solve_sorted(words))
+    used = repair._node.cache_info()
+    assert used.hits + used.misses == 60 + 4            # each distinct suffix once, the empty one is given
