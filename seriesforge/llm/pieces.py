@@ -106,10 +106,9 @@ class Pieces:
                 left, right = id_of.get(p[:k], chars.get(p[:k])), id_of.get(p[k:], chars.get(p[k:]))
                 if left is not None and right is not None:
                     pairs.append((left << KEY_BITS | right, rank[score[i]], i))
-        pairs.sort()
-        self.key = np.array([p[0] for p in pairs] + [np.iinfo(np.int64).max], np.int64)
-        self.rank = np.array([p[1] for p in pairs] + [NONE], np.int32)
-        self.merged = np.array([p[2] for p in pairs] + [0], np.int32)
+        self._fill(pairs)
+        self._numbers = self._table([b"%d " % i for i in range(len(pieces))])
+        self._spellings = self._table([self.byte_of.get(i, t.replace(BLANK, " ").encode()) for i, t in enumerate(self.text)])
         # runs of blanks on their own: if their pieces score alike and below all others, every other merge comes
         # first, and of a run only the last blank takes part in it
         self.run_ids = {len(p): i for p, i in id_of.items() if set(p) == {BLANK}}
@@ -118,11 +117,36 @@ class Pieces:
                           and all(score[i] > max(scores, default=-np.inf) for p, i in id_of.items()
                                   if len(p) > 1 and set(p) != {BLANK}))
 
+    def _fill(self, pairs: list[tuple[int, int, int]]) -> None:
+        """Tables of (key, rank, merged id) by hash, open to the next free place; a key of -1 is none."""
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.rank, self.merged = np.full(1 << bits, NONE, np.int32), np.zeros(1 << bits, np.int32)
+        todo = np.array(pairs, np.int64).reshape(-1, 3)
+        at = self._hash(todo[:, 0])
+        while len(todo):
+            free = np.flatnonzero(self.key[at] == -1)
+            own = free[np.unique(at[free], return_index=True)[1]]       # of those that want one place, one gets it
+            self.key[at[own]], self.rank[at[own]], self.merged[at[own]] = todo[own].T
+            rest = np.ones(len(todo), bool)
+            rest[own] = False
+            todo, at = todo[rest], (at[rest] + 1) & self.mask
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of every pair of symbols; rank ``NONE`` where they don't merge."""
         key = left.astype(np.int64) << KEY_BITS | right
-        at = np.searchsorted(self.key, key)
-        return np.where(self.key[at] == key, self.rank[at], NONE), self.merged[at]
+        at = self._hash(key)
+        have = self.key[at]
+        far = np.flatnonzero((have != key) & (have != -1))
+        while len(far):
+            at[far] = (at[far] + 1) & self.mask
+            have = self.key[at[far]]
+            far = far[(have != key[far]) & (have != -1)]
+        return self.rank[at], self.merged[at]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, first characters, words) of all symbols left when no pair remains, words in order."""
@@ -164,13 +188,16 @@ class Pieces:
             now = sym.copy()
             now[hit] = to[hit]
             new_sym, new_at, new_word, new_pr, new_to = now[keep], at[keep], word[keep], pr[keep], to[keep]
-            changed = place[hit]
-            changed = np.unique(np.r_[changed, changed[changed > 0] - 1])
-            inner = changed[changed + 1 < len(new_sym)]
+            touched = np.zeros(len(new_sym) + 1, bool)
+            touched[place[hit]] = touched[place[hit] - 1] = True       # (-1: the spare one at the end)
+            touched[-1] = False
+            last = touched[-2]
+            touched[-2] = False
+            inner = np.flatnonzero(touched)
             rank, merged = self.pairs(new_sym[inner], new_sym[inner + 1])
             rank[new_word[inner] != new_word[inner + 1]] = NONE
             new_pr[inner], new_to[inner] = rank, merged
-            if changed[-1] + 1 == len(new_sym):
+            if last:
                 new_pr[-1] = NONE
             several = np.flatnonzero(word[hit[1:]] == word[hit[:-1]])     # hits followed by one of the same word
             if not len(several):
@@ -186,30 +213,32 @@ class Pieces:
             alone = np.isin(word[hit], list(many)) & ~np.r_[True, word[hit[1:]] != word[hit[:-1]]]
             hit = hit[~alone]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number of ids of each word)."""
         sym, char, word = self.merge(words)
-        out: list[list[int]] = [[] for _ in words]
-        known = len(self.text)
-        for s, c, w in zip(sym.tolist(), char.tolist(), word.tolist()):
-            if s < known:
-                out[w].append(s)
-            else:
-                out[w].extend(self.byte_id[b] for b in chr(c).encode())
-        return out
-
-    def words_of(self, words: list[str]) -> list[list[int]]:
+        whole = sym < len(self.text)
+        if whole.all():
+            return sym, np.bincount(word, minlength=len(words))
+        # a character without a piece becomes its bytes
+        odd = [[self.byte_id[b] for b in chr(c).encode()] for c in char[~whole].tolist()]
+        size = np.ones(len(sym), np.int64)
+        size[~whole] = [len(o) for o in odd]
+        ids = np.repeat(sym, size)
+        ids[np.repeat(~whole, size)] = [i for o in odd for i in o]
+        return ids, np.bincount(word, size, len(words)).astype(np.int64)
+
+    def words_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode_words``; long runs of blanks by their length."""
-        if not self.runs_last:
+        if not self.runs_last or not any(w.startswith(_LONG) for w in words):
             return self.encode_words(words)
         run = [len(w) - len(w.lstrip(BLANK)) for w in words]
-        short = [w if k <= LONG_RUN else w[k - 1:] for w, k in zip(words, run)]
-        ids = self.encode_words(short)
+        ids, count = self.encode_words([w if k <= LONG_RUN else w[k - 1:] for w, k in zip(words, run)])
+        parts = np.split(ids, np.cumsum(count)[:-1])
         for i, k in enumerate(run):
             if k > LONG_RUN:
-                lone = ids[i][0] == self.run_ids[1]
-                ids[i] = self._run(k if lone else k - 1) + ids[i][1 if lone else 0:]
-        return ids
+                lone = parts[i][0] == self.run_ids[1]
+                parts[i] = np.r_[np.array(self._run(k if lone else k - 1), parts[i].dtype), parts[i][1 if lone else 0:]]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
     def _run(self, k: int) -> list[int]:
         """Ids of ``k`` blanks on their own. All their pieces score alike, so the leftmost pair always merges first:
@@ -221,11 +250,37 @@ class Pieces:
                 done[-2:] = [done[-2] + done[-1]]
         return [self.run_ids[n] for n in done]
 
-    def spell(self, ids: list[int]) -> str:
-        """Text of the ids of one word, its blanks in front included."""
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.text[i] for i in ids]).replace(BLANK, " ")
-        return " " + self.decode(ids)
+    def spelled(self, ids: np.ndarray, count: np.ndarray) -> tuple[list[str], list[str]]:
+        """(ids as decimal numbers joined by blanks, decoded text) of every word; all words at once, from two tables
+        that hold the number and the text of each piece."""
+        numbers, at = self._looked_up(self._numbers, ids)
+        ends = np.r_[0, np.cumsum(count)]
+        spots = at[ends].tolist()
+        numbers = numbers.decode()
+        out = [numbers[a:b - 1] for a, b in zip(spots, spots[1:])]
+        raw, at = self._looked_up(self._spellings, ids)
+        spots = at[ends].tolist()
+        try:
+            plain = raw.isascii()
+            text = raw.decode()
+            if not plain:                       # places in characters: bytes that don't continue one, counted
+                lead = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+                spots = lead[spots].tolist()
+            return out, [text[a:b] for a, b in zip(spots, spots[1:])]
+        except UnicodeDecodeError:              # bytes that are no text: each word by itself
+            return out, [" " + self.decode(part) for part in (x.tolist() for x in np.split(ids, ends[1:-1]))]
+
+    @staticmethod
+    def _looked_up(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(entries of ``ids`` one after the other, where each starts)."""
+        flat, starts = table
+        size = starts[ids + 1] - starts[ids]
+        at = np.r_[0, np.cumsum(size)]
+        return flat[np.arange(at[-1]) + np.repeat(starts[ids] - at[:-1], size)].tobytes(), at
+
+    @staticmethod
+    def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(entries), np.uint8), np.r_[0, np.cumsum([len(e) for e in entries])]
 
     def decode(self, ids) -> str:
         """Text of ``ids`` as the model's own decoder gives it: control pieces are nothing, bytes that are no
@@ -267,6 +322,7 @@ def load(path: str) -> Pieces:
 
 
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
+_LONG = BLANK * (LONG_RUN + 1)
 
 
 class _Coder:
@@ -276,20 +332,25 @@ class _Coder:
         self.model, self.known = model, {}
 
     def look_up(self, parts: list[list[str]]) -> dict:
-        new = list({w for part in parts for w in part if w not in self.known})
-        fresh = {}
-        for w, ids in zip(new, self.model.words_of(new)):
-            # a word starts with a blank of its own, so its text stands by itself: all but the first word keep theirs
-            fresh[w] = (" ".join(map(str, ids)), len(ids), self.model.spell(ids))
-        if len(self.known) + len(fresh) > MAX_WORDS:
-            self.known = {w: self.known[w] for part in parts for w in part if w in self.known}
-        look = self.known
-        if any(len(w) > MAX_WORD for w in fresh):
-            look = {**self.known, **fresh}
-        self.known.update((w, k) for w, k in fresh.items() if len(w) <= MAX_WORD)
-        if look is not self.known:
-            return look
-        return self.known
+        known = self.known
+        new = list({w for part in parts for w in part if w not in known})
+        if not new:
+            return known
+        ids, count = self.model.words_of(new)
+        # a word starts with a blank of its own, so its text stands by itself: all but the first word keep theirs
+        numbers, spelled = self.model.spelled(ids, count)
+        fresh = dict(zip(new, zip(numbers, count.tolist(), spelled)))
+        if len(known) + len(fresh) > MAX_WORDS:
+            known = self.known = {w: known[w] for part in parts for w in part if w in known}
+        longer = [w for w in new if len(w) > MAX_WORD]
+        if not longer:
+            known.update(fresh)
+            return known
+        look = {**known, **fresh}
+        for w in longer:
+            del fresh[w]
+        known.update(fresh)
+        return look
 
     def texts(self, texts: list[str]):
         """For every text an iterator of slices (ids as text, number of ids, decoded text), in order."""
@@ -303,7 +364,7 @@ class _Coder:
                 parts = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts[lo:hi]]
                 look = self.look_up(parts)
                 for part in parts:
-                    yield self._slices([[look[w] for w in part]])
+                    yield self._slices([map(look.__getitem__, part)] if part else [])
             else:                                   # one long text, in slices of words
                 yield self._slices(self._long(texts[lo]))
             lo = hi
@@ -312,17 +373,16 @@ class _Coder:
         words = (m.group() for m in _WORD.finditer(BLANK + text.replace(" ", BLANK)))
         while part := list(islice(words, SLICE)):
             look = self.look_up([part])
-            yield [look[w] for w in part]
+            yield map(look.__getitem__, part)
 
     @staticmethod
     def _slices(parts):
         first = True
         for got in parts:
-            if got:
-                ids, count, text = zip(*got)
-                text = "".join(text)
-                yield " ".join(ids), sum(count), text[1:] if first else text
-                first = False
+            ids, count, text = zip(*got)
+            text = "".join(text)
+            yield " ".join(ids), sum(count), text[1:] if first else text
+            first = False
 
 
 _CODERS: dict[str, _Coder] = {}
