@@ -35,6 +35,7 @@ CONTEXT = {
 }
 CHECKSUM_GAIN, CONTEXT_GAIN, LEAST = 0.4, 0.2, 0.5
 NEAR = 48
+STRETCH = 64                    # characters, NEAR or more
 
 
 def _digits(m: Column) -> Column:
@@ -68,35 +69,50 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _prefix_sums(lengths: Column) -> Column:
+    """Sums of an array of numbers up to and with each entry: every round adds what stands 1, 2, 4, ... places before, and no
+    array grows entry by entry."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths) + 1)).cast("int"))
+    step = lambda r: F.call_function("shiftleft", F.lit(1), r)
+    return F.aggregate(rounds, lengths, lambda sums, r: F.transform(
+        sums, lambda v, i: v + F.when(i >= step(r), F.get(sums, i - step(r))).otherwise(F.lit(0))))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, not once for every entry of an array that ``body`` goes through."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _near(stretches: Column, start: Column, length: Column) -> Column:
+    """``length`` (at most ``STRETCH``) characters from ``start`` of a text cut into stretches."""
+    at = F.floor(start / STRETCH).cast("int")
+    two = F.concat(F.coalesce(F.get(stretches, at), F.lit("")), F.coalesce(F.get(stretches, at + 1), F.lit("")))
+    return F.substring(two, start - at * STRETCH + 1, length)
+
+
 def _spans(text: Column, kind: str, order: int) -> Column:
     """Array of (start, order, end, kind, score) of the valid matches of one kind."""
     pattern, hint = PATTERNS[kind]
     gaps, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    kinds = "array<struct<start:int,`order`:int,`end`:int,hit:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kinds})").alias("out"))
-
-    def add(acc, p):
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        item = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), p["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, p["hit"]), F.concat(acc["out"], F.array(item)))
-                        .otherwise(acc["out"]).alias("out"))
-
-    placed = F.aggregate(pairs, zero, add, lambda acc: acc["out"])
     checksum = CHECKSUM_GAIN if kind in ("card", "iban") else 0.0
 
-    def scored(s):
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.concat(F.substring(text, low + 1, s["start"] - low), F.lit(" "),
-                        F.substring(text, s["end"] + 1, F.lit(NEAR)))
-        score = F.lit(SCORES[kind] + checksum) + F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(s["start"], s["order"], s["end"], F.lit(kind).alias("kind"),
-                        F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
+    def placed(found):
+        lengths = F.zip_with(F.slice(found["gaps"], 1, F.size(found["hits"])), found["hits"], lambda g, h: F.length(g) + F.length(h))
+        return F.struct(found["hits"].alias("hits"), _prefix_sums(lengths).alias("ends"), found["stretches"].alias("stretches"))
 
-    out = F.transform(placed, scored)
+    def scored(end, hit, stretches):
+        start = end - F.length(hit)
+        low = F.greatest(start - NEAR, F.lit(0))
+        near = F.concat(_near(stretches, low, start - low), F.lit(" "), _near(stretches, end, F.lit(NEAR)))
+        score = F.lit(SCORES[kind] + checksum) + F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
+        return F.when(_valid(kind, hit), F.struct(
+            start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(kind).alias("kind"),
+            F.round(F.least(score, F.lit(1.0)), 2).alias("score")))
+    found = F.struct(gaps.alias("gaps"), hits.alias("hits"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)).alias("stretches"))
+    spans = _bound(found, lambda f: _bound(placed(f), lambda p: F.filter(
+        F.zip_with(p["ends"], p["hits"], lambda end, hit: scored(end, hit, p["stretches"])), lambda s: s.isNotNull())))
     empty = F.expr("cast(array() as array<struct<start:int,`order`:int,`end`:int,kind:string,score:double>>)")
-    return F.when(text.rlike(hint), out).otherwise(empty)
+    return F.when(text.rlike(hint), spans).otherwise(empty)
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
