@@ -15,3 +15,15 @@ def quoted(name: str) -> Column:
 
 def quoted_all(names: Iterable[str]) -> list[Column]:
     return [quoted(n) for n in names]
+
+
+def unused_names(df, *wanted: str) -> dict[str, str]:
+    """For each wanted name one that no column of ``df`` has (whatever the case), for columns of a function's own."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for w in wanted:
+        name = f"_{w}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out[w] = name
+    return out

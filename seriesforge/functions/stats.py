@@ -64,3 +64,59 @@ def trend_slope(prefix: str, reg: float, alpha: float) -> Column:
 
 def trend_intercept(prefix: str, slope: Column) -> Column:
     return F.col(f"{prefix}y_mean") - slope * F.col(f"{prefix}x_mean")
+
+
+def moment_aggregates(xs: list[Column], y: Column, train: Column | None, prefix: str) -> list[Column]:
+    """n, means and population covariances of several features and a label over the rows where all are present (and ``train``
+    holds): ``n``, ``y``, ``yy``, and for features i <= j ``x{i}``, ``c{i}_{j}``, ``cy{i}``."""
+    ok = y.isNotNull()
+    for x in xs:
+        ok = ok & x.isNotNull()
+    if train is not None:
+        ok = ok & train
+    vs = [F.when(ok, x.cast("double")) for x in xs]
+    label = F.when(ok, y.cast("double"))
+    out = [F.count(label).alias(f"{prefix}n"), F.avg(label).alias(f"{prefix}y"), F.var_pop(label).alias(f"{prefix}yy")]
+    for i, v in enumerate(vs):
+        out += [F.avg(v).alias(f"{prefix}x{i}"), F.covar_pop(v, label).alias(f"{prefix}cy{i}")]
+        out += [F.covar_pop(v, vs[j]).alias(f"{prefix}c{i}_{j}") for j in range(i, len(vs))]
+    return out
+
+
+def descent(p: int, prefix: str, reg: float, alpha: float, sweeps: int):
+    """(coefficients, intercept of coefficients, means and label mean) of the elastic net from the moments of
+    :func:`moment_aggregates`.
+
+    In units of deviations the problem has correlations only: the update of one coordinate, the others held, is the closed form
+    of one feature (soft threshold, then shrinkage), and ``sweeps`` rounds over all coordinates are a fold over
+    arrays of ``p`` entries in the plan.
+    """
+    sd = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)))
+    m = lambda name: F.col(f"`{prefix}{name}`")
+    sy, sds = sd(m("yy")), [sd(m(f"c{i}_{i}")) for i in range(p)]
+    share = lambda c, a, b: F.coalesce(F.try_divide(c, a * b), F.lit(0.0))
+    target = F.array(*[share(m(f"cy{i}"), sds[i], sy) for i in range(p)])
+    corr = F.array(*[F.array(*[share(m(f"c{min(i, j)}_{max(i, j)}"), sds[i], sds[j]) if i != j else F.lit(0.0) for j in range(p)])
+                     for i in range(p)])
+    l1, l2 = F.try_divide(F.lit(reg * alpha), sy), F.try_divide(F.lit(reg * (1.0 - alpha)), sy)
+    setup = F.struct(target.alias("b"), corr.alias("a"), l1.alias("l1"), l2.alias("l2"), F.array(*sds).alias("sd"))
+
+    def update(s, w, i):
+        left = F.element_at(s["b"], i) - F.aggregate(F.zip_with(F.element_at(s["a"], i), w, lambda a, v: a * v), F.lit(0.0), lambda t, v: t + v)
+        shrunk = F.signum(left) * F.greatest(F.abs(left) - s["l1"], F.lit(0.0)) / (s["l2"] + 1.0)
+        return F.when(F.element_at(s["sd"], i) > 0, shrunk).otherwise(F.lit(0.0))
+
+    def sweep(s, w):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(p)), w, lambda acc, i: F.transform(
+            acc, lambda v, k: F.when(k + 1 == i, update(s, acc, i)).otherwise(v)))
+    start = F.array(*[F.lit(0.0) for _ in range(p)])
+    folded = F.transform(F.array(setup), lambda s: F.transform(
+        F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, lambda w, _: sweep(s, w)),
+        lambda w, k: F.when(F.element_at(s["sd"], k + 1) > 0, w / F.element_at(s["sd"], k + 1)).otherwise(F.lit(0.0))))[0]
+    zero = F.array(*[F.lit(0.0) for _ in range(p)])
+    coefficients = (F.when(m("n") == 0, F.lit(None).cast("array<double>")).when(sy == 0, zero)
+                    .otherwise(F.transform(folded, lambda w: w * sy)))
+
+    def intercept(w, means, mean):
+        return mean - F.aggregate(F.zip_with(w, means, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    return coefficients, intercept

@@ -1,8 +1,8 @@
 """Column metadata (display headers and other chart hints) and scalar column bounds.
 
 Headers live in each field's Spark metadata, so they travel with the DataFrame through renames,
-filters, sorts, unions and Parquet round trips. Aggregates and computed columns start with empty
-metadata: set headers as the last step before publishing.
+filters, sorts, unions and Parquet round trips, and the library's roll-ups, totals and forecasts hand them on. Other
+aggregates and computed columns start with empty metadata: set headers as the last step before publishing.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType, LongType
 
-from ..functions.names import quoted, quoted_all
+from ..functions.dates import month_start
+from ..functions.names import quoted, quoted_all, unused_names
 
 METHODS = ("spread", "mean")
 
@@ -36,7 +37,7 @@ def _in_year(date_col: str, year: int):
 def _known_months(df: DataFrame, date_col: str, year: int, keys: Sequence[str], extra=()) -> DataFrame:
     """Per key: the sorted months of ``year`` present (collect_set skips the NULLs of other years)."""
     known = F.collect_set(F.when(_in_year(date_col, year), F.month(quoted(date_col))))
-    return df.groupBy(*quoted_all(keys)).agg(F.array_sort(known).alias("_known"), *extra)
+    return df.groupBy(*quoted_all(keys)).agg(F.array_sort(known).alias(unused_names(df, "known")["known"]), *extra)
 
 
 def _missing(known) -> "F.Column":
@@ -46,9 +47,37 @@ def _missing(known) -> "F.Column":
 def calendar_gaps(df: DataFrame, date_col: str, year: int, keys: Sequence[str] = (),
                   out: str = "month") -> DataFrame:
     """Month starts of ``year`` that have no row, per key (keys that have rows in that year)."""
-    known = _known_months(df, date_col, year, keys).where(F.size("_known") > 0)
-    return known.select(*quoted_all(keys), F.explode(_missing(F.col("_known"))).alias("_m")).select(
-        *quoted_all(keys), F.make_date(F.lit(year), F.col("_m"), F.lit(1)).alias(out))
+    own = unused_names(df, "known", "m")
+    known = _known_months(df, date_col, year, keys).where(F.size(own["known"]) > 0)
+    return known.select(*quoted_all(keys), F.explode(_missing(quoted(own["known"]))).alias(own["m"])).select(
+        *quoted_all(keys), F.make_date(F.lit(year), quoted(own["m"]), F.lit(1)).alias(out))
+
+
+def calendar_gaps_all(df: DataFrame, date_col: str, keys: Sequence[str] = (), out: str = "month") -> DataFrame:
+    """Month starts without a row between the first and the last month of each key, over any number of years.
+
+    A calendar per key (``sequence`` from its first to its last month, from one aggregate of two values a key) minus the
+    months it has: a left anti join on key and month, so a key with very many rows is spread by its months. Rows with
+    a NULL date count for nothing; NULL keys are keys like any other. A key without gaps, or without dates, gives no rows.
+    """
+    own = unused_names(df, "m", "first", "last", "months", *[f"key{i}" for i in range(len(keys))])
+    month = quoted(own["m"])
+    known = (df.where(quoted(date_col).isNotNull())
+             .select(*[quoted(k).alias(own[f"key{i}"]) for i, k in enumerate(keys)], month_start(date_col).alias(own["m"])).distinct())
+    own_keys = [own[f"key{i}"] for i in range(len(keys))]
+    # (a count too: bounds alone would be planned from the raw rows, a second reading of the input)
+    spans = known.groupBy(*quoted_all(own_keys)).agg(F.min(month).alias(own["first"]), F.max(month).alias(own["last"]),
+                                                     F.count(F.lit(1)).alias(own["months"]))
+    # (no key, no rows: the aggregate of nothing has NULL bounds, and no sequence)
+    spine = spans.select(*[quoted(o).alias(f"{o}_") for o in own_keys],
+                         F.explode(F.when(quoted(own["months"]) > 0, F.sequence(own["first"], own["last"], F.expr("INTERVAL 1 MONTH"))))
+                         .alias(f"{own['m']}_"))
+    # (null-safe in the month as well, which is never NULL: else a filter would set this use of the months apart from the other)
+    on = quoted(f"{own['m']}_").eqNullSafe(month)
+    for o in own_keys:
+        on = on & quoted(f"{o}_").eqNullSafe(quoted(o))
+    return spine.join(known, on, "left_anti").select(*[quoted(f"{o}_").alias(k) for o, k in zip(own_keys, keys)],
+                                                     quoted(f"{own['m']}_").alias(out))
 
 
 def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str],
@@ -73,27 +102,28 @@ def impute_year(df: DataFrame, date_col: str, year: int, measures: Sequence[str]
     df = df.select(*[quoted(c).cast("bigint").alias(c, metadata=fields[c].metadata or {}) if c in wide else quoted(c)
                      for c in df.columns])
     types = {c: LongType() if c in wide else f.dataType for c, f in fields.items()}
-    sums = [F.sum(F.when(_in_year(date_col, year), quoted(m))).alias(f"_sum_{i}") for i, m in enumerate(measures)]
+    own = unused_names(df, "known", "divisor", "m", *[f"sum_{i}" for i in range(len(measures))])
+    sums = [F.sum(F.when(_in_year(date_col, year), quoted(m))).alias(own[f"sum_{i}"]) for i, m in enumerate(measures)]
     known = _known_months(df, date_col, year, keys, sums)
-    k = F.size(F.col("_known"))
+    k = F.size(own["known"])
     divisor = (F.lit(12) - k) if method == "spread" else k
 
     def share(i: int, m: str):
-        total = F.col(f"_sum_{i}")
+        total, by = quoted(own[f"sum_{i}"]), quoted(own["divisor"])
         if isinstance(types[m], IntegralType):
-            value = F.expr(f"`_sum_{i}` div `_divisor`")
+            value = F.call_function("div", total, by)
         elif isinstance(types[m], DecimalType):
-            value = total / F.col("_divisor")
+            value = total / by
         else:
-            value = F.try_divide(total, F.col("_divisor"))
+            value = F.try_divide(total, by)
         return value.cast(types[m]).alias(m)
 
     imputed = (known
-               .withColumn("_divisor", divisor)
-               .where((F.col("_divisor") > 0) & (k > 0))
-               .select(*quoted_all(keys), *[F.col(f"_sum_{i}") for i in range(len(measures))], F.col("_divisor"),
-                       F.explode(_missing(F.col("_known"))).alias("_m"))
-               .select(*quoted_all(keys), F.make_date(F.lit(year), F.col("_m"), F.lit(1)).cast(types[date_col]).alias(date_col),
+               .withColumn(own["divisor"], divisor)
+               .where((quoted(own["divisor"]) > 0) & (k > 0))
+               .select(*quoted_all(keys), *[quoted(own[f"sum_{i}"]) for i in range(len(measures))], quoted(own["divisor"]),
+                       F.explode(_missing(quoted(own["known"]))).alias(own["m"]))
+               .select(*quoted_all(keys), F.make_date(F.lit(year), quoted(own["m"]), F.lit(1)).cast(types[date_col]).alias(date_col),
                        *[share(i, m) for i, m in enumerate(measures)]))
     base = df
     for new, src in copies.items():

@@ -137,6 +137,12 @@ gold_imp AS (
   SELECT month, international, domestic, total, total AS total_reported, FALSE AS imputed FROM gold_all
   UNION ALL SELECT * FROM imputed)"""
 
+_SEASONAL = f"""{GOLD_ALL},
+s AS (SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, COUNT(*) AS n
+      FROM om GROUP BY 1, 2, 3),
+l AS (SELECT r_name, year, quarter,
+             CAST(SUM(n) OVER (PARTITION BY r_name) * SUM(n) OVER (PARTITION BY quarter) AS BIGINT) AS label FROM s)"""
+
 ORACLE: dict[str, str] = {
     "combine_monthly": f"""WITH {GOLD}
 SELECT month, international, domestic, total FROM gold ORDER BY month""",
@@ -209,7 +215,8 @@ UNION ALL
 SELECT 'test' AS split, COUNT(*) AS n_years, CAST(SUM(total) AS BIGINT) AS total FROM yearly WHERE year > {q.SPLIT_YEAR}""",
 
     "sorted_series": f"""WITH {ORDERS_MARKET}
-SELECT r_name, {MONTH} AS month, COUNT(*) AS n_orders FROM om GROUP BY 1, 2 ORDER BY 1, 2""",
+SELECT r_name, month, n_orders, row_number() OVER (ORDER BY r_name, month) AS position
+FROM (SELECT r_name, {MONTH} AS month, COUNT(*) AS n_orders FROM om GROUP BY 1, 2)""",
 
     "latest_n": f"""WITH {GOLD_ALL}
 SELECT month, international, domestic, total FROM gold_all ORDER BY month DESC LIMIT {q.LATEST_N}""",
@@ -248,22 +255,84 @@ SELECT CAST(year(month) AS INTEGER) AS year, CAST(SUM(international) AS BIGINT)
 FROM gold_all GROUP BY 1""",
 
     "chart_text_roundtrip": """WITH t AS (
-  SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+  SELECT 'doc' AS kind, doc_id AS id, text, CAST(NULL AS TIMESTAMP) AS ts FROM documents
   UNION ALL
-  SELECT 'turn', conv_id * 100000 + turn, '  "' || text || '"' || chr(13) || chr(10) || ' ' FROM conversations),
-u AS (SELECT kind, id, CASE WHEN id % 7 = 3 THEN '' WHEN id % 7 = 5 THEN NULL ELSE text END AS text FROM t)
-SELECT kind, CAST(id AS BIGINT) AS id, CAST(length(text) AS BIGINT) AS n, sha256(text) AS digest FROM u""",
+  SELECT 'turn', conv_id * 100000 + turn, '  "' || text || '"' || chr(13) || chr(10) || ' ', NULL FROM conversations
+  UNION ALL SELECT 'event', event_id, event_type, CAST(ts AS TIMESTAMP) FROM events
+  UNION ALL SELECT 'null', n_nationkey, NULL, NULL FROM nation
+  UNION ALL SELECT 'empty', n_nationkey, '', NULL FROM nation
+  UNION ALL SELECT 'marker', n_nationkey, repeat(chr(92), CAST(n_nationkey + 1 AS BIGINT)) || 'N', NULL FROM nation)
+SELECT kind, CAST(id AS BIGINT) AS id, CAST(length(text) AS BIGINT) AS n, sha256(text) AS digest, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM t""",
 
     "forecast_gbt_global": f"""WITH {YEARLY_ALL}
 SELECT year, total, CAST((SELECT MAX_BY(t.total, t.year) FROM yearly t
                           WHERE t.year <= LEAST(yearly.year, {q.GBT_TRAIN_UNTIL})) AS DECIMAL(38,4)) AS prediction
 FROM yearly""",
 
-    "chart_data_export": f"""WITH {GOLD_ALL}
-SELECT CAST(year(month) AS VARCHAR) || '-Q' || CAST(quarter(month) AS VARCHAR) AS period,
-       CAST(SUM(international) AS BIGINT) AS international, CAST(SUM(domestic) AS BIGINT) AS domestic,
-       CAST(SUM(total) AS BIGINT) AS total
-FROM gold_all GROUP BY 1""",
+    "chart_data_export": f"""WITH {GOLD_ALL},
+q AS (SELECT CAST(year(month) AS VARCHAR) || '-Q' || CAST(quarter(month) AS VARCHAR) AS period,
+             CAST(SUM(international) AS BIGINT) AS international, CAST(SUM(domestic) AS BIGINT) AS domestic,
+             CAST(SUM(total) AS BIGINT) AS total
+      FROM gold_all GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY period) AS position FROM q""",
+
+    "rollup_grains": f"""WITH {ORDERS_MARKET},
+m AS (SELECT r_name, {MONTH} AS month, CAST(year(o_orderdate) AS VARCHAR) || '-Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS period,
+             CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM om)
+SELECT 'month' AS grain, r_name, month, CAST(NULL AS VARCHAR) AS period, CAST(NULL AS INTEGER) AS year, COUNT(*) AS n_orders,
+       CAST(SUM(price) AS DECIMAL(38,2)) AS revenue FROM m GROUP BY 2, 3
+UNION ALL SELECT 'quarter', r_name, NULL, period, NULL, COUNT(*), CAST(SUM(price) AS DECIMAL(38,2)) FROM m GROUP BY r_name, period
+UNION ALL SELECT 'year', r_name, NULL, NULL, year, COUNT(*), CAST(SUM(price) AS DECIMAL(38,2)) FROM m GROUP BY r_name, year""",
+
+    "csv_rejects": f"""WITH s AS (SELECT o_orderpriority, {MONTH} AS month, COUNT(*) AS orders FROM orders GROUP BY 1, 2),
+t AS (SELECT *, orders % 10 AS digit, strftime(month, '%B %Y') AS good FROM s),
+u AS (SELECT month, orders, digit,
+             CASE WHEN digit IN (1, 3) THEN strftime(month, '%Y/%m') WHEN digit = 5 THEN '' ELSE good END AS m,
+             CASE WHEN digit IN (2, 3) THEN 'n/a' WHEN digit = 7 THEN '' ELSE CAST(orders AS VARCHAR) END AS v FROM t)
+SELECT 'row' AS kind, month, orders, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS reason, TRUE AS from_file
+FROM u WHERE digit NOT IN (1, 2, 3, 5, 7)
+UNION ALL
+SELECT 'reject', NULL, NULL, CASE WHEN digit = 5 THEN ',' || v WHEN digit = 7 THEN m || ',' ELSE '"' || m || '","' || v || '"' END,
+       CASE digit WHEN 1 THEN 'unparsable period' WHEN 2 THEN 'unparsable value' WHEN 3 THEN 'unparsable period and value'
+                  WHEN 5 THEN 'period' ELSE 'value' END, TRUE
+FROM u WHERE digit IN (1, 2, 3, 5, 7)
+UNION ALL
+SELECT 'reject', NULL, NULL, 'SOURCE: ' || o_orderpriority || ', months', 'unparsable period and value', TRUE
+FROM (SELECT DISTINCT o_orderpriority FROM orders)""",
+
+    "calendar_gaps_all": f"""WITH m AS (SELECT * FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+s AS (SELECT CAST(c_nationkey AS VARCHAR) || ' ' || o_orderpriority || ' ' || o_orderstatus AS series, {MONTH} AS month FROM m
+      UNION SELECT c_mktsegment, {MONTH} FROM m),
+b AS (SELECT series, MIN(month) AS lo, MAX(month) AS hi FROM s GROUP BY 1),
+spine AS (SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM b)
+SELECT series, month FROM spine ANTI JOIN s USING (series, month)""",
+
+    "forecast_elastic_net": f"""WITH {ORDERS_MARKET},
+s AS (SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, COUNT(*) AS n_orders
+      FROM om GROUP BY 1, 2, 3),
+m AS (SELECT r_name, AVG(CAST(year AS DOUBLE)) AS m1, AVG(CAST(quarter AS DOUBLE)) AS m2, AVG(CAST(n_orders AS DOUBLE)) AS my,
+             STDDEV_POP(CAST(year AS DOUBLE)) AS s1, STDDEV_POP(CAST(quarter AS DOUBLE)) AS s2, STDDEV_POP(CAST(n_orders AS DOUBLE)) AS sy,
+             COVAR_POP(CAST(year AS DOUBLE), CAST(quarter AS DOUBLE)) AS c12,
+             COVAR_POP(CAST(year AS DOUBLE), CAST(n_orders AS DOUBLE)) AS c1y, COVAR_POP(CAST(quarter AS DOUBLE), CAST(n_orders AS DOUBLE)) AS c2y
+      FROM s WHERE year <= {q.QUARTER_TRAIN_UNTIL} GROUP BY 1),
+k AS (SELECT *, c12 / (s1 * s2) AS r, c1y / (s1 * sy) AS b1, c2y / (s2 * sy) AS b2, 1 + {q.RIDGE!r} / sy AS d FROM m),
+w AS (SELECT r_name, m1, m2, my, (b1 * d - r * b2) / (d * d - r * r) * sy / s1 AS w1, (b2 * d - r * b1) / (d * d - r * r) * sy / s2 AS w2 FROM k)
+SELECT s.r_name, s.year, s.quarter, s.n_orders,
+       CAST(round(my + w1 * (s.year - m1) + w2 * (s.quarter - m2), {q.SCORE_DIGITS}) AS DECIMAL(38,4)) AS prediction
+FROM s JOIN w ON s.r_name = w.r_name""",
+
+    "forecast_gbt_indexed": f"""WITH {_SEASONAL}
+SELECT r_name, year, quarter, label, CAST(label AS DECIMAL(38,4)) AS prediction FROM l""",
+
+    "score_saved_model": f"""WITH {_SEASONAL},
+years AS (SELECT CAST(g AS INTEGER) AS year FROM generate_series({q.SCORE_YEARS[0]}, {q.SCORE_YEARS[1]}) t(g)),
+t AS (SELECT CAST(year(month) AS INTEGER) AS year, CAST(SUM(total) AS BIGINT) AS total FROM gold_all GROUP BY 1)
+SELECT 'total' AS model, CAST(NULL AS VARCHAR) AS r_name, year, CAST(NULL AS INTEGER) AS quarter,
+       CAST((SELECT MAX_BY(total, t.year) FROM t WHERE t.year <= {q.GBT_TRAIN_UNTIL}) AS DECIMAL(38,4)) AS prediction, TRUE AS same
+FROM years
+UNION ALL
+SELECT 'region', r_name, years.year, quarter, CAST(label AS DECIMAL(38,4)), TRUE
+FROM years, (SELECT DISTINCT r_name, quarter, label FROM l) d""",
 
     "chart_descriptor": f"""WITH {YEARLY_ALL},
 b AS (SELECT MIN(year) AS lo, MAX(year) AS hi FROM yearly)

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators.columns import column_bounds, with_headers, with_metadata_all
-from ..operators.forecast import forecast_gbt, forecast_linear, future_points, rmse
-from ..operators.impute import calendar_gaps, impute_year
+from ..operators.forecast import (fit_gbt, forecast_elastic_net, forecast_gbt, forecast_linear, future_points, load_gbt,
+                                  rmse)
+from ..operators.impute import calendar_gaps, calendar_gaps_all, impute_year
 from ..operators.series import (before_filter, between_filter, combine_series, count_where,
-                                drop_columns, global_sums, known_until, latest, require_not_null,
-                                rollup_series, sorted_series, split_label, union_series, with_total)
+                                drop_columns, global_sums, grain_of, known_until, latest, require_not_null,
+                                rollup_grains, rollup_series, sorted_series, split_label, union_series, with_total)
 from ..session import materialize, scratch_path
 from ..sources.csv import read_series_csv, read_table_csv, write_series_csv
 from ..sources.publish import publish_chart, read_chart
@@ -247,7 +248,7 @@ def q_train_test_split(spark, sf):
 
 
 def q_sorted_series(spark, sf):
-    return sorted_series(q_monthly_rollup(spark, sf).select("r_name", "month", "n_orders"), "r_name", "month")
+    return sorted_series(q_monthly_rollup(spark, sf).select("r_name", "month", "n_orders"), "r_name", "month", position="position")
 
 
 def q_latest_n(spark, sf):
@@ -321,28 +322,36 @@ def q_chart_data_export(spark, sf):
     out = scratch_path(spark, "charts")
     publish_chart(chart, out, "orders-per-quarter", order_by=["period"], title="Orders per quarter",
                   x_title="Period from {min} to {max}", y_title="Orders", bounds_col="period")
-    data, _ = read_chart(spark, out, "orders-per-quarter", schema=chart.schema)
+    data, _ = read_chart(spark, out, "orders-per-quarter", schema=chart.schema, position="position")
     return data
 
 
 def q_chart_text_roundtrip(spark, sf):
-    """Whole texts (line breaks, quotes, outer blanks, empty and NULL) through a chart's CSV."""
-    text = (driver_table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
-            .unionByName(driver_table(spark, sf, "conversations").select(
-                F.lit("turn").alias("kind"), (F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
-                F.concat(F.lit('  "'), F.col("text"), F.lit('"\r\n ')).alias("text"))))
-    text = text.withColumn("text", F.when(F.col("id") % 7 == 3, F.lit("")).when(F.col("id") % 7 == 5, F.lit(None))
-                           .otherwise(F.col("text")))
+    """Whole texts (line breaks, quotes, outer blanks) and times of events through a chart's CSV, with rows of other kinds for
+    what CSV can't tell apart by itself: NULL, empty texts and texts like the NULL marker."""
+    time = F.lit(None).cast("timestamp_ntz")
+    docs = driver_table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text", time.alias("ts"))
+    turns = driver_table(spark, sf, "conversations").select(
+        F.lit("turn").alias("kind"), (F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
+        F.concat(F.lit('  "'), F.col("text"), F.lit('"\r\n ')).alias("text"), time.alias("ts"))
+    events = driver_table(spark, sf, "events").select(
+        F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    odd = driver_table(spark, sf, "nation").select(F.explode(F.array(
+        F.struct(F.lit("null").alias("kind"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("empty").alias("kind"), F.lit("").alias("text")),
+        F.struct(F.lit("marker").alias("kind"), F.concat(F.repeat(F.lit("\\"), F.col("n_nationkey") + 1), F.lit("N")).alias("text")))).alias("o"),
+        F.col("n_nationkey").cast("bigint").alias("id")).select("o.kind", "id", "o.text", time.alias("ts"))
+    text = docs.unionByName(turns).unionByName(events).unionByName(odd)
     out = scratch_path(spark, "charts")
     publish_chart(text, out, "texts", order_by=["kind", "id"])
     data, _ = read_chart(spark, out, "texts", schema=text.schema)
-    return data.select("kind", "id", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"))
+    return data.select("kind", "id", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"),
+                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 CHART_TITLE = "Orders per year"
 CHART_X_TITLE = "Year {min} - {max}"
 CHART_Y_TITLE = "Orders (count)"
-CHART_HEADERS = {"year": "Year", "international": "International orders",
+CHART_HEADERS = {"month": "Month", "international": "International orders",
                  "domestic": "Domestic orders", "total": "Orders"}
 
 
@@ -350,8 +359,10 @@ CHART_SOURCE = "orders"
 
 
 def q_chart_descriptor(spark, sf):
+    """Headers are set once, on the monthly series; the yearly chart's descriptor has them from there."""
     # one entry on every column first, then headers merged on top (both kept in the descriptor)
-    chart = with_headers(with_metadata_all(yearly_gold(spark, sf), "source", CHART_SOURCE), CHART_HEADERS)
+    monthly = with_headers(with_metadata_all(gold_monthly(spark, sf, cutoff=None), "source", CHART_SOURCE), CHART_HEADERS)
+    chart = rollup_series(monthly, "month", "year", MEASURES3)
     out = scratch_path(spark, "charts")
     publish_chart(chart, out, "orders-per-year", order_by=["year"], title=CHART_TITLE,
                   x_title=CHART_X_TITLE, y_title=CHART_Y_TITLE, bounds_col="year")
@@ -420,14 +431,19 @@ def q_forecast_imputed_horizons(spark, sf):
 DASHBOARD = ("month", "quarter", "year")
 
 
+def dashboard_grains(spark: SparkSession, sf: str) -> DataFrame:
+    """All three grains of the gold series from one aggregate (grouping sets over its months)."""
+    return rollup_grains(gold_monthly(spark, sf, cutoff=None), "month", DASHBOARD, MEASURES3)
+
+
 def q_chart_dashboard(spark, sf):
     """One gold table, three charts (month, quarter, year), each its own bundle; the bundles are
     read back and summarised as (chart, rows, orders)."""
-    gold = materialize(gold_monthly(spark, sf, cutoff=None))      # read by three charts: computed once
+    grains = materialize(dashboard_grains(spark, sf))      # read by three charts: computed once
     out = scratch_path(spark, "dashboard")
     summaries = []
     for grain in DASHBOARD:
-        chart = gold if grain == "month" else rollup_series(gold, "month", grain, MEASURES3)
+        chart = grain_of(grains, grain)
         key = chart.columns[0]
         publish_chart(chart, out, f"orders-per-{grain}", order_by=[key], title=f"Orders per {grain}",
                       x_title="From {min} to {max}", bounds_col=key)
@@ -440,6 +456,62 @@ def q_chart_dashboard(spark, sf):
     return result
 
 
+def q_rollup_grains(spark, sf):
+    """Orders and revenue per region in months, quarters and years, from one aggregate."""
+    return rollup_grains(orders_market(spark, sf), "o_orderdate", DASHBOARD,
+                         {"n_orders": F.count(F.lit(1)), "revenue": money_sum("o_totalprice")}, keys=["r_name"])
+
+
+def q_csv_rejects(spark, sf):
+    """Monthly counts per priority as CSV files in which some months, some numbers and some of both are unreadable, some cells are
+    empty, and which end in a source line: the lines the reader accepts and those it rejects, with the reason."""
+    series = materialize(rollup_series(driver_table(spark, sf, "orders"), "o_orderdate", "month", {"orders": F.count(F.lit(1))},
+                                       keys=["o_orderpriority"]))
+    # the last digit of a count says what becomes of its line
+    digit, good = F.col("orders") % 10, F.date_format("month", "MMMM yyyy")
+    month = F.when(digit.isin(1, 3), F.date_format("month", "yyyy/MM")).when(digit == 5, F.lit("")).otherwise(good)
+    number = F.when(digit.isin(2, 3), F.lit("n/a")).when(digit == 7, F.lit("")).otherwise(F.col("orders").cast("string"))
+    body = series.select(F.lit(1).alias("at"), F.concat(F.lit('"'), month, F.lit('","'), number, F.lit('"')).alias("value"))
+    foot = series.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(2).alias("at"), F.explode(F.array(F.lit(""), F.concat(F.lit("SOURCE: "), "o_orderpriority", F.lit(", months")))).alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("at"), F.lit("month,orders").alias("value"))
+    path = scratch_path(spark, "csv-rejects")
+    # some hundred lines: one file, the header first
+    head.union(body).union(foot).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    rows, rejects = read_series_csv(spark, path, value_name="orders", value_type=LongType(), rejects=True)
+    return rows.select(F.lit("row").alias("kind"), "month", "orders", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("reason"),
+                       F.lit(True).alias("from_file")).unionByName(rejects.select(
+                           F.lit("reject").alias("kind"), F.lit(None).cast("date").alias("month"), F.lit(None).cast("bigint").alias("orders"),
+                           "line", "reason", F.col("file").contains("csv-rejects").alias("from_file")))
+
+
+def q_calendar_gaps_all(spark, sf):
+    """Months without an order between the first and the last of each nation and priority, over all years, and none for
+    segments, which order every month."""
+    market = driver_table(spark, sf, "orders").join(driver_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    fine = F.concat_ws(" ", F.col("c_nationkey").cast("string"), "o_orderpriority", "o_orderstatus")
+    series = market.select(F.explode(F.array(fine, "c_mktsegment")).alias("series"), "o_orderdate")
+    return calendar_gaps_all(series, "o_orderdate", ["series"])
+
+
+QUARTER_TRAIN_UNTIL = 1999
+RIDGE = 50.0
+
+
+def region_quarters(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders per region and quarter, with year and quarter as numbers."""
+    q = rollup_series(orders_market(spark, sf), "o_orderdate", "quarter", {"n_orders": F.count(F.lit(1))}, keys=["r_name"])
+    return q.select("r_name", F.substring("period", 1, 4).cast("int").alias("year"), F.substring("period", 7, 1).cast("int").alias("quarter"), "n_orders")
+
+
+def q_forecast_elastic_net(spark, sf):
+    """Two features, one model a region: ridge and elastic net from the same moments, scored on every quarter."""
+    series = region_quarters(spark, sf)
+    train = F.col("year") <= QUARTER_TRAIN_UNTIL
+    ridge = forecast_elastic_net(series, ["year", "quarter"], "n_orders", ["r_name"], train, reg=RIDGE, alpha=0.0)
+    return ridge.withColumn("prediction", score(F.col("prediction")))
+
+
 def q_forecast_gbt(spark, sf):
     scored, _ = forecast_gbt(region_yearly(spark, sf), "year", "n_orders", GBT_TRAIN_UNTIL, keys=["r_name"])
     return scored.withColumn("prediction", score(F.col("prediction")))
@@ -452,6 +524,49 @@ def q_forecast_gbt_global(spark, sf):
     return scored.withColumn("prediction", score(F.col("prediction")))
 
 
+SEASONAL_FEATURES = ["quarter"]
+
+
+def seasonal_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Per region, year and quarter the product of all orders of the region and all orders of the quarter: a label of which a
+    tree has to find that it depends on the quarter alone, in every region on another scale."""
+    cells = materialize(region_quarters(spark, sf))
+    by_region = cells.groupBy("r_name").agg(F.sum("n_orders").alias("of_region"))
+    by_quarter = cells.groupBy("quarter").agg(F.sum("n_orders").alias("of_quarter"))
+    return cells.join(by_region, "r_name").join(by_quarter, "quarter").select(
+        "r_name", "year", "quarter", (F.col("of_region") * F.col("of_quarter")).alias("label"))
+
+
+def q_forecast_gbt_indexed(spark, sf):
+    """Trees on an indexed category: four values of the quarter, one split chain, every region on its own scale. The label
+    is the same in all years, so the prediction must be the label itself, in the years after the training too."""
+    scored, _ = forecast_gbt(seasonal_series(spark, sf), "year", "label", GBT_TRAIN_UNTIL, keys=["r_name"], features=SEASONAL_FEATURES)
+    return scored.withColumn("prediction", score(F.col("prediction")))
+
+
+SCORE_YEARS = (2017, 2021)
+
+
+def q_score_saved_model(spark, sf):
+    """Two models fitted, saved, loaded and scored on chosen years: one series, and one of all regions' series with their
+    scales. ``same``: the loaded model gives what the fitted one gives."""
+    years = spark.range(SCORE_YEARS[0], SCORE_YEARS[1] + 1).select(F.col("id").cast("int").alias("year"))
+    total = materialize(yearly_gold(spark, sf).select("year", "total"))
+    seasonal = materialize(seasonal_series(spark, sf))
+    keyed = (driver_table(spark, sf, "region").select("r_name", F.explode(F.sequence(F.lit(SCORE_YEARS[0]), F.lit(SCORE_YEARS[1]))).alias("year"))
+             .select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter")))
+    out = []
+    for name, fitted, table in (("total", fit_gbt(total, "year", "total", GBT_TRAIN_UNTIL), years),
+                                ("region", fit_gbt(seasonal, "year", "label", GBT_TRAIN_UNTIL, keys=["r_name"], features=SEASONAL_FEATURES), keyed)):
+        path = scratch_path(spark, f"model-{name}")
+        fitted.save(path)
+        both = load_gbt(spark, path).score(fitted.score(table, "fitted"), "loaded")
+        out.append(both.select(F.lit(name).alias("model"), (F.col("r_name") if name == "region" else F.lit(None).cast("string")).alias("r_name"), "year",
+                               (F.col("quarter") if name == "region" else F.lit(None).cast("int")).alias("quarter"),
+                               score(F.col("loaded")).alias("prediction"), F.col("loaded").eqNullSafe(F.col("fitted")).alias("same")))
+    return out[0].unionByName(out[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "combine_monthly": q_combine_monthly,
     "outer_join_series": q_outer_join_series,
@@ -490,4 +605,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "impute_gold_all": q_impute_gold_all,
     "forecast_imputed_horizons": q_forecast_imputed_horizons,
     "chart_dashboard": q_chart_dashboard,
+    "rollup_grains": q_rollup_grains,
+    "csv_rejects": q_csv_rejects,
+    "calendar_gaps_all": q_calendar_gaps_all,
+    "forecast_elastic_net": q_forecast_elastic_net,
+    "forecast_gbt_indexed": q_forecast_gbt_indexed,
+    "score_saved_model": q_score_saved_model,
 }

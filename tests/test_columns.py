@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from seriesforge import (bounds, column_bounds, column_metadata, rollup_series, with_headers,
                          with_metadata, with_metadata_all)
@@ -33,12 +34,13 @@ def test_metadata_all_columns(spark):
     assert all(f.metadata == {"source": "bts"} for f in df.schema.fields)
 
 
-def test_metadata_survives_rename_filter_sort_but_not_aggregates(spark):
+def test_metadata_survives_rename_filter_sort_and_roll_ups_but_not_other_aggregates(spark):
     df = with_headers(frame(spark), {"pax": "Passengers", "month": "Month"})
     kept = df.withColumnRenamed("pax", "p").filter("p > 0").orderBy("month")
     assert column_metadata(kept, "p") == {"header": "Passengers"}
     agg = rollup_series(df, "month", "year", {"pax": "pax"})
-    assert column_metadata(agg, "pax") == {}
+    assert column_metadata(agg, "pax") == {"header": "Passengers"} and column_metadata(agg, "year") == {"header": "Year"}
+    assert column_metadata(df.agg(F.sum("pax").alias("pax")), "pax") == {}
 
 
 def test_name_resolution(spark):

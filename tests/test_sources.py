@@ -140,3 +140,73 @@ def test_failed_save_leaves_the_old_version(spark, workdir):
     with pytest.raises(Exception):
         save_table(broken, path)
     assert load_table(spark, path).collect()[0].v == 10
+
+
+def test_copied_and_moved_tables_stand_on_their_own(spark, workdir):
+    import shutil
+    g, copy, moved = (os.path.join(workdir, n) for n in ("g", "my copy", "moved"))
+    save_table(spark.createDataFrame([(1, 10)], "k int, v int"), g)
+    save_table(load_table(spark, g).withColumn("v", F.lit(11)), g)
+    shutil.copytree(g, copy)
+    save_table(load_table(spark, copy).withColumn("v", F.lit(99)), copy, keep=1)
+    assert load_table(spark, g).first().v == 11 and load_table(spark, copy).first().v == 99
+    assert len([x for x in os.listdir(g) if x.startswith("v")]) == 2          # nothing of the original went
+    os.rename(g, moved)
+    assert load_table(spark, moved).first().v == 11
+    save_table(load_table(spark, moved).withColumn("v", F.col("v") + 1), moved, keep=1)
+    assert load_table(spark, moved).first().v == 12 and load_table(spark, copy).first().v == 99
+
+
+def test_two_saves_from_one_version_keep_both_changes_apart(spark, workdir):
+    from seriesforge import ConcurrentSaveError, table_version
+    path = os.path.join(workdir, "gold")
+    save_table(spark.createDataFrame([(1, 0)], "k int, v int"), path)
+    a, b = (load_table(spark, path).withColumn("v", F.col("v") + n) for n in (1, 10))
+    base = table_version(spark, path)
+    save_table(a, path)
+    with pytest.raises(ConcurrentSaveError):
+        save_table(b, path)                                  # planned on a version that is not the newest any more
+    assert load_table(spark, path).first().v == 1
+    with pytest.raises(ConcurrentSaveError):
+        save_table(b.checkpoint(), path, based_on=base)      # its input files can't be seen, the caller says it
+    save_table(load_table(spark, path).withColumn("v", F.col("v") + 10), path)
+    assert load_table(spark, path).first().v == 11
+    save_table(spark.createDataFrame([(1, 5)], "k int, v int"), path)         # builds on nothing: a plain overwrite
+    assert load_table(spark, path).first().v == 5
+
+
+def test_writers_at_the_same_time_claim_one_number(spark, workdir):
+    from seriesforge import ConcurrentSaveError
+    root = os.path.join(workdir, "t")
+    one, two, three = (versions.begin(spark, root) for _ in range(3))
+    for claim, v in ((one, 1), (two, 2), (three, 3)):
+        spark.range(v).write.parquet(claim.path)
+    versions.publish(spark, one)
+    with pytest.raises(ConcurrentSaveError):
+        versions.publish(spark, two)
+    assert not os.path.exists(two.path) and versions.newest(spark, root) == one.path
+    versions.publish(spark, three, retry=True)               # takes the next number
+    assert versions.newest(spark, root) == three.path and load_table(spark, root).count() == 3
+
+
+def test_pointers_name_versions_of_their_root_only(spark, workdir):
+    root = os.path.join(workdir, "t")
+    save_table(spark.range(2), root)
+    write(os.path.join(root, "_versions", "0000000007"), "../elsewhere")
+    with pytest.raises(ValueError):
+        load_table(spark, root)
+    write(os.path.join(root, "_versions", "0000000007"), "")                  # a writer died while claiming
+    assert load_table(spark, root).count() == 2
+    save_table(spark.range(5), root)
+    assert load_table(spark, root).count() == 5 and "0000000008" in os.listdir(os.path.join(root, "_versions"))
+
+
+def test_error_mode_sees_a_plain_folder(spark, workdir):
+    path = os.path.join(workdir, "plain")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(FileExistsError):
+        save_table(spark.range(1), path, mode="error")
+    assert load_table(spark, path).count() == 3
+    fresh = os.path.join(workdir, "fresh")
+    save_table(spark.range(1), fresh, mode="error")
+    assert load_table(spark, fresh).count() == 1
