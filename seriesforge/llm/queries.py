@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, digest, licenses, lines, mixing, pieces, pii, pivots, repair, shingles, suffixes, toxicity, whitening
-from .oracle import ORACLE, WEIGHTS  # noqa: F401
+from .oracle import LONG_LINE, ORACLE, WEIGHTS  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +54,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    out = lines.line_dedup(table(spark, sf_dir, "documents"), alone=LONG_LINE)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
                       F.col("n_deleted").cast("long").alias("n_deleted"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.source_weights(docs, WEIGHTS), complete=True)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The deduplicating operators against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,31 +176,36 @@ def test_posterior_bound():
     assert least == sorted(least) and least[0] < 5 and 15 < least[-1] < 40
 
 
-def brute_lines(rows, run=2):
+def brute_lines(rows, run=2, alone=None):
+    """Every run of ``run`` lines, and every line of ``alone`` words or more, that stands earlier goes."""
     seqs, first = [], {}
     for d, t in rows:
         s = [(i, x.strip(" \t\r")) for i, x in enumerate((t or "").split("\n"))]
         seqs.append([x for x in s if x[1]])
+
+    def windows(s):
+        yield from (s[j:j + run] for j in range(len(s) - run + 1))
+        yield from ([x] for x in s if alone is not None and len(re.split("[ \t\n\x0b\f\r]+", x[1])) >= alone)
     for (d, _), s in sorted(zip(rows, seqs), key=lambda r: (r[0][0] is None, r[0][0] or 0)):
-        for j in range(len(s) - run + 1) if d is not None else ():
-            key = tuple(x[1] for x in s[j:j + run])
-            first[key] = min(first.get(key, (d, s[j][0])), (d, s[j][0]))
+        for w in windows(s) if d is not None else ():
+            key = tuple(x[1] for x in w)
+            first[key] = min(first.get(key, (d, w[0][0])), (d, w[0][0]))
     out = []
     for (d, t), s in zip(rows, seqs):
         gone = set()
-        for j in range(len(s) - run + 1) if d is not None else ():
-            if first[tuple(x[1] for x in s[j:j + run])] < (d, s[j][0]):
-                gone |= {x[0] for x in s[j:j + run]}
+        for w in windows(s) if d is not None else ():
+            if first[tuple(x[1] for x in w)] < (d, w[0][0]):
+                gone |= {x[0] for x in w}
         out.append((d, len(gone), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)))
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_lines_against_brute_force(spark, run):
+@pytest.mark.parametrize("run,alone", [(1, None), (2, None), (3, None), (2, 3), (2, 20), (3, 8)])
+def test_lines_against_brute_force(spark, run, alone):
     rows = helpers.corpus()
     rows += [[900, "p q\nr s\n\nt u\np q\nr s"], [901, "v\n p q \nr s\t\nt u\r\nw"], [902, "same\nsame\nsame\nsame"]]
-    got = lines.line_dedup(helpers.frame(spark, rows), run=run, carry=["source"]).collect()
-    assert Counter((r["doc_id"], r["n_deleted"], r["kept"]) for r in got) == Counter(brute_lines(rows, run))
+    got = lines.line_dedup(helpers.frame(spark, rows), run=run, carry=["source"], alone=alone).collect()
+    assert Counter((r["doc_id"], r["n_deleted"], r["kept"]) for r in got) == Counter(brute_lines(rows, run, alone))
     assert lines.line_dedup(helpers.empty(spark)).count() == 0
 
 
@@ -259,3 +265,80 @@ def test_components_of_chains_and_stars(spark):
     rng.shuffle(edges)
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 560)}, 1: 1, 2: 1}
+
+
+def equal_byte_pairs(window):
+    return sum(n * (n - 1) // 2 for n in Counter(window).values())
+
+
+def brute_features(text, rank):
+    """The selected windows of one text, in order."""
+    if len(text) < digest.WINDOW:
+        return [text] if text else []
+    score = [(rank[equal_byte_pairs(text[i:i + 64])], i) for i in range(len(text) - 63)]
+    picked = [min(score[i:i + 64]) for i in range(len(score) - 63)]             # the rarest of every stretch
+    runs = []
+    for _, at in picked:
+        if runs and runs[-1][0] == at:
+            runs[-1][1] += 1
+        else:
+            runs.append([at, 1])
+    chosen = {at for at, n in runs if n >= digest.POPULAR} | {min(score)[1]}
+    return [text[i:i + 64] for i in sorted(chosen)]
+
+
+def test_digest_selection_and_rarity_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = [t for _, t in helpers.corpus(seed=3, n=24)] + ["", "a", "ab" * 31, "ab" * 32, "ab" * 33, "x" * 63, "x" * 64, "x" * 200,
+                                                            helpers.prose(rng, 60), "é" * 100, "".join(chr(rng.randrange(32, 127)) for _ in range(700))]
+    df = helpers.frame(spark, list(enumerate(texts))).repartition(5)
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(equal_byte_pairs(t[i:i + 64]) for t in raw for i in range(len(t) - 63))
+    order = sorted(range(digest.PAIRS + 1), key=lambda p: (seen[p], p))
+    rank = digest.rarity(df)
+    assert [order.index(p) for p in range(digest.PAIRS + 1)] == rank.tolist()
+    # all texts in one buffer, and each alone: the neighbours in a buffer make no difference
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+    hashes, doc = digest.features(np.frombuffer(b"".join(raw), np.uint8), starts, rank)
+    want = [brute_features(t, rank) for t in raw]
+    window_of = {}
+    for d, t in enumerate(raw):
+        own = hashes[doc == d].tolist()
+        assert len(own) == len(want[d])
+        alone, _ = digest.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rank)
+        assert alone.tolist() == own
+        for h, w in zip(own, want[d]):
+            assert window_of.setdefault(h, w) == w                   # equal hashes, equal windows
+    assert len(window_of) == len({w for ws in want for w in ws})     # and the other way round
+    # filters: at most 160 different features each, the bits of each feature set, none besides
+    for d in range(len(raw)):
+        bits, count = digest.digest(hashes[doc == d])
+        distinct = list(dict.fromkeys(hashes[doc == d].tolist()))
+        assert count.tolist() == [len(distinct[i:i + digest.PER_FILTER]) for i in range(0, len(distinct), digest.PER_FILTER)]
+        for i, row in enumerate(bits):
+            part = distinct[i * digest.PER_FILTER:(i + 1) * digest.PER_FILTER]
+            assert set(np.flatnonzero(row)) == {(h >> 11 * k) & (digest.BITS - 1) for h in part for k in range(digest.PROBES)}
+        back = digest.decoded(digest.encoded((bits, count)))
+        assert (back[0] == bits).all() and (back[1] == count).all()
+
+
+def test_likeness_recomputed(spark):
+    rng = np.random.default_rng(6)
+    made = [digest.digest(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 40, 160, 161, 500)]
+    shared = digest.digest(np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    half = digest.digest(np.arange(1, 150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for a in [*made, shared, half]:
+        for b in [*made, shared, half]:
+            got = digest.likeness(a, b)
+            assert 0 <= got <= 1 and abs(got - digest.likeness(b, a)) < 1e-9 or len(a[1]) == len(b[1])
+            if len(a[1]) and len(b[1]) and a is not b:
+                small, large = (a, b) if len(a[1]) <= len(b[1]) else (b, a)
+                total = 0.0
+                for x, n in zip(*small):
+                    best = 0.0
+                    for y in large[0]:
+                        both, nx, ny = int((x & y).sum()), int(x.sum()), int(y.sum())
+                        best = max(best, min(1.0, (both - nx * ny / digest.BITS) / max(min(nx, ny) - nx * ny / digest.BITS, 1e-9)))
+                    total += best * n
+                assert abs(got - total / small[1].sum()) < 1e-6
+    assert digest.likeness(shared, half) > 0.9 and digest.likeness(made[0], made[0]) == 1 and digest.likeness(made[0], made[3]) == 0

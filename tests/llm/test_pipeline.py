@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from seriesforge.llm import common, mixing
-from seriesforge.llm.queries import QUERIES, WEIGHTS
+from seriesforge.llm.queries import LONG_LINE, QUERIES, WEIGHTS
 
 from . import helpers
 from .test_dedup import brute_lines, jaccard_links
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark):
         assert name == "bpe" or docs.columns == columns
     raw, clean, lines, near, mixed, ids = seen
     assert len(clean) >= 0.85 * len(raw) and {r["doc_id"] for r in clean} <= {r["doc_id"] for r in raw}
-    want = Counter((d, k) for d, n, k in brute_lines([(r["doc_id"], r["text"]) for r in clean]) if n == 0 or k.strip(" \t\r\n"))
+    want = Counter((d, k) for d, n, k in brute_lines([(r["doc_id"], r["text"]) for r in clean], alone=LONG_LINE) if n == 0 or k.strip(" \t\r\n"))
     assert Counter((r["doc_id"], r["text"]) for r in lines) == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
     rows = sorted((r["doc_id"], r["text"]) for r in lines)
@@ -45,7 +45,8 @@ def test_stages_against_brute_force(spark):
             gone.add(rows[max(a, b)][0])
     assert {r["doc_id"] for r in near} == {d for d, _ in rows} - gone
     assert Counter(map(tuple, mixed)) == Counter(map(tuple, near))
-    order = {r["doc_id"]: r["position"] for r in mixing.mix(spark.createDataFrame(near), WEIGHTS).collect()}
+    order = {r["doc_id"]: r["position"] for r in mixing.mix(
+        spark.createDataFrame(near), mixing.source_weights(spark.createDataFrame(near), WEIGHTS), complete=True).collect()}
     assert [r["doc_id"] for r in mixed] == sorted(order, key=order.get)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(corpus_pipeline.VOCABULARY, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -71,7 +72,7 @@ def test_stages_with_odd_rows_and_clashing_columns(spark, n_rows):
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert {*QUERIES, "pipeline"} <= set(names)
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     for name in ("op2_improbable_digest", "op4_suffix_dedup", "op5_pii", "op7_toxicity", "op8_line_dedup", "op9_pfair_mix"):
         assert QUERIES[name](spark, SMALL).count() == n

@@ -87,6 +87,93 @@ def test_differing_words_decide_on_licenses(spark):
     assert {(r["doc_id"], r["license"]) for r in got if r["confirmed"]} == set(enumerate(lines))
 
 
+EPL = "SPDX-License-Identifier: EPL-2.0"
+
+
+def test_notices_as_they_stand_in_files(spark):
+    """Wrapped, commented and tagged notices; whole texts as published, at 76 columns."""
+    import textwrap
+    whole = dict(licenses.whole_texts())
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 76))
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+           "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    cases = [("BSD-3-Clause", wrap(whole["BSD-3-Clause"])), ("BSD-2-Clause", wrap(whole["BSD-2-Clause"])), ("GPL-3.0", wrap(gpl, "# ")),
+             ("GPL-3.0", "/*\n" + wrap(gpl, " * ") + "\n */"), ("Apache-2.0", "Licensed under the Apache License,\nVersion 2.0."),
+             ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"), ("EPL-2.0", EPL), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0"), ("LGPL-2.1", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"),
+             ("EPL-2.0", "Eclipse Public License 2.0"), ("MIT", wrap(whole["MIT"], "// ")), ("ISC", wrap(whole["ISC"], "-- ")),
+             (None, "SPDX-License-Identifier: Sleepycat-9.1"), ("Apache-2.0", "prose of nothing at all\n" + wrap(licenses.TEMPLATES["Apache-2.0"][48:440], ";; ") + "\nmore prose")]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)]
+    got = licenses.license_scan(helpers.frame(spark, rows)).collect()
+    named = {}
+    for r in got:
+        if r["confirmed"]:
+            named.setdefault(r["doc_id"], set()).add(r["license"])
+    assert named == {i: {k} for i, (k, _) in enumerate(cases) if k}
+    assert not [r for r in got if r["doc_id"] == 13 and r["license"]]         # an unknown license is not named
+    assert "prose" not in " ".join(r["block"] for r in got if r["doc_id"] == 14)
+
+
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_whole_texts_are_found_and_nothing_else(spark, mark):
+    from pathlib import Path
+    files = sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    rows = [(i, "\n".join(mark + x for x in p.read_text(encoding="utf-8").splitlines())) for i, p in enumerate(files)]
+    got = licenses.license_scan(helpers.frame(spark, rows).repartition(len(rows))).collect()
+    for i, p in enumerate(files):
+        own = [r["license"] for r in got if r["doc_id"] == i and r["confirmed"]]
+        assert own.count(p.name.removesuffix(".txt")) >= max(1, 0.9 * len(own)), (p.name, Counter(own))
+
+
+def test_license_ranking_and_differences_recomputed(spark):
+    """Every row of a scan from scratch: the savings of all templates, their order, and the words."""
+    import difflib
+
+    import zstandard
+    rng = random.Random(5)
+    own = {"A": "the quick license of foxes, version 2.0, is granted to any person who likes foxes and hens",
+           "B": "the quick license of foxes, version 3.0, is granted to any person who likes foxes and hens",
+           "C": "this license speaks of copyright and of nothing else whatever it may be", "D": "the quick license of foxes, version 2.0, is granted to any person who likes foxes and hens"}
+    texts = []
+    for k, t in own.items():
+        for _ in range(12):
+            words = t.split()
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = rng.choice(["license", "cats", "3.0,", "x"])
+            texts.append(" ".join(words[rng.randrange(3):]))
+    texts += ["a license of its own kind", "license"]
+    got = licenses.license_scan(helpers.frame(spark, list(enumerate(texts))), templates=own).collect()
+
+    def size(text, extra=None):
+        d = None if extra is None else zstandard.ZstdCompressionDict(extra.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_dict_id=False).compress(text.lower().encode()))
+    by_id = {r["doc_id"]: r for r in got}
+    for i, t in enumerate(texts):
+        saved = {k: (size(t) - size(t, v)) / size(t) for k, v in own.items()}
+        if max(saved.values()) < licenses.LEAST_SAVED:
+            assert i not in by_id
+            continue
+        r = by_id[i]
+        assert abs(r["saved"] - max(saved.values())) < 1e-12
+        split = lambda x: [w.lower() for w in licenses._WORD.findall(x)]
+        a = split(t)
+        score = {}
+        for k, v in own.items():
+            if saved[k] >= licenses.LEAST_SAVED:
+                m = difflib.SequenceMatcher(None, split(v), a, autojunk=False)
+                ops = [o for o in m.get_opcodes() if o[0] != "equal"]
+                equal = len(a) - sum(o[4] - o[3] for o in ops)
+                lost = {w for o in ops for w in a[o[3]:o[4]]}
+                extra = {w for o in ops if 0 < o[3] < len(a) and 0 < o[1] for w in split(v)[o[1]:o[2]]}
+                odd = any(w[0].isdigit() for w in lost | extra)
+                score[k] = (equal, not odd and equal / len(a) >= licenses.LEAST_SAME and equal >= 3)
+        if r["confirmed"]:
+            assert score[r["license"]][1] and score[r["license"]][0] == max(e for e, ok in score.values() if ok)
+            assert r["license"] not in ("A", "D")              # equal texts: no license fits best
+        minus = [d for d in r["diffs"] if d[0] == "-"]
+        if r["license"] in score:
+            assert len(minus) == len(a) - round(r["same_words"] * len(a)) == len(a) - score[r["license"]][0]
+
+
 def test_license_differences():
     diffs, same = licenses.differences("Licensed under the Apache Licence, Version 2.0", licenses.TEMPLATES["Apache-2.0"])
     assert diffs == ["-licence", "+license"] and same == 6 / 7
@@ -148,6 +235,30 @@ def test_schedule_deviates_less_than_a_block():
                 assert abs(sum(x < t for x in at) - t * weights[s] / period) < 1
 
 
+def test_every_source_has_a_weight_and_its_share(spark):
+    rng = random.Random(9)
+    rows = [(i, f"t{i}", rng.choice(["src0"] * 10 + [f"src{k}" for k in range(18)] + [None])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = mixing.source_weights(df, {"src0": 20, "src1": 10, "absent": 30, mixing.REST: 55})
+    assert set(weights) == {*(f"src{k}" for k in range(18)), mixing.REST}          # null is a source, an absent one is none
+    assert weights["src0"] == 2 * weights["src1"] and len({weights[f"src{k}"] for k in range(2, 18)} | {weights[mixing.REST]}) == 1
+    assert weights["src1"] / weights["src2"] == 10 / (55 / 17)
+    got = mixing.mix(df, weights, block_rows=2, complete=True).collect()
+    assert len(got) == len(rows) and len({r["position"] for r in got}) == len(rows)
+    period, slots = sum(weights.values()), {}
+    for r in got:
+        slots.setdefault(r["mix_source"], set()).add(r["slot"])
+    for s, w in weights.items():
+        own = sorted(slots[s])
+        for k, slot in enumerate(own):                                             # its share up to any slot, less than one block off
+            assert abs((k + 1) - (slot + 1) * w / period) < 1 and abs(k - slot * w / period) < 1, (s, k, slot)
+    with pytest.raises(ValueError):
+        mixing.source_weights(df, {}, most=18)
+    with pytest.raises(Exception, match="without a weight"):
+        mixing.mix(df, {"src0": 1}, complete=True).collect()
+    assert mixing.mix(df.limit(0), mixing.source_weights(df.limit(0), weights), complete=True).count() == 0
+
+
 def test_mix_against_brute_force(spark):
     rows = helpers.corpus()
     df = helpers.frame(spark, rows)
@@ -219,3 +330,18 @@ def test_utf8_stream_equals_one_pass():
             out += stream.feed(data[at:at + step])
             at += step
         assert out + stream.close() == data.decode(errors="replace")
+
+
+def test_pii_of_a_text_with_very_many_matches(spark):
+    """Positions and contexts of 32,000 addresses are those of brute force, and time grows with them, not with their square."""
+    import time
+    took = {}
+    for n in (4000, 32000):
+        text = "".join(f"é {i} email u{i}@ex.org," if i % 3 else f" card 4111 1111 1111 1111 x{i}, " for i in range(n))
+        rows = [(1, text)]
+        start = time.time()
+        got = pii.summary(pii.find_pii(helpers.frame(spark, rows))).collect()[0]
+        took[n] = time.time() - start
+        assert got["base_sha256"] == hashlib.sha256(brute_pii(text).encode()).hexdigest()
+        assert set(got["scores"].split(",")) == {"1.0"}              # the context word stands before every match
+    assert took[32000] < 20 * took[4000] + 10
