@@ -23,7 +23,7 @@ from .operators.columns import with_headers
 from .operators.forecast import forecast_gbt, forecast_linear, rmse
 from .operators.impute import impute_year
 from .functions.names import quoted
-from .operators.series import combine_series, drop_columns, known_until, rollup_series
+from .operators.series import combine_series, drop_columns, grain_of, known_until, rollup_grains, rollup_series
 from .session import materialize
 from .sources.csv import read_series_csv, read_table_csv
 from .sources.publish import publish_chart
@@ -52,13 +52,14 @@ def period_chart(gold: DataFrame, grain: str, measures: Sequence[str] = MEASURES
 
 
 def traffic_charts(gold: DataFrame, out: str, grains: Sequence[str] = ("month", "quarter", "year"),
-                   title: str = "Traffic per {grain}", y_title: str = "Passengers (000s)") -> dict:
-    """C7: one chart per grain, each its own bundle; returns {grain: published version path}. The gold
-    table is checkpointed once and read by every chart."""
+                   title: str = "Traffic per {grain}", y_title: str = "Passengers") -> dict:
+    """C7: one chart per grain, each its own bundle; returns {grain: published version path}. All grains
+    come from one aggregate, checkpointed once and read by every chart."""
     paths = {}
-    gold = materialize(gold)
+    measures = {m: m for m in MEASURES if m in gold.columns}
+    charts = materialize(rollup_grains(with_headers(gold, {c: HEADERS[c] for c in gold.columns if c in HEADERS}), "month", grains, measures))
     for grain in grains:
-        chart = period_chart(gold, grain)
+        chart = grain_of(charts, grain)
         key = chart.columns[0]
         paths[grain] = publish_chart(
             chart, out, f"traffic-{grain}", order_by=[key], title=title.format(grain=grain),
@@ -76,9 +77,10 @@ def save_traffic_gold(gold: DataFrame, path: str, impute: int | None = None) ->
 
 
 def traffic_projection(spark: SparkSession, gold_path: str, cutoffs: Sequence[int], horizon: int,
-                       reg: float = 0.3, alpha: float = 0.8) -> DataFrame:
+                       reg: float = 0.3, alpha: float = 0.8, prediction_header: str = "Trend to {cutoff}",
+                       known_header: str = "Passengers to {cutoff}") -> DataFrame:
     """C8 / C9: yearly sums of the gold table, one linear trend per cut-off, scored up to the
-    horizon, plus the totals each first model was trained on."""
+    horizon, plus the totals each first model was trained on. The headers of the new columns name their ``{cutoff}``."""
     gold = load_table(spark, gold_path)
     measures = [m for m in (REPORTED, *MEASURES) if m in gold.columns]
     yearly = rollup_series(gold, "month", "year", {m: m for m in measures})
@@ -88,8 +90,8 @@ def traffic_projection(spark: SparkSession, gold_path: str, cutoffs: Sequence[in
     scored = drop_columns(scored, [INTERNATIONAL, DOMESTIC]).withColumn(
         f"paxInModel{cutoffs[0]}", known_until("year", cutoffs[0], TOTAL))
     headers = {"year": "Year", TOTAL: "Passengers", REPORTED: "BTS passengers",
-               f"paxInModel{cutoffs[0]}": f"Passengers used in model {cutoffs[0]}"}
-    headers.update({n: f"Prediction (using data until {c})" for n, c in zip(names, cutoffs)})
+               f"paxInModel{cutoffs[0]}": known_header.format(cutoff=cutoffs[0])}
+    headers.update({n: prediction_header.format(cutoff=c) for n, c in zip(names, cutoffs)})
     return with_headers(scored, headers)
 
 
@@ -115,13 +117,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     a = sub.add_parser("traffic-charts")
     a.add_argument("--gold"), a.add_argument("--international"), a.add_argument("--domestic")
     a.add_argument("--out", required=True), a.add_argument("--before", default="2020-01-01")
+    a.add_argument("--title", default="Traffic per {grain}"), a.add_argument("--y-title", default="Passengers")
     g = sub.add_parser("traffic-gold")
     g.add_argument("--international", required=True), g.add_argument("--domestic", required=True)
     g.add_argument("--gold", required=True), g.add_argument("--before"), g.add_argument("--impute-year", type=int)
     f = sub.add_parser("traffic-projection")
     f.add_argument("--gold", required=True), f.add_argument("--out", required=True)
     f.add_argument("--cutoffs", type=int, nargs="+", required=True), f.add_argument("--horizon", type=int, required=True)
-    f.add_argument("--reg", type=float, default=0.3)
+    f.add_argument("--reg", type=float, default=0.3), f.add_argument("--y-title", default="Passengers")
     b = sub.add_parser("traffic-gbt")
     b.add_argument("--gold", required=True), b.add_argument("--out", required=True)
     b.add_argument("--train-until", type=int, required=True)
@@ -134,7 +137,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             p.error("traffic-charts needs --gold, or --international and --domestic")
         gold = (load_table(spark, args.gold) if args.gold else
                 traffic_gold(spark, args.international, args.domestic, args.before))
-        print(traffic_charts(gold, args.out))
+        print(traffic_charts(gold, args.out, title=args.title, y_title=args.y_title))
     elif args.job == "traffic-gold":
         print(save_traffic_gold(traffic_gold(spark, args.international, args.domestic, args.before),
                                 args.gold, args.impute_year))
@@ -142,7 +145,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         chart = traffic_projection(spark, args.gold, args.cutoffs, args.horizon, reg=args.reg)
         print(publish_chart(chart, args.out, "traffic-projection", order_by=["year"],
                             title="Traffic per year", x_title="Year {min} - {max}",
-                            y_title="Passengers (000s)", bounds_col="year"))
+                            y_title=args.y_title, bounds_col="year"))
     elif args.job == "traffic-gbt":
         scored, err = traffic_gbt(spark, args.gold, args.train_until)
         print(err.first())
