@@ -30,6 +30,7 @@ import struct
 import numpy as np
 import pandas as pd
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ GRAM = 24
 BLOCK_BYTES = 16 << 20
 HOT = 1 << 13                    # anchors of one gram, from which on its windows are dealt out one by one
 _HOT_ROWS = 1 << 15              # anchors of hot grams that are spelled out at a time
+_ANSWER_ROWS = 1 << 16           # anchors that are put in classes at a time when answers come back
 _WIDE, _LEFT = 56, 32            # bytes of the padded right and left part of an entry
 _B = 0x100000001B3
 
@@ -113,7 +115,8 @@ class _Block:
         self.window = window
         found = []
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.padded = np.frombuffer(b"".join([bytes(_LEFT), *self.texts, bytes(_WIDE)]), np.uint8)
+        self.data = self.padded[_LEFT:len(self.padded) - _WIDE]
         row = 0
         while row < len(rows):              # a few whole texts at a time stay in the CPU's cache
             stop = max(row + 1, int(np.searchsorted(self.starts, self.starts[row] + common.CHUNK_BYTES, "right")) - 1)
@@ -128,27 +131,21 @@ class _Block:
         """Right and left bytes (padded with zeros) of the chosen anchors, and offsets of the windows."""
         p = self.p[chosen]
         o_max, o_min = p - self.i0[chosen], p - self.i1[chosen]
-        padded = np.concatenate([np.zeros(_LEFT, np.uint8), self.data, np.zeros(_WIDE, np.uint8)])
-        right = padded[p[:, None] + (_LEFT + np.arange(_WIDE))]
+        right = sliding_window_view(self.padded, _WIDE)[p + _LEFT]
         right[np.arange(_WIDE) >= (self.window - o_min)[:, None]] = 0
-        left = padded[p[:, None] + (_LEFT - 1 - np.arange(_LEFT))]
+        left = np.ascontiguousarray(sliding_window_view(self.padded, _LEFT)[p][:, ::-1])
         left[np.arange(_LEFT) >= o_max[:, None]] = 0
         return right, left, o_min.astype(np.uint8), o_max.astype(np.uint8)
 
     def spelled(self, starts: np.ndarray) -> np.ndarray:
-        return self.data[starts[:, None] + np.arange(self.window)]
+        return sliding_window_view(self.padded, self.window)[starts + _LEFT]
 
     def windows(self, chosen: np.ndarray):
         """The windows of each class of equal anchors among the chosen, some whole keys at a time: the
         classes' first anchors, their keys, smallest and largest doc_ids, and per window its class, start and bytes."""
         chosen = chosen[np.argsort(self.key[chosen], kind="stable")]
-        key = self.key[chosen]
-        a = 0
-        while a < len(chosen):
-            z = int(np.searchsorted(key, key[min(a + _HOT_ROWS, len(key)) - 1], "left"))
-            z = z if z > a else int(np.searchsorted(key, key[a], "right"))
-            z = len(key) if a + _HOT_ROWS >= len(key) else z
-            sel, a = chosen[a:z], z
+        for a, z in _whole_keys(self.key[chosen], _HOT_ROWS):
+            sel = chosen[a:z]
             order, _, first = _classes(*self.entries(sel), last_key=self.doc[sel])
             last = np.concatenate([first[1:], [len(order)]]) - 1
             pick = sel[order[first]]
@@ -159,6 +156,18 @@ class _Block:
                    starts, self.spelled(starts))
 
 
+def _whole_keys(key: np.ndarray, most: int):
+    """Bounds of stretches of sorted keys, of at most ``most`` rows unless one key has more; equal keys are in one stretch."""
+    a = 0
+    while a < len(key):
+        z = len(key)
+        if a + most < z:
+            z = int(np.searchsorted(key, key[a + most - 1], "left"))
+            z = z if z > a else int(np.searchsorted(key, key[a], "right"))
+        yield a, z
+        a = z
+
+
 def _classes(right, left, o_min, o_max, first_key=None, last_key=None):
     """Sort order of entries, and the number of each one's class of equal entries in that order."""
     words = [*right.view(">u8").T, *left.view(">u8").T]
@@ -339,8 +348,8 @@ class _Run:
         reach = window - o_min.astype(np.int64)
         place = np.arange(_WIDE)
         has = (place >= lcp[:, None]) & (place < reach[:, None])
-        source = np.where(has, np.arange(n)[:, None], 0)
-        source = np.maximum.accumulate(source, axis=0)      # the last row that spelled out this byte
+        source = np.where(has, np.arange(n, dtype=np.int32)[:, None], np.int32(0))
+        np.maximum.accumulate(source, axis=0, out=source)   # the last row that spelled out this byte
         grid = np.zeros((n, _WIDE), np.uint8)
         grid[has] = fresh
         grid = grid[source, place]
@@ -504,25 +513,34 @@ def _remove(window: int):
             got += _hot_spans(b, answers["blob"][answers["hot"]].tolist())
         if got:
             ordinal, lo, hi, low = (np.concatenate(c) for c in zip(*got))
-            ordinal = ordinal.astype(np.int64)
-            chosen = np.flatnonzero(np.isin(b.key, b.key[ordinal]))
-            order, cls, _ = _classes(*b.entries(chosen))
+            del got
+            by_key = np.argsort(b.key[ordinal], kind="stable")
+            ordinal, lo, hi, low = ordinal[by_key].astype(np.int64), lo[by_key], hi[by_key], low[by_key]
+            asked = b.key[ordinal]
+            chosen = np.flatnonzero(np.isin(b.key, asked))
+            chosen = chosen[np.argsort(b.key[chosen], kind="stable")]
+            key = b.key[chosen]
             cls_of = np.full(len(b.key), -1)
-            cls_of[chosen[order]] = cls
-            # every anchor of an answered class, with each of its answers
-            n_cls = int(cls[-1]) + 1
-            by_cls = np.argsort(cls_of[ordinal], kind="stable")
-            count = np.bincount(cls_of[ordinal], minlength=n_cls)
-            begin = np.cumsum(count) - count
-            c = cls_of[chosen]
-            anchor = np.repeat(chosen, count[c])
-            nth = np.arange(len(anchor)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])
-            a = by_cls[np.repeat(begin[c], count[c]) + nth]
-            use = b.doc[anchor] > low[a]
-            anchor, a = anchor[use], a[use]
-            np.add.at(step, b.p[anchor] - hi[a].astype(np.int64), 1)
-            np.add.at(step, b.p[anchor] - lo[a].astype(np.int64) + window, -1)
-        gone = np.cumsum(step[:-1]) > 0
+            for a, z in _whole_keys(key, _ANSWER_ROWS):     # a class has one key
+                sel = chosen[a:z]
+                order, cls, _ = _classes(*b.entries(sel))
+                cls_of[sel[order]] = cls
+                # every anchor of an answered class, with each of its answers
+                base = int(np.searchsorted(asked, key[a], "left"))
+                told = cls_of[ordinal[base:int(np.searchsorted(asked, key[z - 1], "right"))]]
+                by_cls = base + np.argsort(told, kind="stable")
+                count = np.bincount(told, minlength=int(cls[-1]) + 1)
+                begin = np.cumsum(count) - count
+                c = cls_of[sel]
+                anchor = np.repeat(sel, count[c])
+                nth = np.arange(len(anchor)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])
+                answer = by_cls[np.repeat(begin[c], count[c]) + nth]
+                use = b.doc[anchor] > low[answer]
+                anchor, answer = anchor[use], answer[use]
+                np.add.at(step, b.p[anchor] - hi[answer].astype(np.int64), 1)
+                np.add.at(step, b.p[anchor] - lo[answer].astype(np.int64) + window, -1)
+        gone = np.cumsum(step, dtype=np.int32, out=step)[:-1] > 0
+        del step
         none = np.zeros(0, np.int32)
         rows = []
         for doc_id, text, s, e in zip(b.ids.tolist(), b.texts, b.starts[:-1].tolist(), b.starts[1:].tolist()):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,6 +113,22 @@ def test_hot_grams_are_dealt_out_and_exact(spark, monkeypatch, hot):
     assert Counter(got) == Counter(brute_removed(rows))
 
 
+def test_answers_come_back_in_little_memory():
+    rng = np.random.default_rng(13)
+    text = [bytes(rng.integers(97, 123, 2000, np.uint8)) for _ in range(1000)]
+    docs = pd.DataFrame({"doc_id": range(2000), "text": text + text})        # everything repeats
+    asked = suffixes._request_keys(4, 50)((0,), docs)
+    bits = pd.concat([suffixes._answer_keys(suffixes.HOT)(g) for _, g in asked.groupby("bucket")])
+    runs = suffixes._request_runs(4, 50)((0,), docs, bits)
+    found = pd.concat([suffixes._answer_runs(50)(g) for _, g in runs.groupby("bucket")])
+    tracemalloc.start()
+    out = suffixes._remove(50)((0,), docs, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(k) for k in out.sort_values("doc_id")["kept"]] == [2000] * 1000 + [0] * 1000
+    assert peak < 25 * 4_000_000, peak
+
+
 def test_no_bucket_gets_all_surroundings_of_a_hot_gram():
     rng = random.Random(12)
     letters = bytes(rng.choices(range(97, 123), k=20000))
