@@ -62,16 +62,38 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_extras_aside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, in files by position; every source that is left has a weight of its own."""
+    """All documents in the order of the mixture, in files by position, which ``tokenize`` keeps; every source that is left has
+    a weight of its own."""
     out = mixing.mix(docs, mixing.source_weights(docs, WEIGHTS), complete=True, carry=[c for c in docs.columns if c != "doc_id"])
     return (out.repartitionByRange("position").sortWithinPartitions("position", "doc_id").select(docs.columns))
 
 
+def in_written_order(docs: DataFrame, parts: int) -> DataFrame:
+    """``COLUMNS`` of a table read from Parquet files, with ``position``, the row's place in the order the files were written in
+    (files by number, rows as they stand, from 0), and ``part``, which of ``parts`` equal stretches it is in.
+
+    A scan deals files out by size, so their order is taken from the files. The prefix sums are over one row per file.
+    """
+    place = docs.metadataColumn("_metadata")
+    rows = docs.select(*COLUMNS, place["file_name"].alias("file"), place["row_index"].alias("row"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("number", number)
+    before = counts.selectExpr("file", "sum(n) over (order by number, file rows between unbounded preceding and current row) - n as before",
+                               "sum(n) over () as total")
+    position = F.col("before") + F.col("row")
+    return (rows.join(F.broadcast(before), "file").withColumn("position", position)
+            .withColumn("part", F.floor(F.col("position") / F.col("total") * parts).cast("int"))
+            .select(*COLUMNS, "position", "part"))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its very text: ``doc_id, lang, source,
-    n_chars, n_tokens, ids, exact``."""
-    ids = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, carry=["lang", "source", "n_chars"])
-    return ids.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
+    """Token ids of every document, and whether they decode to its very text, in the order of the mixture (``position`` from 0,
+    files by position): ``doc_id, lang, source, n_chars, n_tokens, ids, exact, position``."""
+    parts = max(1, docs.rdd.getNumPartitions())
+    ids = bpe.encode(in_written_order(docs, parts), VOCABULARY, public_tokenizers.PATTERN,
+                     carry=["lang", "source", "n_chars", "position", "part"])
+    return (ids.repartitionById(parts, "part").sortWithinPartitions("position")
+            .select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact", "position"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard", drop_near_copies),

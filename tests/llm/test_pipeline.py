@@ -3,6 +3,8 @@
 from collections import Counter
 
 import base64
+import os
+import random
 
 import public_tokenizers
 import pytest
@@ -69,6 +71,30 @@ def test_stages_with_odd_rows_and_clashing_columns(spark, n_rows):
         docs = out
 
 
+def test_tokens_keep_the_order_of_the_mixture(spark):
+    rng = random.Random(5)
+    rows = [(i, helpers.prose(rng, 1 + i % 9 * (i % 4)), "en", f"src{i % 3}", i, "clash") for i in range(300)] + [(7, "again", "en", None, 5, "clash"), (None, None, None, "src0", 0, "clash")]
+    near = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _metadata string")
+    mixed = corpus_pipeline.mix_sources(spark, near, SMALL)
+    path = common.scratch_path(spark, "test-order")
+    mixed.repartitionByRange(7, "n_chars").write.parquet(path)      # files of different sizes, each a part of the rows
+    files = sorted(f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-"))
+    assert len(files) == 7
+    want = [r["doc_id"] for f in files for r in spark.read.parquet(f"{path}/{f}").select("doc_id").collect()]
+    for options in ({}, {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1"}):
+        old = {k: spark.conf.get(k) for k in options}
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        out = common.save(corpus_pipeline.tokenize(spark, spark.read.parquet(path), SMALL), "test-order-ids")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        got = out.collect()
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
+        assert sorted(r["position"] for r in got) == list(range(len(rows)))
+        spans = out.groupBy(F.input_file_name().alias("f")).agg(F.min("position").alias("a"), F.max("position").alias("z")).orderBy("f").collect()
+        assert all(x["z"] < y["a"] for x, y in zip(spans, spans[1:]))
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert {*QUERIES, "pipeline"} <= set(names)
